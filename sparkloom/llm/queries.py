@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .near_dedup import near_duplicates
 from .packing import pack
 from .sharding import shard
+from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -34,11 +35,16 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_table(spark, sf_dir, "documents")).drop("n_words")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without strings of 100 bytes that start earlier."""
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents."""
     return token_counts(_table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_near_dedup, op7_packing, op8_sharding, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_near_dedup, op7_packing, op8_sharding, op9_suffix_dedup, op10_token_counts)}
 
 ORACLE: dict[str, str] = {}
