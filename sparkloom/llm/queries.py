@@ -7,6 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontam import contamination
+from .license_scan import license_scan
 from .near_dedup import near_duplicates
 from .packing import pack
 from .sharding import shard
@@ -20,11 +22,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents that hold three quarters of a benchmark item's shingles."""
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents at a similarity of 0.75."""
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences named in all documents."""
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cutting-stock packing of all documents into sequences of 2048 tokens."""
     return pack(_table(spark, sf_dir, "documents"), BYTE_BPE)
@@ -45,6 +57,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_near_dedup, op7_packing, op8_sharding, op9_suffix_dedup, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_decontamination, op5_near_dedup, op6_license_scan, op7_packing, op8_sharding, op9_suffix_dedup, op10_token_counts)}
 
 ORACLE: dict[str, str] = {}
