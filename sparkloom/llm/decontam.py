@@ -36,9 +36,13 @@ def shingle_list(words: Column) -> Column:
     return F.when(n >= WORDS, full).when(n > 0, F.array(F.xxhash64(F.concat_ws(" ", words), n))).otherwise(F.array().cast("array<long>"))
 
 
+def _nearest(shingles: Column, mask: int) -> Column:
+    return F.array_min(F.transform(shingles, lambda x: x.bitwiseXOR(F.lit(mask))))
+
+
 def _signature(shingles: Column) -> Column:
     """(coordinate, value) of a set of shingles."""
-    return F.array(*[F.struct(F.lit(j).alias("j"), F.array_min(F.transform(shingles, lambda x, m=m: x.bitwiseXOR(F.lit(m)))).alias("v")) for j, m in enumerate(_MASKS)])
+    return F.array(*[F.struct(F.lit(j).alias("j"), _nearest(shingles, mask).alias("v")) for j, mask in enumerate(_MASKS)])
 
 
 def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent: int = 75) -> DataFrame:
