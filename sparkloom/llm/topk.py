@@ -21,54 +21,65 @@ class SortedLists:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
-        self.order = np.argsort(-self.vectors, axis=0, kind="stable")  # best first for positive weights
-        self.values = np.take_along_axis(self.vectors, self.order, axis=0)
-
-    def top(self, query: np.ndarray, own: int | None, k: int, floor: float = -math.inf) -> tuple[np.ndarray, np.ndarray, int]:
-        """(ids, scores, number of vectors scored): the k highest inner products,
-        ties to smaller ids, without the query's own id; scores under ``floor``
-        may be left out.
+        self.ids, whole = ids[order], vectors[order].astype(np.int64)
+        most = int(np.abs(whole).max(initial=0))
+        self.exact = np.float32 if most * most * whole.shape[1] < 1 << 24 else np.float64 if most * most * whole.shape[1] < 1 << 53 else np.int64
+        self.vectors = whole.astype(self.exact)
+        lists = np.argsort(-whole, axis=0, kind="stable")
+        self.values = np.take_along_axis(self.vectors, lists, axis=0)  # best first for positive weights
+        self.place = np.empty_like(lists)
+        np.put_along_axis(self.place, lists, np.arange(len(whole))[:, None], axis=0)
+
+    def top(self, queries: np.ndarray, own: np.ndarray, k: int, floors: np.ndarray, first: int = 64) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """For each query (ids, scores, depth): the k highest inner products, ties
+        to smaller ids, without the query's own id; scores under the query's
+        floor are left out.
 
         All lists are read downwards at once (upwards where the weight is
-        negative), in steps that double. Vectors met for the first time are
-        scored in full. No unmet vector can score above the inner product of
-        the query with the components at the present depth; once that is below
-        the k-th score, the search is over.
+        negative), in steps that double. Vectors met are scored in full. No
+        unmet vector can score above the inner product of the query with the
+        components at the present depth; once that is below the k-th score (or
+        all vectors are met) the search of that query is over.
         """
-        n, dims = self.vectors.shape
-        used = np.flatnonzero(query)
-        met = np.zeros(n, dtype=bool)
-        scores = np.full(n, np.iinfo(np.int64).min, dtype=np.int64)
-        up = query[used] < 0
-        depth, step, scored = 0, 8, 0
-        while depth < n:
-            end = min(n, depth + step)
-            down_rows = self.order[depth:end][:, used[~up]]
-            up_rows = self.order[n - end : n - depth][:, used[up]]
-            fresh = np.zeros(n, dtype=bool)
-            fresh[down_rows.ravel()] = True
-            fresh[up_rows.ravel()] = True
-            if not len(used):
-                fresh[:] = True
-            fresh &= ~met
-            new = np.flatnonzero(fresh)
-            scores[new] = self.vectors[new] @ query
-            scored += len(new)
-            met |= fresh
-            depth, step = end, 2 * step
-            if depth >= n or len(used) == 0:
-                break
-            bound = int((query[used[~up]] * self.values[depth, used[~up]]).sum() + (query[used[up]] * self.values[n - 1 - depth, used[up]]).sum())
-            good = scores[met & (self.ids != own)] if own is not None else scores[met]
-            kth = np.partition(good, len(good) - k)[len(good) - k] if len(good) >= k else -math.inf
-            if bound < max(kth, floor):
+        n = len(self.ids)
+        queries = queries.astype(self.exact)
+        plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
+        scores = (self.vectors @ queries.T).astype(np.float64 if self.exact != np.int64 else np.int64)
+        low = -np.inf if self.exact != np.int64 else np.iinfo(np.int64).min
+        at = np.searchsorted(self.ids, own)
+        mine = (at < n) & (self.ids[np.minimum(at, n - 1)] == own)
+        self_at = np.where(mine, at, -1)
+        met = np.zeros((n, len(queries)), dtype=bool)
+        depths, active = np.full(len(queries), n), np.arange(len(queries))
+        depth, step = 0, first
+        while len(active):
+            depth, step = min(n, depth + step), 2 * step
+            seen = (self.place < depth).astype(np.float32) @ (plus[active] > 0).T.astype(np.float32)
+            seen += (self.place >= n - depth).astype(np.float32) @ (minus[active] < 0).T.astype(np.float32)
+            now = seen > 0
+            if depth == n:
+                now[:] = True
+            met[:, active] = now
+            if depth == n:
                 break
-        take = np.flatnonzero(met & (scores >= floor))
-        if own is not None:
-            take = take[self.ids[take] != own]
-        best = take[np.lexsort((self.ids[take], -scores[take]))[:k]]
-        return self.ids[best], scores[best], scored
+            known = np.where(now, scores[:, active], low)
+            has = np.flatnonzero(self_at[active] >= 0)
+            known[self_at[active][has], has] = low
+            kth = np.partition(known, n - k, axis=0)[n - k] if n >= k else np.full(len(active), low)
+            bound = plus[active] @ self.values[depth] + minus[active] @ self.values[n - 1 - depth]
+            over = (bound < np.maximum(kth, floors[active])) | now.all(axis=0)
+            depths[active[over]] = depth
+            active = active[~over]
+        out = []
+        for j in range(len(queries)):
+            take = np.flatnonzero(met[:, j] & (scores[:, j] >= floors[j]))
+            take = take[take != self_at[j]]
+            if len(take) > 4 * k:
+                s = scores[take, j]
+                take = take[s >= np.partition(s, len(s) - k)[len(s) - k]]
+            best = take[np.lexsort((self.ids[take], -scores[take, j]))[:k]]
+            out.append((self.ids[best], scores[best, j].astype(np.int64), int(depths[j])))
+        return out
 
 
 def _search(k: int):
@@ -77,11 +88,14 @@ def _search(k: int):
         if not len(queries) or not len(vectors):
             return none
         lists = SortedLists(vectors["vec_id"].to_numpy(), np.stack(vectors["v"].to_numpy()).astype(np.int64))
+        ids, floors = queries["vec_id"].to_numpy(), queries["floor"].fillna(-np.inf).to_numpy(dtype=float)
+        asked = np.stack(queries["v"].to_numpy()).astype(np.int64)
         out = []
-        for q, v, floor in zip(queries["vec_id"], queries["v"], queries["floor"]):
-            ids, scores, _ = lists.top(np.asarray(v, dtype=np.int64), int(q), k, -math.inf if pd.isna(floor) else floor)
-            out.append(pd.DataFrame({"query_id": int(q), "vec_id": ids, "score": scores}))
-        return pd.concat(out, ignore_index=True) if out else none
+        for at in range(0, len(ids), 256):
+            part = slice(at, at + 256)
+            for q, (found, scores, _) in zip(ids[part], lists.top(asked[part], ids[part], k, floors[part])):
+                out.append((np.full(len(found), q), found, scores))
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out)))))
 
     return block
 
