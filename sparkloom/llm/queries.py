@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontam import contamination
+from .langid import fit, identify, page_evidence
 from .license_scan import license_scan
 from .near_dedup import near_duplicates
 from .packing import pack
@@ -29,6 +31,16 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents (doc_id; their source stands for a host)
+    and all pages (page_id)."""
+    documents = _table(spark, sf_dir, "documents")
+    none = F.lit(None).cast("string")
+    docs = documents.select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", F.col("source").alias("host"), none.alias("suffix"), none.alias("declared"))
+    pages = page_evidence(_table(spark, sf_dir, "pages")).select(F.lit(None).cast("long").alias("doc_id"), "page_id", "text", "host", "suffix", "declared")
+    return identify(docs.unionByName(pages), fit(documents), ["doc_id", "page_id"])
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents that hold three quarters of a benchmark item's shingles."""
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -64,7 +76,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_topk, op4_decontamination, op5_near_dedup, op6_license_scan, op7_packing, op8_sharding, op9_suffix_dedup, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_topk, op3_language_id, op4_decontamination, op5_near_dedup, op6_license_scan, op7_packing, op8_sharding, op9_suffix_dedup, op10_token_counts)}
 
 #: Vectors with null or non-finite components take no part.
 _OP2_SQL = """
