@@ -36,7 +36,7 @@ def pack_ids(ids: list[int]) -> bytes:
     return np.asarray(ids, dtype="<u4").tobytes()
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in byte-level vocabularies: itself if
     it can be printed, else the next letter from 256 on."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -49,7 +49,7 @@ def _ranks(path: str) -> dict[bytes, int]:
     so that the lowest id is the first merge."""
     with open(path, encoding="utf-8") as f:
         model = json.load(f)["model"]
-    back = {letter: b for b, letter in _byte_letters().items()}
+    back = {letter: b for b, letter in byte_letters().items()}
     pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
     made = [model["vocab"]["".join(m)] for m in pairs]
     if made != sorted(made):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .decontam import contamination
 from .langid import fit, identify, page_evidence
 from .license_scan import license_scan
+from .lm_score import lm_scores
 from .near_dedup import near_duplicates
 from .packing import pack
 from .sharding import shard
@@ -25,6 +26,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of all documents, held out or not."""
+    return lm_scores(_table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 highest integer inner products of every twentieth vector."""
     vectors = _table(spark, sf_dir, "embeddings")
@@ -76,7 +82,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_topk, op3_language_id, op4_decontamination, op5_near_dedup, op6_license_scan, op7_packing, op8_sharding, op9_suffix_dedup, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scores, op2_topk, op3_language_id, op4_decontamination, op5_near_dedup, op6_license_scan, op7_packing, op8_sharding, op9_suffix_dedup, op10_token_counts)}
 
 #: Vectors with null or non-finite components take no part.
 _OP2_SQL = """
