@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._bytes import mix, numbers, shingles, text_bytes, word_hashes, words
@@ -96,11 +96,8 @@ def _as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["id", "s"])
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("w")).unionByName(pairs.select(F.col("b").alias("w"))).distinct()
-    sets = docs.join(ids, F.col("id") == F.col("w"), "left_semi").mapInArrow(_as_sets, "id long, s array<long>")
-    sets = Saved(sets, "near-sets").df
     left = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     both = pairs.join(right, "b").join(left, "a")
@@ -108,6 +105,26 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+def _prefix_pairs(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members (id, comp) of different components that may be similar
+    enough, by prefix filtering: with shingles ordered from rare to frequent,
+    similar sets share one of the first n - ceil(n * percent / 100) + 1, and what
+    stands from the first shared one on must be enough for the overlap that the
+    two sizes need. No similar pair is lost; pairs that only share what many
+    documents have in common are left out."""
+    rows = sets.join(members, "id").select("id", "comp", F.size("s").alias("n"), F.explode("s").alias("h"))
+    rows = Saved(rows, "near-residue").df
+    often = rows.groupBy("h").agg(F.count("*").alias("df"))
+    rare_first = Window.partitionBy("id").orderBy("df", "h")
+    ranked = rows.join(often, "h").withColumn("r", F.row_number().over(rare_first))
+    reach = F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1
+    prefix = Saved(ranked.where((F.col("r") <= reach) & (F.col("df") > 1)).select("h", "id", "comp", "n", "r"), "near-prefixes").df
+    other = prefix.select("h", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("r").alias("rb"))
+    left = F.least(F.col("n") - F.col("r"), F.col("nb") - F.col("rb")) + 1
+    enough = (100 + percent) * left >= percent * (F.col("n") + F.col("nb"))
+    return prefix.withColumnRenamed("id", "a").join(other, "h").where("a < b AND comp <> cb").where(enough).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """Per row: the id, ``n_shingles``, ``component_id`` (the smallest id that
     can be reached over links, itself included) and ``kept``.
@@ -116,12 +133,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     similarity of ``percent`` per cent or more. Documents with equal sets form
     a class, found by partial aggregation; only the class's smallest id goes
     on. Candidates share a band of their sketches. In each bucket all members
-    are first checked against the bucket's smallest id, and components are
-    formed from the links found; then members of a bucket that aren't in its
-    smallest id's component are checked against all members of other
-    components. Members of one component need no more links, so a bucket of
-    many near copies gives as many pairs as it has members. Every candidate is
-    checked on the whole sets.
+    are checked against the bucket's smallest id, and components are formed
+    from the links found, so a bucket of many near copies gives as many pairs
+    as it has members. Only buckets that then still have several components may
+    hide more links: their members are compared by an exact prefix filter.
+    Every candidate is checked on the whole sets.
 
     Null or empty text, and text without words, has no shingles: such rows are
     linked with nothing and kept. Rows with a null id can't be named: they keep
@@ -139,21 +155,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leads = banded.groupBy("k").agg(F.min(F.struct("id", "n")).alias("lead"), F.count("*").alias("c")).where("c > 1").select("k", F.col("lead.id").alias("a"), F.col("lead.n").alias("na"))
     shared = Saved(banded.join(leads, "k"), "near-shared").df  # rows of buckets with two members or more
     close = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    texts = rows.where("id IS NOT NULL")
-    pairs = Saved(shared.withColumnsRenamed({"id": "b", "n": "nb"}).where("a <> b").where(close).select("a", "b").distinct(), "near-pairs").df
-    links = Saved(_verified(texts, pairs, percent), "near-links").df
+    # texts meet the ids by a sort-merge join at any size, so that small runs show the plan of large ones
+    asked = shared.select(F.col("id").alias("w")).distinct().hint("merge")
+    texts = rows.where("id IS NOT NULL").join(asked, F.col("id") == F.col("w"), "left_semi")
+    sets = Saved(texts.mapInArrow(_as_sets, "id long, s array<long>"), "near-sets").df
+    pairs = shared.withColumnsRenamed({"id": "b", "n": "nb"}).where("a <> b").where(close).select("a", "b").distinct()
+    links = Saved(_verified(sets, pairs, percent), "near-links").df
     labels = Saved(components(links), "near-labels").df
 
-    # members outside the component of their bucket's smallest id, against all others there
-    label = shared.join(labels, F.col("id") == F.col("node"), "left").select("k", "id", "n", "a", F.coalesce("component", "id").alias("comp"))
-    label = label.join(labels.select(F.col("node").alias("l_node"), F.col("component").alias("l_comp")), F.col("a") == F.col("l_node"), "left")
-    label = Saved(label.withColumn("odd", F.col("comp") != F.coalesce("l_comp", "a")).select("k", "id", "n", "comp", "odd"), "near-members").df
-    odd = label.where("odd").select("k", F.col("id").alias("x"), F.col("n").alias("na"), F.col("comp").alias("cx"))
-    full = label.select("k", F.col("id").alias("y"), F.col("n").alias("nb"), F.col("comp").alias("cy"))
-    rest = odd.join(full, "k").where("cx <> cy").where(close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    rest = Saved(rest.join(pairs, ["a", "b"], "left_anti"), "near-rest").df
+    # members of buckets that still have several components
+    label = shared.select("k", "id").join(labels, F.col("id") == F.col("node"), "left").select("k", "id", F.coalesce("component", "id").alias("comp"))
+    label = Saved(label, "near-members").df
+    mixed = label.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("k")
+    members = label.join(mixed, "k", "left_semi").select("id", "comp").distinct()
+    rest = Saved(_prefix_pairs(sets, members, percent), "near-rest").df
     if rest.head(1):
-        more = Saved(_verified(texts, rest, percent), "near-links").df
+        more = Saved(_verified(sets, rest, percent), "near-links").df
         labels = Saved(components(links.unionByName(more)), "near-labels").df
 
     named_classes = classes.join(labels, F.col("rep") == F.col("node"), "left").select(F.col("key").alias("c_key"), F.least(F.coalesce("component", "rep"), "rep").alias("component_id"))
