@@ -9,6 +9,7 @@ sums of the text posteriors of all rows, by grouped aggregation.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +23,8 @@ from ._spark import Saved
 
 #: Byte trigrams are hashed to so many buckets.
 BUCKETS = 1 << 15
+#: Bytes of text handled at once; a longer text goes in pieces.
+PIECE = 1 << 19
 #: Letters are lower-cased ASCII letters and all bytes of other letters; the rest counts as one blank.
 _CLASS = LOWER.copy()
 _CLASS[[b for b in range(128) if not 97 <= int(LOWER[b]) <= 122]] = 32
@@ -29,16 +32,17 @@ _CLASS[[b for b in range(128) if not 97 <= int(LOWER[b]) <= 122]] = 32
 ENOUGH = 200
 
 
-def _trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, weight, text) of each trigram; runs of blanks and texts' edges have weight 0."""
-    c = _CLASS[data].astype(np.int64)
-    if len(c) < 3:
-        none = np.zeros(0, dtype=np.int64)
-        return none, none, none
-    bucket = (c[:-2] * 7919 + c[1:-1] * 263 + c[2:]) * 40503 % BUCKETS
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    weight = (text[:-2] == text[2:]) & (c[1:-1] != 32)
-    return bucket[weight], weight, text[:-2][weight]
+def _trigrams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bucket, text) of the trigrams of PIECE bytes at a time, texts cut
+    anywhere; runs of blanks and trigrams across texts' edges are left out."""
+    for at in range(0, max(0, len(data) - 2), PIECE):
+        c = _CLASS[data[at : at + PIECE + 2]].astype(np.int32)
+        end = at + len(c)
+        lo, hi = np.searchsorted(offsets, at, side="right") - 1, np.searchsorted(offsets, end)
+        own = np.repeat(np.arange(lo, hi), np.diff(np.clip(offsets[lo : hi + 1], at, end)))
+        keep = np.flatnonzero((own[:-2] == own[2:]) & (c[1:-1] != 32))
+        bucket = (c[:-2] * 7919 + c[1:-1] * 263 + c[2:])[keep].astype(np.int64) * 40503 % BUCKETS
+        yield bucket, own[:-2][keep]
 
 
 @dataclass(frozen=True)
@@ -53,15 +57,11 @@ class TextModel:
         data, offsets = text_bytes(column)
         n = len(offsets) - 1
         total, count = np.zeros((n, len(self.languages))), np.zeros(n)
-        first = 0
-        while first < n:  # about four million bytes at a time
-            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + (1 << 22), side="right")) - 1)
-            bucket, _, text = _trigrams(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+        for bucket, text in _trigrams(data, offsets):
             if len(bucket):
                 starts = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
-                total[first + text[starts]] = np.add.reduceat(self.table[bucket], starts, axis=0)
-                count[first + text[starts]] = np.diff(np.r_[starts, len(text)])
-            first = last
+                total[text[starts]] += np.add.reduceat(self.table[bucket], starts, axis=0)
+                count[text[starts]] += np.diff(np.r_[starts, len(text)])
         scale = np.minimum(count, ENOUGH) / np.maximum(count, 1)
         return total * scale[:, None], count
 
@@ -79,9 +79,9 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     counts = np.zeros((BUCKETS, len(languages)))
     if sample.num_rows:
         data, offsets = text_bytes(sample.column("t").combine_chunks())
-        bucket, _, text = _trigrams(data, offsets)
         of = np.searchsorted(np.array(languages, dtype=object), labels)
-        np.add.at(counts, (bucket, of[text]), 1.0)
+        for bucket, text in _trigrams(data, offsets):
+            counts += np.bincount(bucket * len(languages) + of[text], minlength=counts.size).reshape(counts.shape)
     smooth = counts + 0.1
     return TextModel(languages, np.log(smooth / smooth.sum(axis=0)))
 
