@@ -38,7 +38,7 @@ HOT = 2000
 _U = np.uint64
 _BASE = int(BYTE_VALUE[7]) | 1
 _PLACE_BITS = 26
-_RUN = 1 << 22  # strings of one text handled at once
+_RUN = 1 << 19  # bytes handled at once
 
 
 def _power(n: int) -> np.uint64:
@@ -118,7 +118,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _pieces(offsets: np.ndarray) -> Iterator[tuple[tuple[int, int], int, int]]:
-    """Groups of texts of about _RUN bytes, and longer texts in pieces that
+    """Groups of texts of at most _RUN bytes, and longer texts in pieces that
     overlap so that every string lies in exactly one: (texts from, to), bytes from, to."""
     i, n = 0, len(offsets) - 1
     while i < n:
