@@ -25,6 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + os.environ["SPARKLOOM_SHARED"]
 
 
+def small_batches(df: DataFrame, most: int = 4 << 20) -> DataFrame:
+    """``df``, in whose session Arrow batches from now on have at most so many
+    bytes (or one row), so that long texts need no more memory than short ones."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+    return df
+
+
 class Saved:
     """A DataFrame written to the shared folder, and the way to delete it."""
 

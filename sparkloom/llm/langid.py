@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bytes import LOWER, text_bytes
-from ._spark import Saved
+from ._spark import Saved, small_batches
 
 #: Byte trigrams are hashed to so many buckets.
 BUCKETS = 1 << 15
@@ -96,7 +96,7 @@ def with_likelihood(rows: DataFrame, text_col: str, model: TextModel) -> DataFra
         ends = pa.array(np.arange(len(text) + 1, dtype=np.int32) * total.shape[1])
         return pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, pa.array(total.ravel())), pa.array(count.astype(np.int64))], ["ll", "n"])
 
-    return rows.withColumn("_ev", likelihood(F.coalesce(F.col(text_col), F.lit(""))))
+    return small_batches(rows).withColumn("_ev", likelihood(F.coalesce(F.col(text_col), F.lit(""))))
 
 
 def _softmax(logs: Column, n: int) -> list[Column]:

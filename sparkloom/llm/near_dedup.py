@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ._bytes import mix, numbers, shingles, text_bytes, word_hashes, words
 from ._components import components
-from ._spark import Saved
+from ._spark import Saved, small_batches
 from ._tokens import by_bytes
 
 #: Coordinates, and bands of ROWS coordinates each. A pair of similarity 0.75
@@ -145,7 +145,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id are one document with the links of all its texts; each row's n_shingles
     and class are those of its own text. Other columns are ignored; an empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     base = Saved(rows.mapInArrow(_sketched, "id long, n long, key binary, bands array<long>"), "near-sketches").df
     named = base.where("id IS NOT NULL AND key IS NOT NULL")
     classes = Saved(named.groupBy("key").agg(F.min("id").alias("rep"), F.min("n").alias("n")), "near-classes").df

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import Saved, numbered
+from ._spark import Saved, numbered, small_batches
 from ._tokens import by_bytes, encoder, pack_ids
 
 #: Piece lengths are grouped into widths of so many tokens for the linear program.
@@ -132,7 +132,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int =
             ids_of = batch.column("id").take(pa.array(row, pa.int64()))
             yield pa.RecordBatch.from_arrays([ids_of, *(pa.array(x, pa.int64()) for x in (start, size, crc, total))], ["id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     pieces = rows.mapInArrow(cut, f"id {id_type}, start long, length long, ids_crc32 long, doc_tokens long")
     pieces = Saved(pieces.withColumn("width", F.ceil(F.col("length") / STEP).cast("int")), "pack-pieces").df
     found = pieces.groupBy("width").agg(F.count("*").alias("n")).orderBy("width").collect()  # at most length / STEP rows

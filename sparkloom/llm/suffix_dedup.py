@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bytes import BYTE_VALUE, mix, text_bytes
-from ._spark import Saved
+from ._spark import Saved, small_batches
 from ._tokens import by_bytes
 
 LENGTH, GRAM = 100, 40
@@ -292,7 +292,7 @@ def repeat_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, th, spans): the byte intervals that go, for each text that has any;
     ``th`` is xxhash64 of the text. See ``remove_repeats``."""
     text = F.col(text_col)
-    named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    named = small_batches(docs).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     grams = named.select("text").mapInArrow(_grams, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")).where("c > 1").select("g")
     grams = Saved(grams, "suffix-grams").df
     hits = named.mapInArrow(_anchor_rows, "id long, th long, lo int, hi int, g long, x long").join(grams, "g", "left_semi")

@@ -9,6 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import small_batches
 from ._tokens import by_bytes, encoder
 
 
@@ -35,6 +36,6 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
             counts = pa.array([encode(x) for x in pc.fill_null(text, "").to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("id"), sizes, counts], ["id", "n_bytes", "n_tokens"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     counted = rows.mapInArrow(count, f"id {id_type}, n_bytes long, n_tokens long")
     return counted.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
