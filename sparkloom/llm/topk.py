@@ -148,7 +148,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
         """The queries' best in their home block, or in all others."""
         if own:
             left = asked.withColumn("block", F.col("home"))
-            right = base.withColumn("grp", F.explode(F.sequence(F.col("block"), F.lit(groups - 1), F.lit(blocks)))) if groups > 1 else base.where("block = 0").withColumn("grp", F.lit(0))
+            at_home = F.when(F.col("block") < groups, F.sequence(F.col("block"), F.lit(groups - 1), F.lit(blocks)))
+            right = base.withColumn("grp", F.explode(at_home))
         else:
             left = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).where("block <> home")
             right = base.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
