@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 import tiktoken
 from tokenizers import Tokenizer
 
+from ._bytes import give_back
+
 #: Fixed value: the pattern by which byte-level vocabularies of this kind cut texts.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -105,3 +107,4 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 21
         edges = np.flatnonzero(np.diff(group, prepend=-1)).tolist() + [batch.num_rows]
         for a, b in zip(edges, edges[1:]):
             yield batch.slice(a, b - a)
+    give_back()

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._bytes import LOWER, text_bytes
+from ._bytes import LOWER, give_back, text_bytes
 from ._spark import Saved, small_batches
 
 #: Byte trigrams are hashed to so many buckets.
@@ -93,6 +93,7 @@ def with_likelihood(rows: DataFrame, text_col: str, model: TextModel) -> DataFra
     @F.arrow_udf(kind)
     def likelihood(text: pa.Array) -> pa.Array:
         total, count = model.score(text)
+        give_back()
         ends = pa.array(np.arange(len(text) + 1, dtype=np.int32) * total.shape[1])
         return pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, pa.array(total.ravel())), pa.array(count.astype(np.int64))], ["ll", "n"])
 

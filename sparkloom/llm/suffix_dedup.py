@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._bytes import BYTE_VALUE, mix, text_bytes
+from ._bytes import BYTE_VALUE, give_back, mix, text_bytes
 from ._spark import Saved, small_batches
 from ._tokens import by_bytes
 
@@ -39,6 +39,8 @@ _U = np.uint64
 _BASE = int(BYTE_VALUE[7]) | 1
 _PLACE_BITS = 26
 _RUN = 1 << 19  # bytes handled at once
+#: Bytes of contexts that are refined together.
+PORTION = 1 << 18
 
 
 def _power(n: int) -> np.uint64:
@@ -200,7 +202,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Repeated strings among the contexts of one partition, gram by gram: the
-    rows come sorted by gram, and are refined about a million bytes at a time."""
+    rows come sorted by gram, and are refined PORTION bytes at a time or one gram."""
     held: list[pa.RecordBatch] = []
 
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -233,12 +235,13 @@ def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in zip(cuts, cuts[1:]):
             if a == b:
                 continue
-            if size > 1 << 20 and held[-1].column("g")[-1].as_py() != grams[a]:
+            if size > PORTION and held[-1].column("g")[-1].as_py() != grams[a]:
                 yield from flush(held)
                 held, size = [], 0
             held.append(batch.slice(a, b - a))
             size += held[-1].column("body").nbytes
     yield from flush(held)
+    give_back()
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
