@@ -423,7 +423,7 @@ def a04_usage_rollup(spark: SparkSession, d: str) -> DataFrame:
 @_register("SELECT user_id, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS view, count(*) FILTER (event_type = 'error') AS error FROM events GROUP BY user_id")
 def a08_pivot(spark: SparkSession, d: str) -> DataFrame:
     """Counters of each key as columns."""
-    rows = _t(spark, d, "events").groupBy("user_id").pivot("event_type", ["click", "view", "error"]).agg(F.count("*"))
+    rows = _t(spark, d, "events").groupBy("user_id").pivot("event_type", ["click", "view", "error"]).agg(F.count(F.lit(1)))
     return rows.select("user_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("click", "view", "error")])
 
 
