@@ -172,6 +172,18 @@ def test_lm_scores(spark, sf, docs, rows, empty):
     assert lm_score.lm_scores(empty, PATH).count() == 0
 
 
+def test_score_grows_with_the_ids_of_an_unseen_word(spark, library):
+    """A long unbroken string costs as much as its ids, not one unseen word."""
+    ids = iter(i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 5 == 1)
+    short, long = next(ids), next(ids)
+    junk = "".join(np.random.default_rng(2).choice(list("abcdefghijklmnopqrstuvwxyz0123456789+/"), size=4000))
+    rows = [(i, "some common words stand here and there again") for i in range(60)] + [(short, junk[:40]), (long, junk)]
+    got = {r.doc_id: r for r in lm_score.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()}
+    assert math.isclose(got[short].base_score, got[long].base_score)
+    n = len(library.encode(junk, add_special_tokens=False).ids)
+    assert got[long].score < -0.5 * n and got[long].score < 20 * got[short].score
+
+
 def test_windows_score_each_token_once():
     rng = np.random.default_rng(1)
     texts = [rng.integers(0, lm_score.CLASSES, size=n) for n in (1, 16, 17, 50)]
