@@ -184,6 +184,28 @@ def test_score_grows_with_the_ids_of_an_unseen_word(spark, library):
     assert got[long].score < -0.5 * n and got[long].score < 20 * got[short].score
 
 
+def test_every_id_has_its_own_probability():
+    """Rarer ids stand in many classes, their shares follow their counts, and all sum to one."""
+    counts = np.zeros(50257)
+    counts[:3000] = np.arange(3000)[::-1]
+    table, within = lm_score.id_classes(counts)
+    rare = table >= lm_score.END - lm_score.RARE
+    assert table.max() < lm_score.END and len(set(table[rare])) == lm_score.RARE and np.bincount(table[rare]).max() < 400
+    assert len(set(table[~rare])) == (~rare).sum() == lm_score.END - lm_score.RARE
+    a, b = np.flatnonzero(rare & (counts > 0))[0], np.flatnonzero(rare & (counts == 0) & (table == table[np.flatnonzero(rare & (counts > 0))[0]]))[0]
+    assert math.isclose(within[a] - within[b], math.log((counts[a] + 0.5) / 0.5))
+    # one place's log probabilities of all ids and the end
+    classes = lm_score.Scorer(lm_score.start_params()).score(*_one_place(lm_score.CLASSES))
+    assert math.isclose(np.exp(classes[table] + within).sum() + np.exp(classes[lm_score.END]), 1, rel_tol=1e-4)
+
+
+def _one_place(n: int):
+    inputs, _, first, _ = lm_score.windows([np.array([5])])
+    targets = np.full((n, lm_score.CHUNK), -1)
+    targets[:, 0] = np.arange(n)
+    return np.repeat(inputs, n, axis=0), targets, np.repeat(first, n)
+
+
 def test_windows_score_each_token_once():
     rng = np.random.default_rng(1)
     texts = [rng.integers(0, lm_score.CLASSES, size=n) for n in (1, 16, 17, 50)]
