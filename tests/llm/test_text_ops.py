@@ -206,6 +206,30 @@ def _one_place(n: int):
     return np.repeat(inputs, n, axis=0), targets, np.repeat(first, n)
 
 
+def test_training_reaches_every_text_once(spark, monkeypatch):
+    rows = [(i, np.full(i % 7 + 1, i % 500, dtype="<u2").tobytes()) for i in range(300)] + [(None, b""), (900, np.arange(9000, dtype="<u2").tobytes())]
+    df = spark.createDataFrame(rows, "id long, ids binary").repartition(3)
+    met, begun = spark.sparkContext.accumulator(0), []
+
+    def counting(start, table):
+        def local(batches):
+            for batch in batches:
+                met.add(sum(len(x) // 2 + 1 for x in batch.column("ids").to_pylist()))
+            return iter(())
+
+        return local
+
+    def fit(self, texts, **_):
+        begun.extend(map(len, texts))
+        self.steps += 250
+
+    monkeypatch.setattr(lm_score, "_local", counting)
+    monkeypatch.setattr(lm_score.Trainer, "fit", fit)
+    lm_score.train(df, np.arange(1 << 16) % lm_score.END)
+    assert met.value == sum(len(b) // 2 + 1 for _, b in rows)
+    assert sorted(begun) == sorted(min(len(b) // 2 + 1, 2048) for _, b in rows)
+
+
 def test_windows_score_each_token_once():
     rng = np.random.default_rng(1)
     texts = [rng.integers(0, lm_score.CLASSES, size=n) for n in (1, 16, 17, 50)]
