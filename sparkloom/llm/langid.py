@@ -4,11 +4,13 @@ The posterior of a language is proportional to the likelihood of the text, the
 likelihood of the language the markup declares, and a prior of the host. Host
 priors are smoothed towards the prior of the host's address suffix, and these
 towards the prior of all rows. Priors and the reliability of declarations are
-sums of the text posteriors of all rows, by grouped aggregation.
+sums of the text posteriors of all rows, by grouped aggregation. Text in none
+of the languages goes to a background, in which all trigrams are as likely.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,6 +32,10 @@ _CLASS = LOWER.copy()
 _CLASS[[b for b in range(128) if not 97 <= int(LOWER[b]) <= 122]] = 32
 #: A text's evidence grows with its trigrams up to so many, since neighbours aren't independent.
 ENOUGH = 200
+#: The prior of the background.
+BACKGROUND = 0.01
+#: The share of each language's trigrams that is set aside for all languages' mean, mixed evenly with the background.
+SPARE = 0.1
 
 
 def _trigrams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -47,16 +53,16 @@ def _trigrams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarra
 
 @dataclass(frozen=True)
 class TextModel:
-    """Log-likelihoods of trigram buckets for each language."""
+    """Log-likelihoods of trigram buckets for each language, and last the background."""
 
     languages: tuple[str, ...]
-    table: np.ndarray  # BUCKETS x languages, natural logarithms
+    table: np.ndarray  # BUCKETS x (languages + 1), natural logarithms
 
     def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """For each text, its tempered log-likelihoods and its number of trigrams."""
         data, offsets = text_bytes(column)
         n = len(offsets) - 1
-        total, count = np.zeros((n, len(self.languages))), np.zeros(n)
+        total, count = np.zeros((n, self.table.shape[1])), np.zeros(n)
         for bucket, text in _trigrams(data, offsets):
             if len(bucket):
                 starts = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
@@ -82,12 +88,20 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
         of = np.searchsorted(np.array(languages, dtype=object), labels)
         for bucket, text in _trigrams(data, offsets):
             counts += np.bincount(bucket * len(languages) + of[text], minlength=counts.size).reshape(counts.shape)
-    smooth = counts + 0.1
-    return TextModel(languages, np.log(smooth / smooth.sum(axis=0)))
+    return TextModel(languages, likelihoods(counts))
+
+
+def likelihoods(counts: np.ndarray) -> np.ndarray:
+    """A model's table from the counts of buckets for each language. What a
+    language has spare is the same for all, however much text it has."""
+    size = counts.sum(axis=0)
+    shares = np.where(size > 0, counts / np.maximum(size, 1), 1 / BUCKETS)
+    spare = (shares.mean(axis=1, keepdims=True) + 1 / BUCKETS) / 2
+    return np.log(np.c_[(1 - SPARE) * shares + SPARE * spare, np.full(BUCKETS, 1 / BUCKETS)])
 
 
 def with_likelihood(rows: DataFrame, text_col: str, model: TextModel) -> DataFrame:
-    """``rows`` with ``_ev``: the text's log-likelihoods ``ll`` and number of trigrams ``n``."""
+    """``rows`` with ``_ev``: the text's log-likelihoods ``ll``, the background's last, and number of trigrams ``n``."""
     kind = T.StructType([T.StructField("ll", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType())])
 
     @F.arrow_udf(kind)
@@ -121,9 +135,11 @@ class Priors:
 def learn_priors(scored: DataFrame, model: TextModel, strength: float = 8.0) -> Priors:
     """Hierarchically smoothed priors from rows with ``host``, ``suffix``,
     ``declared`` and ``_ev``. Sums are formed before the shuffle, so a host
-    with a third of all rows is no burden; rows without trigrams don't count."""
+    with a third of all rows is no burden; rows without trigrams don't count,
+    and what goes to the background counts for no language."""
     n = len(model.languages)
-    post = scored.where("_ev.n > 0").select("host", "suffix", "declared", *[p.alias(f"p{i}") for i, p in enumerate(_softmax(F.col("_ev.ll"), n))])
+    logs = F.array(*[F.get("_ev.ll", F.lit(i)) for i in range(n)], F.get("_ev.ll", F.lit(n)) + F.lit(math.log(BACKGROUND * n)))
+    post = scored.where("_ev.n > 0").select("host", "suffix", "declared", *[p.alias(f"p{i}") for i, p in enumerate(_softmax(logs, n + 1)[:n])])
     sums = [F.sum(f"p{i}").alias(f"c{i}") for i in range(n)]
     hosts = Saved(post.groupBy("host", "suffix", "declared").agg(*sums), "lang-hosts").df
     total = hosts.agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(n)]).first()
@@ -156,7 +172,8 @@ def fuse(scored: DataFrame, model: TextModel, priors: Priors, least: float = 0.5
     """``scored`` with ``_lang``, ``_probability`` and ``_rejected``.
 
     A row is rejected if its text has no trigram of letters ("und"), or if no
-    language reaches the probability ``least``. Ties go to the language first
+    language reaches the probability ``least`` beside the others and the
+    background; ``_lang`` is then the likeliest language all the same. Ties go to the language first
     in order. Joins go by host, suffix and declaration; Spark broadcasts these
     tables where their size allows it."""
     n = len(model.languages)
@@ -164,8 +181,10 @@ def fuse(scored: DataFrame, model: TextModel, priors: Priors, least: float = 0.5
     for table, key, value in tables:
         scored = scored.join(table.select(F.col(key).alias(f"_{key}"), F.col(value).alias(f"_{value}")), F.col(key) == F.col(f"_{key}"), "left").drop(f"_{key}")
     prior = F.coalesce("_h_prior", "_s_prior", F.array(*[F.lit(x) for x in priors.overall]))
-    logs = F.array(*[F.get("_ev.ll", F.lit(i)) + F.log(F.get(prior, F.lit(i))) + F.coalesce(F.log(F.get("_d_like", F.lit(i))), F.lit(0.0)) for i in range(n)])
-    scored = scored.withColumn("_post", F.array(*_softmax(logs, n))).drop("_h_prior", "_s_prior", "_d_like")
+    said = [F.get("_d_like", F.lit(i)) * x for i, x in enumerate(priors.overall)]
+    beside = F.get("_ev.ll", F.lit(n)) + F.lit(math.log(BACKGROUND)) + F.coalesce(F.log(sum(said[1:], said[0])), F.lit(0.0))
+    logs = F.array(*[F.get("_ev.ll", F.lit(i)) + F.log(F.get(prior, F.lit(i))) + F.coalesce(F.log(F.get("_d_like", F.lit(i))), F.lit(0.0)) for i in range(n)], beside)
+    scored = scored.withColumn("_post", F.array(*_softmax(logs, n + 1)[:n])).drop("_h_prior", "_s_prior", "_d_like")
     top = F.array_max("_post")
     name = F.get(F.array(*[F.lit(x) for x in model.languages]), (F.array_position("_post", top) - 1).cast("int"))
     some = F.col("_ev.n") > 0

@@ -169,6 +169,20 @@ def test_language_evidence(spark):
     assert got[1].host is None and got[1].suffix is None and got[1].declared is None
 
 
+def test_language_of_unlabelled_text_is_rejected(spark, sf):
+    """Text in an unlabelled language and random letters; class size is no bonus."""
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    r = random.Random(4)
+    rows = [(1, "我们今天在公园里散步然后回家吃晚饭天气很好大家都很高兴" * 8), (2, "Сегодня мы гуляли в парке, а потом вернулись домой и поужинали. " * 5)]
+    rows += [(3 + k, " ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(60))) for k in range(5)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'h' AS host", "CAST(NULL AS string) AS suffix", "CAST(NULL AS string) AS declared")
+    got = {x.doc_id: x for x in identify(texts, fit(df), ["doc_id"]).collect()}
+    assert all(x.rejected and x.probability < 0.5 for x in got.values()), got
+    learn = [(i, ("alpha beta gamma delta " * (400 if i % 2 else 1)), "large" if i % 2 else "small") for i in range(20)]
+    table = fit(spark.createDataFrame(learn, "doc_id long, text string, lang string")).table
+    assert abs(table[table[:, 0].argmin(), 0] - table[table[:, 1].argmin(), 1]) < 1e-9
+
+
 def _best(vectors, queries, k):
     v = {i: [math.floor(64 * x) for x in e] for i, e in vectors if i is not None and e and all(x is not None and math.isfinite(x) for x in e)}
     out = []
