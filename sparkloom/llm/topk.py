@@ -36,7 +36,9 @@ class SortedLists:
         floor are left out.
 
         All lists are read downwards at once (upwards where the weight is
-        negative), in steps that double. Vectors met are scored in full. No
+        negative), in steps that double. The scores of all
+        vectors of the block are computed at the start as one product; the
+        lists and the bound only choose among them. No
         unmet vector can score above the inner product of the query with the
         components at the present depth; once that is below the k-th score (or
         all vectors are met) the search of that query is over.
@@ -116,10 +118,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
     meets every block, in groups of at most 4096 queries, so a task holds one
     block and one group whatever the input. Queries first search one block
     each; the k-th score found there goes along as a floor, so the other
-    blocks stop early and return only what may belong to the result.
+    blocks stop reading lists early (their scores are computed all the same)
+    and return only what may belong to the result.
 
-    Vectors that are null, empty, hold null or non-finite components, or
-    differ in length from most take no part: lengths other than the most
+    Vectors that are null, empty, hold null or non-finite components or any of
+    1e15 or more in size, or differ in length from most take no part: lengths other than the most
     frequent one (ties to the longer) are left out. Null ids take no part.
     Rows that repeat an id and its vector count once; of different vectors
     with one id the largest in order counts. Vectors alike score alike and go
