@@ -40,7 +40,9 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     1/512 of all bytes, words or rows: such groups are cut into parts by a hash
     of the id, since a group with a third of all rows fits no shard. Loads are
     summed by Spark (partial sums before the shuffle); what reaches the driver
-    is bounded by constants, whatever the input. Numbering within a shard goes
+    is bounded by constants, whatever the input: all other groups are placed as
+    4096 units by hash, not one by one. Runs of characters that are not white
+    space stand for tokens. Numbering within a shard goes
     by hash buckets, so no task holds a shard.
 
     Null text has no bytes (size 1, crc32 0) and forms a group with empty text.
