@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.maths import edge_weight
+from ..tables import Saved
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage with a table in the folder all executors share."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.environ.setdefault('SPARKLOOM_GRAPH', tempfile.mkdtemp(prefix='sparkloom-graph-'))}"
-    path = f"{where.rstrip('/')}/graph-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Saved(df, f"graph-{name}").df
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
