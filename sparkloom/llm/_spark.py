@@ -3,55 +3,22 @@
 from __future__ import annotations
 
 import math
-import os
-import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import Saved, scope
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.
-
-    Where the setting is absent (local tests), a temporary folder of this
-    machine is used once per process.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if "SPARKLOOM_SHARED" not in os.environ:
-        os.environ["SPARKLOOM_SHARED"] = tempfile.mkdtemp(prefix="sparkloom-")
-    return "file://" + os.environ["SPARKLOOM_SHARED"]
+__all__ = ["Saved", "numbered", "scope", "small_batches"]
 
 
-def small_batches(df: DataFrame, most: int = 4 << 20) -> DataFrame:
+def small_batches(df: DataFrame, most: int = 1 << 20) -> DataFrame:
     """``df``, in whose session Arrow batches from now on have at most so many
     bytes (or one row), so that long texts need no more memory than short ones."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
     return df
 
 
-class Saved:
-    """A DataFrame written to the shared folder, and the way to delete it."""
-
-    def __init__(self, df: DataFrame, name: str):
-        self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/sparkloom-{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage of ``df`` with a Parquet table in the shared folder."""
-    return Saved(df, name).df
-
-
 def numbered(df: DataFrame, keys: list[str], order: list[str], out: str, rows: int, per_bucket: int = 1024) -> DataFrame:
     """Number the rows of each key from 0 without gaps, whatever the key's size.
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import Saved
+from ._spark import Saved, scope
 
 #: Coordinates of a signature. An item three quarters of which stand in a
 #: segment agrees with it in none with probability under (1 - 0.18)**64 = 3e-6.
@@ -63,10 +63,16 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     with all their shingles (items: likewise). Other columns are ignored; an
     empty table on either side gives an empty result.
     """
+    with scope() as tables:
+        checked = tables.keep(Saved(_contained(docs, bench, id_col, text_col, item_col, item_text_col, percent), "bench-found"))
+    return checked.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_item", "n_common")
+
+
+def _contained(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, percent: int) -> DataFrame:
     items = bench.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), F.explode(shingle_list(word_list(F.col(item_text_col)))).alias("h")).distinct()
-    sized = items.groupBy("item").agg(F.collect_set("h").alias("hs"), F.count("*").alias("n_item"))
+    sized = items.groupBy("item").agg(F.collect_set("h").alias("item_hs"), F.count("*").alias("n_item"))
     sized = Saved(sized.withColumn("u", F.pow(F.lit(2), F.ceil(F.log2("n_item"))).cast("int")), "bench-items").df
-    signed = sized.select("item", "u", F.explode(_signature(F.col("hs"))).alias("s")).select("item", "u", "s.*")
+    signed = sized.select("item", "u", F.explode(_signature(F.col("item_hs"))).alias("s")).select("item", "u", "s.*")
     signed = Saved(signed, "bench-signatures").df
     mask = F.element_at(F.lit(_MASKS), F.col("j") + 1)
     named = Saved(signed.select(F.col("v").bitwiseXOR(mask).alias("h")).distinct(), "bench-named").df
@@ -78,10 +84,14 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     suspects = rows.join(seeds, "id", "left_semi").select("id", word_list(F.col("text")).alias("w")).select("id", shingle_list(F.col("w")).alias("hs"))
     suspects = Saved(suspects, "bench-suspects").df
 
-    classes = sized.select("u").distinct()  # one row for each power of two that is an item's size
+    classes = [r["u"] for r in sized.select("u").distinct().collect()]  # a power of two each: 31 at most
     starts = F.sequence(F.lit(0), F.greatest(F.size("hs") - 1, F.lit(0)), F.col("u"))
-    segments = suspects.join(F.broadcast(classes.limit(32))).select("id", "u", "hs", F.explode(starts).alias("at")).select("id", "u", F.slice("hs", F.col("at") + 1, 2 * F.col("u")).alias("seg"))
+    by_class = suspects.select("id", "hs", F.explode(F.array(*[F.lit(u) for u in sorted(classes)]).cast("array<int>")).alias("u"))
+    segments = by_class.select("id", "u", "hs", F.explode(starts).alias("at")).select("id", "u", F.slice("hs", F.col("at") + 1, 2 * F.col("u")).alias("seg"))
     found = segments.select("id", "u", F.explode(_signature(F.col("seg"))).alias("s")).select("id", "u", "s.*").join(signed, ["u", "j", "v"]).select("id", "item").distinct()
-    common = suspects.select("id", F.explode("hs").alias("h")).join(items, "h").groupBy("id", "item").agg(F.countDistinct("h").alias("n_common"))
-    checked = common.join(sized.select("item", "n_item"), "item").where(100 * F.col("n_common") >= percent * F.col("n_item"))
-    return checked.join(found, ["id", "item"], "left_semi").select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_item", "n_common")
+    found = Saved(found, "bench-candidates").df
+    # only the pairs found are compared, and of each only what both hold goes on
+    both = found.join(sized.select("item", "item_hs", "n_item"), "item").join(suspects, "id")
+    common = both.select("id", "item", "n_item", F.explode(F.array_intersect("hs", "item_hs")).alias("h"))
+    counted = common.groupBy("id", "item", "n_item").agg(F.countDistinct("h").alias("n_common"))
+    return counted.where(100 * F.col("n_common") >= percent * F.col("n_item")).select("id", "item", "n_item", "n_common")

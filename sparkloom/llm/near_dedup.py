@@ -19,9 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import Scope
 from ._bytes import mix, numbers, shingles, text_bytes, word_hashes, words
 from ._components import components
-from ._spark import Saved, small_batches
+from ._spark import Saved, scope, small_batches
 from ._tokens import by_bytes
 
 #: Coordinates, and bands of ROWS coordinates each. A pair of similarity 0.75
@@ -110,19 +111,27 @@ def _prefix_pairs(sets: DataFrame, members: DataFrame, percent: int) -> DataFram
     enough, by prefix filtering: with shingles ordered from rare to frequent,
     similar sets share one of the first n - ceil(n * percent / 100) + 1, and what
     stands from the first shared one on must be enough for the overlap that the
-    two sizes need. No similar pair is lost; pairs that only share what many
-    documents have in common are left out."""
+    two sizes need; the smaller set of a pair needs an even shorter prefix. No
+    similar pair is lost; pairs that only share what many documents have in
+    common are left out. A shingle is met component against component, so
+    members of one component never meet each other."""
     rows = sets.join(members, "id").select("id", "comp", F.size("s").alias("n"), F.explode("s").alias("h"))
     rows = Saved(rows, "near-residue").df
-    often = rows.groupBy("h").agg(F.count("*").alias("df"))
+    often = rows.groupBy("h").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     rare_first = Window.partitionBy("id").orderBy("df", "h")
     ranked = rows.join(often, "h").withColumn("r", F.row_number().over(rare_first))
     reach = F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1
-    prefix = Saved(ranked.where((F.col("r") <= reach) & (F.col("df") > 1)).select("h", "id", "comp", "n", "r"), "near-prefixes").df
-    other = prefix.select("h", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("r").alias("rb"))
-    left = F.least(F.col("n") - F.col("r"), F.col("nb") - F.col("rb")) + 1
-    enough = (100 + percent) * left >= percent * (F.col("n") + F.col("nb"))
-    return prefix.withColumnRenamed("id", "a").join(other, "h").where("a < b AND comp <> cb").where(enough).select("a", "b").distinct()
+    prefix = Saved(ranked.where((F.col("r") <= reach) & (F.col("lo") != F.col("hi"))).select("h", "id", "comp", "n", "r"), "near-prefixes").df
+    # the smaller set of a pair must have enough left for two sets of its own size
+    smaller = prefix.where((100 + percent) * (F.col("n") - F.col("r") + 1) >= 2 * percent * F.col("n"))
+    groups = smaller.groupBy("h", "comp").agg(F.max("n").alias("most")).join(prefix.groupBy("h", F.col("comp").alias("cb")).agg(F.max("n").alias("nb")), "h")
+    groups = Saved(groups.where("comp <> cb").select("h", "comp", "cb"), "near-groups").df
+    left = smaller.withColumnRenamed("id", "a").join(groups, ["h", "comp"]).select("h", "cb", "a", "n", "r")
+    right = prefix.select("h", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("r").alias("rb"))
+    rest = F.least(F.col("n") - F.col("r"), F.col("nb") - F.col("rb")) + 1
+    enough = (100 + percent) * rest >= percent * (F.col("n") + F.col("nb"))
+    ordered = (F.col("n") < F.col("nb")) | ((F.col("n") == F.col("nb")) & (F.col("a") < F.col("b")))
+    return left.join(right, ["h", "cb"]).where(ordered & enough).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -146,7 +155,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and class are those of its own text. Other columns are ignored; an empty table gives an empty result.
     """
     rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    base = Saved(rows.mapInArrow(_sketched, "id long, n long, key binary, bands array<long>"), "near-sketches").df
+    with scope() as tables:
+        base, found = _classes(rows, percent, tables)
+    out = base.select("id", "n", "key").join(found, F.col("key") == F.col("c_key"), "left")
+    component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+
+
+def _classes(rows: DataFrame, percent: int, tables: Scope) -> tuple[DataFrame, DataFrame]:
+    """Saved: the rows (id, n, key, bands), and the component of each class
+    (c_key, component_id) that isn't alone."""
+    sketches = Saved(rows.mapInArrow(_sketched, "id long, n long, key binary, bands array<long>"), "near-sketches")
+    base = tables.keep(sketches)
     named = base.where("id IS NOT NULL AND key IS NOT NULL")
     classes = Saved(named.groupBy("key").agg(F.min("id").alias("rep"), F.min("n").alias("n")), "near-classes").df
     reps = named.select(F.col("id").alias("r_id"), F.col("key").alias("r_key"), "bands").join(classes, (F.col("r_id") == F.col("rep")) & (F.col("r_key") == F.col("key")), "left_semi")
@@ -173,7 +193,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         more = Saved(_verified(sets, rest, percent), "near-links").df
         labels = Saved(components(links.unionByName(more)), "near-labels").df
 
-    named_classes = classes.join(labels, F.col("rep") == F.col("node"), "left").select(F.col("key").alias("c_key"), F.least(F.coalesce("component", "rep"), "rep").alias("component_id"))
-    out = base.select("id", "n", "key").join(named_classes, F.col("key") == F.col("c_key"), "left")
-    component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    found = classes.join(labels, F.col("rep") == F.col("node"), "left").select(F.col("key").alias("c_key"), F.least(F.coalesce("component", "rep"), "rep").alias("component_id"))
+    return base, tables.keep(Saved(found, "near-components"))

@@ -69,7 +69,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 8 shards of near equal bytes."""
-    return shard(_table(spark, sf_dir, "documents")).drop("n_words")
+    return shard(_table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bytes import BYTE_VALUE, give_back, mix, text_bytes
-from ._spark import Saved, small_batches
+from ._spark import Saved, scope, small_batches
 from ._tokens import by_bytes
 
 LENGTH, GRAM = 100, 40
@@ -38,7 +38,7 @@ HOT = 2000
 _U = np.uint64
 _BASE = int(BYTE_VALUE[7]) | 1
 _PLACE_BITS = 26
-_RUN = 1 << 19  # bytes handled at once
+_RUN = 1 << 17  # bytes handled at once
 #: Bytes of contexts that are refined together.
 PORTION = 1 << 18
 
@@ -141,30 +141,34 @@ def refine(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     bucket-pointer refinement; equal numbers mean equal strings. ``data`` must
     reach LENGTH bytes beyond each start."""
     at = np.unique((starts[:, None] + np.array([0, 25, 50, 75])).ravel())
-    n = len(at)
-    # initial buckets: 25 bytes, sorted as three numbers of 8 bytes and one byte
-    key = np.zeros(n, dtype=np.int64)
+    # initial buckets: 25 bytes, sorted as three numbers of 8 bytes and one byte; a
+    # bucket's number is the count of strings in lower buckets
     rows = data[at[:, None] + np.arange(25)]
     words8 = np.ascontiguousarray(rows[:, :24]).view(np.uint64)
+    bucket = np.zeros(len(at), dtype=np.int64)
     for column in (words8[:, 0], words8[:, 1], words8[:, 2], rows[:, 24].astype(np.uint64)):
-        key = _ranked(key, column)
-    # refinement: the bucket numbers of later offsets order each bucket; the new
-    # numbers are used again for the next depth
+        bucket = _split(bucket, column)
+    # refinement: only buckets that still have several strings are sorted, by the
+    # bucket numbers of a later offset; these numbers, once refined, serve the next depth
     for depth in (25, 50):
-        keep = np.isin(at + depth, at, assume_unique=True)
-        base = np.flatnonzero(keep)
-        later = np.searchsorted(at, at[base] + depth)
-        key, at = _ranked(key[base], key[later]), at[base]
-    return key[np.searchsorted(at, starts)]
-
-
-def _ranked(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Dense ranks of pairs."""
-    order = np.lexsort((second, first))
-    a, b = first[order], second[order]
-    new = np.r_[False, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(order) else np.zeros(0, dtype=bool)
-    out = np.empty(len(order), dtype=np.int64)
-    out[order] = np.cumsum(new)
+        base = np.flatnonzero(np.bincount(bucket, minlength=len(at))[bucket] > 1)
+        place = np.minimum(np.searchsorted(at, at[base] + depth), len(at) - 1)
+        later = np.where(at[place] == at[base] + depth, bucket[place], -1)
+        bucket[base] = _split(bucket[base], later)
+    return bucket[np.searchsorted(at, starts)]
+
+
+def _split(bucket: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """New bucket numbers after the strings of each bucket are sorted by ``key``."""
+    if not len(bucket):
+        return bucket
+    order = np.lexsort((key, bucket))
+    b, k, n = bucket[order], key[order], np.arange(len(order))
+    changed = np.r_[True, b[1:] != b[:-1]]
+    first = np.maximum.accumulate(np.where(changed, n, 0))
+    part = np.maximum.accumulate(np.where(changed | np.r_[True, k[1:] != k[:-1]], n, 0))
+    out = np.empty_like(bucket)
+    out[order] = b + part - first
     return out
 
 
@@ -222,7 +226,13 @@ def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o, f = owner[order], owner[order][first]
         later &= ~((id_[o] == id_[f]) & (th[o] == th[f]) & (place[order] == place[order][first]))
         got = order[later]
-        yield pa.RecordBatch.from_arrays([pa.array(id_[owner[got]]), pa.array(th[owner[got]]), pa.array(place[got].astype(np.int32)), pa.array((place[got] + LENGTH).astype(np.int32))], ["id", "th", "a", "b"])
+        # strings that begin one after another in a context are one run
+        got = got[np.argsort(got)]
+        new = np.r_[True, (owner[got][1:] != owner[got][:-1]) | (place[got][1:] != place[got][:-1] + 1)] if len(got) else np.zeros(0, dtype=bool)
+        at = np.flatnonzero(new)
+        last = got[np.r_[at[1:], len(got)] - 1] if len(got) else got
+        lead = got[at]
+        yield pa.RecordBatch.from_arrays([pa.array(id_[owner[lead]]), pa.array(th[owner[lead]]), pa.array(place[lead].astype(np.int32)), pa.array((place[last] + LENGTH).astype(np.int32))], ["id", "th", "a", "b"])
 
     def flush(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if rows:
@@ -294,6 +304,11 @@ def _kept(text: pa.Array, spans: pa.Array) -> pa.Array:
 def repeat_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, spans): the byte intervals that go, for each text that has any;
     ``th`` is xxhash64 of the text. See ``remove_repeats``."""
+    with scope() as tables:
+        return tables.keep(Saved(_spans(docs, id_col, text_col), "suffix-spans"))
+
+
+def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col)
     named = small_batches(docs).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     grams = named.select("text").mapInArrow(_grams, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")).where("c > 1").select("g")

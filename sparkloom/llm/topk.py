@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import Saved
+from ._spark import Saved, scope
 
 #: Vectors in a block, and queries that meet a block in one task.
 BLOCK, QUERIES = 4096, 4096
@@ -22,66 +21,59 @@ class SortedLists:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, whole = ids[order], vectors[order].astype(np.int64)
-        most = int(np.abs(whole).max(initial=0))
-        self.exact = np.float32 if most * most * whole.shape[1] < 1 << 24 else np.float64 if most * most * whole.shape[1] < 1 << 53 else np.int64
-        self.vectors = whole.astype(self.exact)
-        lists = np.argsort(-whole, axis=0, kind="stable")
-        self.values = np.take_along_axis(self.vectors, lists, axis=0)  # best first for positive weights
-        self.place = np.empty_like(lists)
-        np.put_along_axis(self.place, lists, np.arange(len(whole))[:, None], axis=0)
-
-    def top(self, queries: np.ndarray, own: np.ndarray, k: int, floors: np.ndarray, first: int = 64) -> list[tuple[np.ndarray, np.ndarray, int]]:
-        """For each query (ids, scores, depth): the k highest inner products, ties
-        to smaller ids, without the query's own id; scores under the query's
-        floor are left out.
-
-        All lists are read downwards at once (upwards where the weight is
-        negative), in steps that double. The scores of all
-        vectors of the block are computed at the start as one product; the
-        lists and the bound only choose among them. No
-        unmet vector can score above the inner product of the query with the
-        components at the present depth; once that is below the k-th score (or
-        all vectors are met) the search of that query is over.
+        self.most = max((abs(int(x)) for x in (whole.max(initial=0), whole.min(initial=0))), default=0)
+        self.whole, self.kinds = whole, {}
+        self.lists = np.argsort(-whole, axis=0, kind="stable")  # best first for positive weights
+        self.values = np.take_along_axis(whole, self.lists, axis=0)
+
+    def top(self, query: np.ndarray, own: int, k: int, floor: float = -math.inf, first: int = 4) -> tuple[np.ndarray, np.ndarray, int]:
+        """(ids, scores, number of vectors scored): the k highest inner products,
+        ties to smaller ids, without rows of the query's own id; those under
+        ``floor`` may be missing.
+
+        The lists of all dimensions whose weight isn't 0 are read downwards at
+        once (upwards where the weight is negative), in steps that double. A
+        vector is scored when a list first names it. No unmet vector can score
+        above the inner product of the query with the components at the present
+        depth; once that is below the k-th score or the floor the search is over.
         """
-        n = len(self.ids)
-        queries = queries.astype(self.exact)
-        plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
-        scores = (self.vectors @ queries.T).astype(np.float64 if self.exact != np.int64 else np.int64)
-        low = -np.inf if self.exact != np.int64 else np.iinfo(np.int64).min
-        at = np.searchsorted(self.ids, own)
-        mine = (at < n) & (self.ids[np.minimum(at, n - 1)] == own)
-        self_at = np.where(mine, at, -1)
-        met = np.zeros((n, len(queries)), dtype=bool)
-        depths, active = np.full(len(queries), n), np.arange(len(queries))
+        n, d = self.whole.shape
+        plus, minus = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
+        limit = self.most * max((abs(int(x)) for x in query), default=0) * d
+        kind = np.float64 if limit < 1 << 53 else np.int64 if limit < 1 << 63 else object
+        vectors, values, q = (x.astype(kind, copy=False) for x in (self._as(kind), self.values, query))
+        met = np.zeros(n, dtype=bool)
+        at, scores = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=kind)
         depth, step = 0, first
-        while len(active):
-            depth, step = min(n, depth + step), 2 * step
-            seen = (self.place < depth).astype(np.float32) @ (plus[active] > 0).T.astype(np.float32)
-            seen += (self.place >= n - depth).astype(np.float32) @ (minus[active] < 0).T.astype(np.float32)
-            now = seen > 0
-            if depth == n:
-                now[:] = True
-            met[:, active] = now
-            if depth == n:
+        while depth < n:
+            bound = (q[plus] * values[depth, plus]).sum() + (q[minus] * values[n - 1 - depth, minus]).sum()
+            kth = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else -math.inf
+            if bound < max(kth, floor):
                 break
-            known = np.where(now, scores[:, active], low)
-            has = np.flatnonzero(self_at[active] >= 0)
-            known[self_at[active][has], has] = low
-            kth = np.partition(known, n - k, axis=0)[n - k] if n >= k else np.full(len(active), low)
-            bound = plus[active] @ self.values[depth] + minus[active] @ self.values[n - 1 - depth]
-            over = (bound < np.maximum(kth, floors[active])) | now.all(axis=0)
-            depths[active[over]] = depth
-            active = active[~over]
-        out = []
-        for j in range(len(queries)):
-            take = np.flatnonzero(met[:, j] & (scores[:, j] >= floors[j]))
-            take = take[take != self_at[j]]
-            if len(take) > 4 * k:
-                s = scores[take, j]
-                take = take[s >= np.partition(s, len(s) - k)[len(s) - k]]
-            best = take[np.lexsort((self.ids[take], -scores[take, j]))[:k]]
-            out.append((self.ids[best], scores[best, j].astype(np.int64), int(depths[j])))
-        return out
+            end = min(n, depth + step)
+            named = np.concatenate([self.lists[depth:end, plus].ravel(), self.lists[n - end : n - depth, minus].ravel()]) if len(plus) + len(minus) else np.arange(n)
+            new = np.unique(named[~met[named]])
+            met[new] = True
+            new = new[self.ids[new] != own]
+            at, scores = np.concatenate([at, new]), np.concatenate([scores, vectors[new] @ q])
+            if len(scores) > 4 * k + 1024:  # only what may still be among the best
+                stay = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+                at, scores = at[stay], scores[stay]
+            depth, step = end, 2 * step
+        best = np.lexsort((at, -scores))[:k]  # ids are in order of their places
+        return self.ids[at[best]], _as_long(scores[best]), int(met.sum())
+
+    def _as(self, kind: type) -> np.ndarray:
+        if kind not in self.kinds:
+            self.kinds[kind] = self.whole.astype(kind)
+        return self.kinds[kind]
+
+
+def _as_long(scores: np.ndarray) -> np.ndarray:
+    """Scores as long numbers; what a long can't hold becomes its limit."""
+    if scores.dtype == object:
+        scores = np.array([min(max(int(x), -(1 << 63)), (1 << 63) - 1) for x in scores], dtype=np.int64)
+    return scores.astype(np.int64)
 
 
 def _search(k: int):
@@ -93,10 +85,9 @@ def _search(k: int):
         ids, floors = queries["vec_id"].to_numpy(), queries["floor"].fillna(-np.inf).to_numpy(dtype=float)
         asked = np.stack(queries["v"].to_numpy()).astype(np.int64)
         out = []
-        for at in range(0, len(ids), 256):
-            part = slice(at, at + 256)
-            for q, (found, scores, _) in zip(ids[part], lists.top(asked[part], ids[part], k, floors[part])):
-                out.append((np.full(len(found), q), found, scores))
+        for q, own, floor in zip(asked, ids, floors):
+            found, scores, _ = lists.top(q, int(own), k, floor)
+            out.append((np.full(len(found), own), found, scores))
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out)))))
 
     return block
@@ -114,29 +105,39 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
     """(query_id, rank, vec_id, score): each query's k highest inner products
     of components floor(scale * x), ties to smaller ids, exact.
 
-    Vectors are dealt to blocks of about 4096 by a hash of the id; every query
+    Vectors are dealt to blocks of about 4096 by a hash of the row; every query
     meets every block, in groups of at most 4096 queries, so a task holds one
     block and one group whatever the input. Queries first search one block
-    each; the k-th score found there goes along as a floor, so the other
-    blocks stop reading lists early (their scores are computed all the same)
-    and return only what may belong to the result.
-
-    Vectors that are null, empty, hold null or non-finite components or any of
-    1e15 or more in size, or differ in length from most take no part: lengths other than the most
-    frequent one (ties to the longer) are left out. Null ids take no part.
-    Rows that repeat an id and its vector count once; of different vectors
-    with one id the largest in order counts. Vectors alike score alike and go
+    each; the k-th score found there goes along as a floor, so that other
+    blocks stop reading their lists early and return only what may belong to
+    the result.
+
+    Vectors that are null, empty or hold null or non-finite components take no
+    part, nor do null ids, nor vectors that differ in length from most (ties:
+    the longer length stays). Components beyond the range of a long after
+    scaling count as its limit, as do scores beyond it. Rows that repeat an id
+    are candidates each, for queries of other ids; of several query rows with
+    one id the largest vector in order asks. Vectors alike score alike and go
     by id. Other columns are ignored; an empty table gives an empty result.
     """
+    with scope() as tables:
+        return tables.keep(Saved(_found(vectors, queries, k, id_col, vector_col, scale), "topk-found"))
+
+
+def _found(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str, scale: int) -> DataFrame:
     x = F.col(vector_col)
     whole = F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0)
-    finite = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) < 1e15))
+    finite = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) < float("inf")))
+
+    def component(e: Column) -> Column:
+        y = F.lit(float(scale)) * e.cast("double")
+        high = F.lit(float(1 << 63))
+        return F.when(y >= high, F.lit((1 << 63) - 1)).when(y <= -high, F.lit(-(1 << 63))).otherwise(F.floor(F.when(F.abs(y) < high, y)))
 
     def clean(df: DataFrame) -> DataFrame:
-        v = F.transform(x, lambda e: F.floor(F.lit(scale) * e.cast("double")).cast("long"))
-        return df.where(whole).where(finite).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
+        return df.where(whole).where(finite).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, component).alias("v"))
 
-    base = Saved(clean(vectors).groupBy("vec_id").agg(F.max("v").alias("v")), "topk-vectors").df
+    base = Saved(clean(vectors), "topk-vectors").df
     asked = clean(queries).groupBy("vec_id").agg(F.max("v").alias("v"))
     size = base.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     dims, n = (size["d"], size["count"]) if size else (0, 0)
@@ -144,7 +145,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
     asked = Saved(asked.where(F.size("v") == dims), "topk-queries").df
     blocks = max(1, math.ceil(n / BLOCK))
     groups = max(1, math.ceil(asked.count() / QUERIES))
-    base = base.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    base = base.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int"))
     asked = asked.withColumn("grp", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups)).cast("int")).withColumn("home", F.pmod(F.col("grp"), F.lit(blocks)).cast("int"))
 
     def meet(asked: DataFrame, own: bool) -> DataFrame:
