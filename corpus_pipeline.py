@@ -4,11 +4,9 @@ Each stage takes (spark, docs, sf_dir), where ``docs`` is what the stage before
 kept, and works on all of it. All but the last return the columns of
 ``documents``; the last returns the packed pieces.
 
-Null ids: rows without an id can't be named by the stages' decisions; language
-identification and the repeats stage work on their text, near-duplicate removal
-and decontamination keep them. Null and empty texts have no language and go in
-the first stage. Extra columns are carried along by name. Rows that repeat an
-id and everything else are one document, of which the second stage keeps one.
+Extra columns are carried along by name, whatever they are called. Rows that
+repeat an id and everything else are one document, of which the second stage
+keeps one. An empty table passes through all stages and gives no pieces.
 """
 
 from __future__ import annotations
@@ -17,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm._spark import Saved
+from sparkloom.llm._spark import Saved, scope
 from sparkloom.llm.decontam import contamination
 from sparkloom.llm.langid import fit, fuse, learn_priors, with_likelihood
 from sparkloom.llm.near_dedup import near_duplicates
@@ -26,26 +24,42 @@ from sparkloom.llm.suffix_dedup import without_repeats
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` whose doc_id isn't in ``ids``; rows with a null id stay."""
-    return docs.join(ids.select(F.col("doc_id").alias("_gone")), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """``docs`` whose doc_id isn't among ``ids``; rows with a null id stay. The
+    rows travel as one struct, so none of their names can clash."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    kept = rows.join(ids.select(F.col("doc_id").alias("gone")), F.col("doc.doc_id") == F.col("gone"), "left_anti")
+    return kept.select(*[F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language is clear; the source stands for a host."""
+    """Keep documents whose language is clear; the source stands for a host.
+
+    Null, empty and letterless texts have no language and go. A null source
+    falls back to the prior of all rows; null ids and labels are no matter.
+    Repeated rows count as often as they stand. Each text is scored once; its
+    evidence is saved beside the document."""
     model = fit(docs)
     none = F.lit(None).cast("string")
-    evidence = with_likelihood(docs.select(F.col("text"), F.col("source").alias("host"), none.alias("suffix"), none.alias("declared")), "text", model).drop("text")
-    priors = learn_priors(evidence, model)
-    rows = docs.select(F.struct("*").alias("doc"), F.col("text"), F.col("source").alias("host"), none.alias("suffix"), none.alias("declared"))
-    kept = fuse(with_likelihood(rows, "text", model), model, priors).where("NOT _rejected")
-    return kept.select("doc.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("text").alias("_text"), F.col("source").alias("host"), none.alias("suffix"), none.alias("declared"))
+    with scope() as tables:
+        scored = tables.keep(Saved(with_likelihood(rows, "_text", model).drop("_text"), "pipeline-evidence"))
+        priors = learn_priors(scored, model)
+        for table in (priors.hosts, priors.suffixes, priors.declared):
+            tables.keep_rows(table)
+    kept = fuse(scored, model, priors).where("NOT _rejected")
+    return kept.select(*[F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest id of each group of near duplicates."""
-    gone = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    kept = _without(docs, Saved(gone, "pipeline-near").df)
-    return kept.dropDuplicates(docs.columns) if _repeats(docs) else kept
+    """Keep the smallest id of each group of near duplicates.
+
+    Null ids can't be named and stay, as do empty texts. Of rows that repeat an
+    id and everything else one stays; rows of one id with different contents
+    are one document and stay or go together."""
+    with scope() as tables:
+        gone = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+        kept = _without(docs, tables.keep(Saved(gone, "pipeline-near")))
+    return _distinct(docs, kept) if _repeats(docs) else kept
 
 
 def _repeats(docs: DataFrame) -> bool:
@@ -54,22 +68,42 @@ def _repeats(docs: DataFrame) -> bool:
     return bool(ids.head(1))
 
 
+def _distinct(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows that are alike in all columns once; rows without an id as they are."""
+    named = kept.where("doc_id IS NOT NULL").dropDuplicates(docs.columns)
+    return named.unionByName(kept.where("doc_id IS NULL"))
+
+
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take out strings of 100 bytes that start earlier; documents of which
-    nothing is left go."""
+    nothing but blanks is left go.
+
+    Rows with a null id have no place in the order and keep their text. Null
+    and empty texts go. ``n_chars``, if there, is counted anew."""
     left = without_repeats(docs)
     left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
     return left.where("text IS NOT NULL AND trim(text) <> ''")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item."""
-    hits = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return _without(docs, Saved(hits, "pipeline-leaks").df)
+    """Drop documents that hold a benchmark item.
+
+    Rows without an id are named by their text for this stage, so they go too
+    if they hold an item; null and empty texts hold nothing and stay."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha2(F.coalesce("text", F.lit("")), 256)))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), key.alias("doc_id"), F.col("text"))
+    with scope() as tables:
+        hits = contamination(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+        hits = tables.keep(Saved(hits, "pipeline-leaks"))
+    kept = keyed.join(hits.withColumnRenamed("doc_id", "gone"), F.col("doc_id") == F.col("gone"), "left_anti")
+    return kept.select(*[F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences of 2048 tokens."""
+    """Pack what is left into sequences of 2048 tokens.
+
+    A null or empty text is the end alone; null ids and repeated rows are
+    packed like others."""
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -86,8 +120,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each written and read again; what a stage
+    saved on its way is deleted once its result stands."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = Saved(stage(spark, docs, sf_dir), f"pipeline-{name}").df
+        with scope() as tables:
+            after = Saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            docs = tables.keep(after)
+        if before:
+            before.drop()
+        before = after
     return STAGES[-1][1](spark, docs, sf_dir)
