@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bytes import LOWER, give_back, text_bytes
-from ._spark import Saved, small_batches
+from ._spark import Saved, scope, small_batches
 
 #: Byte trigrams are hashed to so many buckets.
 BUCKETS = 1 << 15
@@ -72,14 +72,17 @@ class TextModel:
         return total * scale[:, None], count
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows: int = 4000) -> TextModel:
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows: int = 4000, head: int = 20_000) -> TextModel:
     """Fit on a bounded sample of labelled rows: about ``rows`` of them, chosen
     by a hash of the id. Rows without label or text aren't used. Without any
-    labelled row the model knows one language, "und"."""
+    labelled row the model knows one language, "und". Of each row the first
+    ``head`` characters are learned from, so the driver's share is bounded in
+    bytes too."""
     known = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     share = rows / max(rows, known.count())
-    picked = known.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < share * 1_000_000).select(F.col(text_col).alias("t"), F.col(label_col).cast("string").alias("l"))
-    sample = picked.limit(2 * rows).toArrow()
+    place = F.xxhash64(F.col(id_col), F.col(text_col))
+    picked = known.where(F.pmod(place, F.lit(1_000_000)) < share * 1_000_000).select(F.substring(F.col(text_col), 1, head).alias("t"), F.col(label_col).cast("string").alias("l"), place.alias("h"))
+    sample = picked.orderBy("h", "l").limit(2 * rows).toArrow()
     labels = np.array(sample.column("l").to_pylist() or ["und"], dtype=object)
     languages = tuple(sorted(set(labels)))
     counts = np.zeros((BUCKETS, len(languages)))
@@ -200,8 +203,11 @@ def identify(rows: DataFrame, model: TextModel, keys: list[str], text_col: str =
     says nothing. Repeated rows count as often as they stand; an empty table
     gives an empty result."""
     rows = rows.select(*keys, F.col(text_col).alias("_text"), "host", "suffix", "declared")
-    scored = Saved(with_likelihood(rows, "_text", model).drop("_text"), "lang-scored").df
-    return fuse(scored, model, learn_priors(scored, model), least).select(*keys, F.col("_lang").alias("lang"), F.col("_probability").alias("probability"), F.col("_rejected").alias("rejected"))
+    with scope() as tables:
+        scored = Saved(with_likelihood(rows, "_text", model).drop("_text"), "lang-scored").df
+        found = fuse(scored, model, learn_priors(scored, model), least)
+        found = found.select(*keys, F.col("_lang").alias("lang"), F.col("_probability").alias("probability"), F.col("_rejected").alias("rejected"))
+        return tables.keep(Saved(found, "lang-found"))
 
 
 def page_evidence(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
