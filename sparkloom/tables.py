@@ -57,10 +57,6 @@ class Scope:
         self.kept.append(table)
         return table.df
 
-    def keep_rows(self, df: DataFrame) -> DataFrame:
-        """The same for a table known by its rows only."""
-        return self.keep(next(x for x in _OPEN.get() or () if x.df is df))
-
 
 @contextmanager
 def scope() -> Iterator[Scope]:
