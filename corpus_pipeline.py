@@ -36,18 +36,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null, empty and letterless texts have no language and go. A null source
     falls back to the prior of all rows; null ids and labels are no matter.
-    Repeated rows count as often as they stand. Each text is scored once; its
-    evidence is saved beside the document."""
+    Repeated rows count as often as they stand. Each text is scored once; what
+    is saved of it is its evidence, and in the end the keys of rejected rows."""
     model = fit(docs)
     none = F.lit(None).cast("string")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("text").alias("_text"), F.col("source").alias("host"), none.alias("suffix"), none.alias("declared"))
+    host = F.col("source").cast("string")
+    rows = docs.select(F.struct("doc_id", F.xxhash64("text").alias("th"), "source").alias("key"), F.col("text").alias("_text"), host.alias("host"), none.alias("suffix"), none.alias("declared"))
     with scope() as tables:
-        scored = tables.keep(Saved(with_likelihood(rows, "_text", model).drop("_text"), "pipeline-evidence"))
-        priors = learn_priors(scored, model)
-        for table in (priors.hosts, priors.suffixes, priors.declared):
-            tables.keep_rows(table)
-    kept = fuse(scored, model, priors).where("NOT _rejected")
-    return kept.select(*[F.col("doc")[c].alias(c) for c in docs.columns])
+        scored = Saved(with_likelihood(rows, "_text", model).drop("_text"), "pipeline-evidence").df
+        gone = fuse(scored, model, learn_priors(scored, model)).where("_rejected").select("key.*").distinct()
+        gone = tables.keep(Saved(gone, "pipeline-rejected"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.xxhash64("text").alias("_th"))
+    same = F.col("doc.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("_th") == F.col("th")) & F.col("doc.source").eqNullSafe(F.col("source"))
+    return rows.join(gone, same, "left_anti").select(*[F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
