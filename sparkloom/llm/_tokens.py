@@ -73,8 +73,8 @@ class PieceEncoder:
 
     def _segment(self, text: str):
         if _PLAIN(text) is None:
-            ids = self.fast._core_bpe.encode_to_tiktoken_buffer(text, self.none)
-            return len(ids) // 4 if self.lengths_only else bytes(ids)
+            ids = bytes(self.fast._core_bpe.encode_to_tiktoken_buffer(text, self.none))
+            return len(ids) // 4 if self.lengths_only else ids
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return len(ids) if self.lengths_only else pack_ids(ids)
 

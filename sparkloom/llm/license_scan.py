@@ -54,6 +54,8 @@ IDENTIFIERS = (
     ("bsd 2 clause", "bsd-2"), ("bsd 3 clause", "bsd-3"), ("mpl 2 0", "mpl-2"), ("epl 1 0", "epl-1"), ("epl 2 0", "epl-2"), ("isc", "isc"), ("unlicense", "unlicense"),
     ("zlib", "zlib"), ("bsl 1 0", "boost-1"), ("cc by 4 0", "cc-by-4"), ("cc by sa 4 0", "cc-by-sa-4"), ("cc by nc 4 0", "cc-by-nc"), ("cc0 1 0", "cc0-1"), ("wtfpl", "wtfpl"),
 )
+#: Words that tell licences of like wording apart. Fixed values.
+NAMES = ("affero", "apache", "boost", "eclipse", "lesser", "mozilla", "noncommercial", "sharealike")
 K = 3
 #: Diagonals so near each other are one occurrence with words put in or left out.
 NEAR = 2
@@ -73,6 +75,10 @@ class Template:
         """Words that make the version: none of them may be missing."""
         return sorted({w for w in self.words if re.search("[0-9]", w)})
 
+    @property
+    def names(self) -> list[str]:
+        return sorted(set(self.words) & set(NAMES))
+
 
 def all_templates() -> list[Template]:
     """Base phrases first, then passages and identifiers."""
@@ -112,8 +118,9 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     two apart) with half of the grams or more are merged to a span, and the
     words of the text there are compared with the passage: the span counts if
     the edit distance in words is at most one and a tenth of the passage's
-    words (no more than three), and every number of the passage is there, so
-    that versions aren't mixed up. ``score`` is the largest share of a
+    words (no more than three), every number of the passage is there, and of
+    NAMES just those of the passage, so that neither versions nor licences of
+    like wording are mixed up. ``score`` is the largest share of a
     template's words that agree, 1 for a base phrase, 0 if nothing is found.
 
     The templates are constants of this module (some hundred grams) and are
@@ -182,6 +189,7 @@ def _edits(texts: DataFrame, spans: DataFrame) -> DataFrame:
     alphabet = F.create_map(*[F.lit(x) for pair in letters.items() for x in pair])
     coded = F.array(*[F.lit("".join(letters[w] for w in x.words)) for x in known])
     numbers = F.array(*[F.array(*[F.lit(w) for w in x.numbers]).cast("array<string>") for x in known])
+    names = F.array(*[F.array(*[F.lit(w) for w in x.names]).cast("array<string>") for x in known])
     asked = spans.select("id", "th_text").distinct()
     same = F.col("d_id").eqNullSafe(F.col("id")) & (F.col("d_th") == F.col("th_text"))
     words = texts.join(asked, same, "left_semi").groupBy("d_id", "d_th").agg(F.first("d_text").alias("d_text"))
@@ -193,4 +201,5 @@ def _edits(texts: DataFrame, spans: DataFrame) -> DataFrame:
     apart = [F.levenshtein(F.col("code").substr(F.lit(1 + a), F.greatest(F.col("n") + b - a, F.lit(0))), template) for a in range(NEAR + 1) for b in range(-NEAR, NEAR + 1)]
     rows = rows.withColumn("wrong", F.least(*apart))
     there = F.forall(F.get(numbers, F.col("t")), lambda x: F.array_contains(F.col("words"), x))
-    return rows.select("uid", "t", "at", "wrong", ((F.col("wrong") <= F.col("edits")) & there).alias("agree"))
+    named = F.array_sort(F.array_intersect(F.slice("words", F.lit(1), F.greatest(F.col("n"), F.lit(0))), F.array(*[F.lit(w) for w in NAMES])))
+    return rows.select("uid", "t", "at", "wrong", ((F.col("wrong") <= F.col("edits")) & there & (named == F.get(names, F.col("t")))).alias("agree"))

@@ -124,8 +124,12 @@ def _prefix_pairs(sets: DataFrame, members: DataFrame, percent: int) -> DataFram
     prefix = Saved(ranked.where((F.col("r") <= reach) & (F.col("lo") != F.col("hi"))).select("h", "id", "comp", "n", "r"), "near-prefixes").df
     # the smaller set of a pair must have enough left for two sets of its own size
     smaller = prefix.where((100 + percent) * (F.col("n") - F.col("r") + 1) >= 2 * percent * F.col("n"))
-    groups = smaller.groupBy("h", "comp").agg(F.max("n").alias("most")).join(prefix.groupBy("h", F.col("comp").alias("cb")).agg(F.max("n").alias("nb")), "h")
-    groups = Saved(groups.where("comp <> cb").select("h", "comp", "cb"), "near-groups").df
+    # components meet first, by the best that any of their members could reach
+    rest = lambda n, r: F.max(F.col(n) - F.col(r) + 1)
+    mine = smaller.groupBy("h", "comp").agg(F.min("n").alias("n"), rest("n", "r").alias("left"))
+    theirs = prefix.groupBy("h", F.col("comp").alias("cb")).agg(F.min("n").alias("nb"), F.max("n").alias("mb"), rest("n", "r").alias("lb"))
+    may = (F.col("mb") >= F.col("n")) & ((100 + percent) * F.least("left", "lb") >= percent * (F.col("n") + F.greatest("n", "nb")))
+    groups = Saved(mine.join(theirs, "h").where((F.col("comp") != F.col("cb")) & may).select("h", "comp", "cb"), "near-groups").df
     left = smaller.withColumnRenamed("id", "a").join(groups, ["h", "comp"]).select("h", "cb", "a", "n", "r")
     right = prefix.select("h", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("r").alias("rb"))
     rest = F.least(F.col("n") - F.col("r"), F.col("nb") - F.col("rb")) + 1

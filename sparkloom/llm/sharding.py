@@ -77,7 +77,7 @@ def shard(docs: DataFrame, tokenizer_path: str, shards: int = 8, id_col: str = "
 
     Equal texts form a group and stay together, unless the group alone exceeds
     a shard's share of the bytes, tokens or rows: such a group is cut into
-    parts of a quarter of a shard by a hash of the id, since it fits nowhere.
+    parts of about a sixteenth of a shard by a hash of the id, since it fits nowhere.
     Loads are summed by Spark, partial sums first.
 
     Groups are placed one by one where the dot product of their load with the
@@ -118,7 +118,7 @@ def _placed(docs: DataFrame, tokenizer_path: str, shards: int, id_col: str, text
 
     # at most 3 * HEAVY groups are heavy, as each has over 1/HEAVY of one of three totals
     heavy = groups.where(F.col("most") > 1.0 / HEAVY)
-    cut = F.when((F.col("most") > 1.0 / shards) & (F.col("r") > 1), F.ceil(4 * shards * F.col("most"))).otherwise(1).cast("int")
+    cut = F.when((F.col("most") > 1.0 / shards) & (F.col("r") > 1), F.ceil(16 * shards * F.col("most"))).otherwise(1).cast("int")
     heavy = heavy.select(F.col("grp").alias("h_grp"), cut.alias("pieces"))
     rows = base.join(F.broadcast(heavy), F.col("grp") == F.col("h_grp"), "left").drop("h_grp")
     rows = rows.withColumn("piece", F.when(F.col("pieces").isNotNull(), F.pmod(F.xxhash64("id", "grp"), F.col("pieces"))))

@@ -209,6 +209,32 @@ def test_top_k(spark, sf, monkeypatch):
     assert top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_threshold_stops_early():
+    """Of skewed vectors few are scored, and the result is that of all."""
+    import numpy as np
+
+    from sparkloom.llm.topk import SortedLists
+
+    rng = np.random.default_rng(3)
+    whole = np.floor(64 * rng.standard_normal((4000, 4)) * (rng.pareto(1.0, size=(4000, 1)) + 0.01)).astype(np.int64)
+    lists = SortedLists(np.arange(4000), whole)
+    counts = []
+    for i in range(0, 200, 20):
+        ids, scores, scored = lists.top(whole[i], i, 20)
+        all_scores = whole @ whole[i]
+        want = sorted((-int(x), j) for j, x in enumerate(all_scores) if j != i)[:20]
+        assert list(zip((-scores).tolist(), ids.tolist())) == want
+        counts.append(scored)
+    assert max(counts) < 4000 and sum(counts) < 2000 * len(counts)
+
+
+def test_top_k_of_large_components_and_repeated_ids(spark):
+    rows = [(0, [1.0, 1.0]), (1, [1e15, 1.0]), (2, [2.0, 1.0]), (3, [0.5, 0.5]), (3, [4.0, 4.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in sorted(top_k(df, df.where("vec_id = 0")).collect(), key=lambda r: r["rank"])]
+    assert got == [(1, 64 * 64 * 10**15 + 4096), (3, 32768), (2, 12288), (3, 4096)]
+
+
 def test_top_k_query_against_sql(spark, sf):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
