@@ -34,7 +34,7 @@ def edge_weight(cos: Column) -> Column:
 
 def clamp01(x: Column) -> Column:
     """Into [0, 1]; null is the neutral 0.5."""
-    return F.coalesce(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)), F.lit(0.5))
+    return F.when(x.isNull(), 0.5).otherwise(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)))
 
 
 def round3(x: Column) -> Column:

@@ -33,10 +33,11 @@ def composite(factors: Mapping[str, Column], status: Column, weights: Mapping[st
 
 
 def kpi_fit(confidence: Column, has_kpi: Column, measurable: Column) -> Column:
-    """D02; 0.5 where nothing is known."""
-    known = confidence.isNotNull() & has_kpi & measurable
+    """D02; 0.5 where neither confidence nor KPI nor measure is known. A missing
+    confidence counts as 0.5 otherwise."""
+    unknown = confidence.isNull() & ~has_kpi & ~measurable
     some = 0.65 * clamp01(confidence) + 0.20 * F.when(has_kpi, 1.0).otherwise(0.4) + 0.15 * F.when(measurable, 1.0).otherwise(0.3)
-    return F.when(known | (confidence.isNotNull() & (has_kpi | measurable)), some).otherwise(0.5)
+    return F.when(unknown, 0.5).otherwise(some)
 
 
 def evidence_confidence(supports: Column, contradicts: Column, verdict: Column) -> Column:
@@ -51,14 +52,22 @@ def trl_fit(trl: Column) -> Column:
     return F.when(trl.isNull() | (trl < 1), 0.5).otherwise((F.least(trl, F.lit(9)) - 1) / 8)
 
 
-def evidence_quality(n: Column, grounded: Column) -> Column:
-    """Amount and grounding of the evidence; 0 without any."""
-    return F.when(n <= 0, 0.0).otherwise(0.7 * F.least(F.lit(1.0), n / 5) + 0.3 * F.when(grounded, 1.0).otherwise(0.6))
+def reconcile(verdict: Column, contradicts: Column) -> Column:
+    """A contradiction turns supported or insufficient into mixed."""
+    return F.when((contradicts > 0) & verdict.isin("supported", "insufficient"), "mixed").otherwise(verdict)
+
+
+def evidence_quality(n: Column, supports: Column, contradicts: Column) -> Column:
+    """Amount of evidence, and whether both stances are there; 0 without any."""
+    both = (supports > 0) & (contradicts > 0)
+    raw = 0.7 * F.least(F.lit(1.0), n / 5) + 0.3 * F.when(both, 1.0).otherwise(0.6)
+    return F.when(n <= 0, 0.0).otherwise(round3(F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0))))
 
 
 def belief(verdict: Column, confidence: Column, quality: Column) -> Column:
-    """How far a statement is believed."""
-    return F.when(verdict == "supported", confidence).when(verdict == "refuted", 1 - confidence).when(verdict == "mixed", 0.4).otherwise(0.3 * quality)
+    """How far a statement is believed; a missing confidence counts as 0.5."""
+    sure = clamp01(confidence)
+    return round3(F.when(verdict == "supported", sure).when(verdict == "refuted", 1 - sure).when(verdict == "mixed", 0.4).otherwise(0.3 * quality))
 
 
 def learning_priority(value: Column, belief_: Column, quality: Column) -> Column:
@@ -85,3 +94,30 @@ def abstain(n_sources: Column, top: Column, reranked: Column, floor: float = 0.5
 def priority_band(percent_: Column) -> Column:
     """K07."""
     return F.when(percent_.isNull(), "Medium").when(percent_ >= 80, "Highest").when(percent_ >= 60, "High").when(percent_ >= 35, "Medium").otherwise("Low")
+
+
+def trl_level(met: Column) -> Column:
+    """The highest level up to which all are met, at least 1; ``met`` maps
+    levels from 1 to whether they are met, a missing level isn't."""
+    first_gap = F.array_min(F.filter(F.sequence(F.lit(1), F.lit(10)), lambda k: ~F.coalesce(F.element_at(met, k), F.lit(False)) | (k == 10)))
+    return F.greatest(first_gap - 1, F.lit(1))
+
+
+def completeness(checks: Mapping[str, Column]) -> tuple[Column, Column]:
+    """The share of checks that hold, and the names of those that don't."""
+    held = sum((F.coalesce(c, F.lit(False)).cast("int") for c in checks.values()), F.lit(0))
+    missing = F.filter(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in checks.items()]), lambda x: x.isNotNull())
+    return held / len(checks), missing
+
+
+def novelty(close: Column, retrieved: Column, known: Column) -> Column:
+    """One less the share of close sources; 0.5 without sources; less 0.2 for a known material."""
+    return F.greatest(F.when(retrieved > 0, 1 - close / retrieved).otherwise(0.5) - F.when(known, 0.2).otherwise(0.0), F.lit(0.0))
+
+
+def first_failure(gates: Mapping[str, Column]) -> Column:
+    """The name of the first gate that doesn't hold, null if all do; an unknown gate fails."""
+    out = F.lit(None).cast("string")
+    for name, holds in reversed(list(gates.items())):
+        out = F.when(~F.coalesce(holds, F.lit(False)), F.lit(name)).otherwise(out)
+    return out

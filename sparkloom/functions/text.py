@@ -74,19 +74,16 @@ def needs_steps(question: Column) -> Column:
 
 def file_route(mime: Column, filename: Column) -> Column:
     """The queue for a file: archive, pdf, email, image, sqlite, else office.
-    A missing or unspecific type falls back to the file's extension."""
+    Mail is known by its extension at any type; pdf and images by their type;
+    archives and databases by either, where the type says nothing."""
     ext = F.lower(F.regexp_extract(F.coalesce(filename, F.lit("")), "\\.([^.\\\\/]+)$", 1))
     kind = F.lower(F.coalesce(mime, F.lit("")))
     vague = (kind == "") | (kind == "application/octet-stream")
-    by_ext = (
-        F.when(ext.isin("zip", "rar", "7z", "tar", "gz", "tgz", "bz2"), "archive").when(ext == "pdf", "pdf").when(ext.isin("eml", "msg"), "email")
-        .when(ext.isin("png", "jpg", "jpeg", "gif", "tif", "tiff", "bmp", "webp"), "image").when(ext.isin("db", "sqlite", "sqlite3"), "sqlite").otherwise("office")
+    archive = kind.rlike("(^|[/.-])(zip|x-zip-compressed|x-rar(-compressed)?|vnd.rar|x-7z-compressed|x-tar|gzip|x-gzip|x-bzip2)$") | (vague & ext.isin("zip", "rar", "7z", "tar", "gz", "tgz", "bz2"))
+    return (
+        F.when(archive, "archive").when(kind == "application/pdf", "pdf").when(kind.rlike("^message/rfc822$|vnd.ms-outlook") | ext.isin("eml", "msg"), "email")
+        .when(kind.startswith("image/"), "image").when(kind.contains("sqlite") | (vague & ext.isin("db", "sqlite", "sqlite3")), "sqlite").otherwise("office")
     )
-    by_kind = (
-        F.when(kind.rlike("zip|x-rar|x-7z|x-tar|gzip|bzip2"), "archive").when(kind == "application/pdf", "pdf").when(kind.rlike("^message/rfc822$|vnd\\.ms-outlook"), "email")
-        .when(kind.startswith("image/"), "image").when(kind.contains("sqlite"), "sqlite").otherwise("office")
-    )
-    return F.when(vague, by_ext).otherwise(by_kind)
 
 
 def is_delimited(mime: Column, filename: Column) -> Column:
@@ -106,3 +103,55 @@ def magic_label(content: Column) -> Column:
     for prefix, label in table:
         out = out.when(head.startswith(prefix), label)
     return out.otherwise("unknown")
+
+
+def breadcrumb(title: Column, section: Column, chunk: Column) -> Column:
+    """The chunk under a line of title and section, those there are."""
+    some = lambda c: F.when(F.trim(F.coalesce(c, F.lit(""))) != "", F.trim(c))
+    head = F.concat_ws(" — ", some(title), some(section))
+    return F.when(head != "", F.concat(head, F.lit("\n\n"), chunk)).otherwise(chunk)
+
+
+def valid_offsets(offsets: Column, length: Column) -> Column:
+    """Offsets from 0 upwards, each higher than the one before, none beyond the length."""
+    rising = F.forall(F.sequence(F.lit(0), F.size(offsets) - 1), lambda i: (i == 0) | (F.get(offsets, i) > F.get(offsets, i - 1)))
+    return F.coalesce((F.size(offsets) > 0) & (F.get(offsets, F.lit(0)) == 0) & rising & (F.array_max(offsets) <= length), F.lit(False))
+
+
+def first_sentence(text: Column, least: int = 24, limit: int = 320) -> Column:
+    """Up to the first sentence end after ``least`` characters, at most ``limit``."""
+    flat = collapse(text)
+    found = F.regexp_extract(flat, f"^.{{{least},}}?[.!?](?= |$)", 0)
+    return clip(F.when(found != "", found).otherwise(flat), limit)
+
+
+def collapse_spaced(text: Column) -> Column:
+    """Five or more single letters apart by one or two blanks become one word."""
+    run = "(?<![\\p{L}\\p{N}])\\p{L}(?:\\s{1,2}\\p{L}){4,}(?![\\p{L}\\p{N}])"
+    parts = F.regexp_extract_all(text, F.lit(f"({run})"), F.lit(1))
+    return F.aggregate(parts, text, lambda out, part: F.replace(out, part, F.regexp_replace(part, "\\s", "")))
+
+
+def sanitise_citations(answer: Column, sources: Column) -> Column:
+    """[S n] with n beyond the sources is taken out, spacing mended."""
+    bad = F.filter(F.array_distinct(F.regexp_extract_all(answer, F.lit("\\[S\\s*(\\d{1,4})\\]"), F.lit(1))), lambda x: (x.cast("int") > sources) | (x.cast("int") < 1))
+    return collapse(F.aggregate(bad, answer, lambda out, x: F.regexp_replace(out, F.concat(F.lit("\\s?\\[S\\s*"), x, F.lit("\\]")), F.lit(""))))
+
+
+def formula(text: Column) -> Column:
+    """The first token that looks like a chemical formula."""
+    tokens = F.split(text, "[^A-Za-z0-9]+")
+    fits = F.filter(tokens, lambda t: t.rlike("^(?:[A-Z][a-z]?[0-9]*){2,}$") & (F.length(t) >= 2) & (F.length(t) <= 24) & t.rlike("[a-z0-9]"))
+    return F.get(fits, F.lit(0))
+
+
+def extractive_answer(texts: Column, titles: Column, most: int = 3, width: int = 200) -> Column:
+    """Up to three sources as "[S i] title: snippet", one a line."""
+    lines = F.transform(F.slice(F.arrays_zip(texts.alias("x"), titles.alias("y")), 1, most), lambda s, i: F.concat(F.lit("[S "), (i + 1).cast("string"), F.lit("] "), s["y"], F.lit(": "), clip(collapse(s["x"]), width, "…")))
+    return F.array_join(lines, "\n")
+
+
+def direction(text: Column) -> Column:
+    """Whether a measure should fall; it should rise if nothing is said."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.when(low.rlike("decrease|reduce|lower|minimi[sz]e|сниж|уменьш"), "decrease").otherwise("increase")

@@ -38,7 +38,7 @@ def modularity(edges: DataFrame, members: DataFrame) -> DataFrame:
     b = members.select(F.col("node").alias("dst"), F.col("community").alias("cb"))
     inside = edges.join(a, "src").join(b, "dst").where("ca = cb").groupBy(F.col("ca").alias("community")).agg(F.sum("weight").alias("inside"))
     by = degrees(edges).join(members, "node").groupBy("community").agg(F.sum("degree").alias("deg"))
-    terms = by.join(inside, "community", "left").crossJoin(total)
+    terms = by.join(inside, "community", "left").join(F.broadcast(total))
     return terms.select("community", (F.coalesce("inside", F.lit(0.0)) / F.col("m") - F.pow(F.col("deg") / (2 * F.col("m")), 2)).alias("term"))
 
 
@@ -64,7 +64,7 @@ def bridging_coefficient(edges: DataFrame) -> DataFrame:
     return links.join(around, "node").select("node", F.when(F.col("s") > 0, 1 / F.col("links") / F.col("s")).otherwise(0.0).alias("coefficient"))
 
 
-def components(edges: DataFrame, nodes: DataFrame | None = None, most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, component): components named by their smallest node (G13), by
     passing the smallest label along edges and then along labels, so rounds
     grow with the logarithm of the longest chain."""
@@ -73,7 +73,7 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, most_rounds: in
     if nodes is not None:
         ids = ids.unionByName(nodes.select("node")).distinct()
     labels = saved(ids.withColumn("component", F.col("node")), "labels")
-    for _ in range(most_rounds):
+    while True:
         near = both.join(labels, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("component").alias("m"))
         lower = labels.join(near, F.col("node") == F.col("src"), "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("m", "component")).alias("component"))
         jump = labels.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
@@ -82,7 +82,6 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, most_rounds: in
         labels = nxt.select("node", "component")
         if not nxt.where("component <> old").head(1):
             return labels
-    raise RuntimeError(f"components: no fixed point after {most_rounds} rounds")
 
 
 def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, most: int = 100, tolerance: float = 1e-9, cut: int = 10) -> DataFrame:

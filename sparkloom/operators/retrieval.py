@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import Saved
+
 
 def bm25(tokens: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query, doc, score): BM25 of documents for queries.
@@ -14,12 +16,12 @@ def bm25(tokens: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75
     ``tokens``: (doc, token), a row for each occurrence; ``queries``: (query,
     token), distinct. Frequencies are counted before any join; only terms that
     some query has are joined to documents."""
-    tf = tokens.groupBy("doc", "token").agg(F.count("*").alias("tf"))
-    sizes = tokens.groupBy("doc").agg(F.count("*").alias("size"))
+    tf = Saved(tokens.groupBy("doc", "token").agg(F.count("*").alias("tf")), "bm25").df
+    sizes = tf.groupBy("doc").agg(F.sum("tf").alias("size"))
     whole = sizes.agg(F.avg("size").alias("avg"), F.count("*").alias("n"))
     wanted = tf.join(queries.select("token").distinct(), "token", "left_semi")
     df = wanted.groupBy("token").agg(F.count("*").alias("df"))
-    parts = wanted.join(df, "token").join(queries, "token").join(sizes, "doc").crossJoin(whole)
+    parts = wanted.join(df, "token").join(queries, "token").join(sizes, "doc").join(F.broadcast(whole))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("avg")))
     return parts.groupBy("query", "doc").agg(F.sum(part).alias("score"))
@@ -57,6 +59,16 @@ def cap_per_document(hits: DataFrame, keys: list[str], doc: str, order: list[Col
     return hits.withColumn("_take", F.row_number().over(take)).where(F.col("_take") <= k).drop("_take", "_pos", "_nth")
 
 
+def cap_whole_list(hits: DataFrame, doc: str, order: list[Column], k: int, most: int = 4) -> DataFrame:
+    """``cap_per_document`` for one list of any length (W03): what can be taken is
+    among the first k of the documents' first ``most`` hits, or among the first
+    2k of all; only these meet in one task."""
+    walk = Window.partitionBy(doc).orderBy(*order)
+    early = hits.withColumn("_n", F.row_number().over(walk)).where(F.col("_n") <= most).drop("_n").orderBy(*order).limit(k)
+    short = early.unionByName(hits.orderBy(*order).limit(2 * k)).distinct().withColumn("_all", F.lit(0))
+    return cap_per_document(short, ["_all"], doc, order, k, most).drop("_all")
+
+
 def retrieval_metrics(hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """(query, hit, rr, ndcg) for one relevant document a query."""
     got = relevant.join(hits.where(F.col("rank") < k), ["query", "doc"], "left").groupBy("query").agg(F.min("rank").alias("rank"))

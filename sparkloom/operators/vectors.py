@@ -13,6 +13,8 @@ from ..functions.maths import dot, l2_normalise, norm
 
 #: Vectors in a block of the neighbour search.
 BLOCK = 4096
+#: Centroids in a broadcast array.
+MOST = 1024
 
 
 def chunk_weight(is_refs: Column, index: Column, cue: Column, lead: int = 2) -> Column:
@@ -87,9 +89,14 @@ def knn(vectors: DataFrame, k: int, id_col: str, vector_col: str, floor: float =
 
 def nearest_centroid(vectors: DataFrame, centroids: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
     """(id, label, sim): the centroid of highest cosine, ties to the smaller
-    label (J15). There are few centroids; Spark broadcasts them by size."""
-    c = centroids.select(F.col(label_col).alias("_l"), l2_normalise(F.col("vector")).alias("_c"))
-    pairs = vectors.select(F.col(id_col), l2_normalise(F.col(vector_col)).alias("_v")).crossJoin(c)
-    sim = F.round(dot(F.col("_v"), F.col("_c")), 9)
-    best = pairs.groupBy(id_col).agg(F.max(F.struct(sim.alias("sim"), (-F.col("_l")).alias("l"))).alias("m"))
-    return best.select(id_col, (-F.col("m.l")).cast("int").alias(label_col), F.col("m.sim").alias("sim"))
+    label (J15). Up to MOST centroids go along as one broadcast array, so vectors
+    aren't shuffled; more meet the vectors in blocks."""
+    c = centroids.select(F.col(label_col).cast("long").alias("l"), l2_normalise(F.col("vector")).alias("c"))
+    rows = vectors.select(F.col(id_col), l2_normalise(F.col(vector_col)).alias("_v"))
+    blocks = max(1, math.ceil(centroids.count() / MOST))
+    parts = c.groupBy(F.pmod(F.xxhash64("l"), F.lit(blocks)).alias("_b")).agg(F.collect_list(F.struct("l", "c")).alias("cs"))
+    rows = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) if blocks > 1 else rows.withColumn("_b", F.lit(0))
+    near = F.array_max(F.transform("cs", lambda x: F.struct(F.round(dot(F.col("_v"), x["c"]), 9).alias("sim"), (-x["l"]).alias("l"))))
+    found = rows.join(F.broadcast(parts) if blocks == 1 else parts, "_b").select(id_col, near.alias("m"))
+    found = found if blocks == 1 else found.groupBy(id_col).agg(F.max("m").alias("m"))
+    return found.select(id_col, (-F.col("m.l")).cast("int").alias(label_col), F.col("m.sim").alias("sim"))

@@ -59,12 +59,12 @@ SELECT doc_id, round(score, 6) AS score, CAST(first_list AS INTEGER) AS first_li
 )
 def w01_hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     """Lexical and dense hits for document 7 fused by reciprocal rank, the ten best."""
-    docs = _t(spark, d, "documents").select("doc_id", F.explode(text.token_set(F.col("text"))).alias("token"))
-    probe = docs.where("doc_id = 7").select("token")
-    lexical = docs.where("doc_id <> 7").join(probe, "token").groupBy("doc_id").agg(F.count("*").alias("s"))
+    docs = _t(spark, d, "documents").select("doc_id", text.token_set(F.col("text")).alias("tokens"))
+    probe = docs.where("doc_id = 7").select(F.col("tokens").alias("asked")).limit(1)
+    lexical = docs.where("doc_id <> 7").join(F.broadcast(probe)).select("doc_id", F.size(F.array_intersect("tokens", "asked")).cast("long").alias("s")).where("s > 0")
     points = _t(spark, d, "embeddings")
     one = points.where("vec_id = 7").select(F.col("embedding").alias("p"))
-    dense = points.where("vec_id <> 7").crossJoin(F.broadcast(one)).select(F.col("vec_id").alias("doc_id"), F.round(maths.cosine(F.col("embedding"), F.col("p")), 9).alias("s"))
+    dense = points.where("vec_id <> 7").join(F.broadcast(one.limit(1))).select(F.col("vec_id").alias("doc_id"), F.round(maths.cosine(F.col("embedding"), F.col("p")), 9).alias("s"))
     n = retrieval.depth()
     top = lambda df: df.orderBy(F.desc("s"), "doc_id").limit(n).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("s"), "doc_id")) - 1)
     fused = retrieval.fuse([(top(dense), 1.0), (top(lexical), 1.0)], [], "doc_id")
@@ -116,14 +116,8 @@ t AS (SELECT *, row_number() OVER (ORDER BY nth > 4, pos) AS take FROM n) SELECT
 )
 def w03_cap_per_document(spark: SparkSession, d: str) -> DataFrame:
     """Twenty hits with at most four of one document, filled up from the rest."""
-    hits = _t(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey", (F.col("o_custkey") % 7).alias("doc"), "o_totalprice", F.lit(1).alias("q"))
-    return catalog_cap(hits).select("o_orderkey", "doc")
-
-
-def catalog_cap(hits: DataFrame) -> DataFrame:
-    # only the first 20 * 7 of each document can be taken, so the list stays short
-    short = retrieval.ranked(hits, ["q", "doc"], "o_totalprice", "o_orderkey", 20).drop("rank")
-    return retrieval.cap_per_document(short, ["q"], "doc", [F.desc("o_totalprice"), F.col("o_orderkey")], 20)
+    hits = _t(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey", (F.col("o_custkey") % 7).alias("doc"), "o_totalprice")
+    return retrieval.cap_whole_list(hits, "doc", [F.desc("o_totalprice"), F.col("o_orderkey")], 20).select("o_orderkey", "doc")
 
 
 @_register(
@@ -147,7 +141,8 @@ e AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, max(cos) AS cos,
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    return graph.mutual_graph(vectors.knn(_t(spark, d, "embeddings"), 6, "vec_id", "embedding"), 0.2)
+    """Saved, since graph measures read their edges many times."""
+    return graph.saved(graph.mutual_graph(vectors.knn(_t(spark, d, "embeddings"), 6, "vec_id", "embedding"), 0.2), "edges")
 
 
 def _members(spark: SparkSession, d: str) -> DataFrame:
@@ -286,7 +281,7 @@ def _r3(x: str) -> str:
 
 @_register(
     "WITH f AS (SELECT o_orderkey, o_orderstatus, " + _D01_FACTORS + " FROM orders), s AS (SELECT o_orderkey, o_orderstatus, 0.0 + "
-    + " + ".join(_r3(f"CAST({w} AS DOUBLE) * coalesce(least(greatest(CAST({k} AS DOUBLE), 0.0), 1.0), 0.5)") for k, w in scoring.RANK_WEIGHTS.items())
+    + " + ".join(_r3(f"CAST({w} AS DOUBLE) * CASE WHEN {k} IS NULL THEN 0.5 ELSE least(greatest(CAST({k} AS DOUBLE), 0.0), 1.0) END") for k, w in scoring.RANK_WEIGHTS.items())
     + " AS t FROM f) SELECT o_orderkey, " + _r3("least(greatest(t * CAST(CASE o_orderstatus WHEN 'F' THEN 1.15 WHEN 'P' THEN 0.4 ELSE 1.0 END AS DOUBLE), 0.0), 1.0)") + " AS score FROM s"
 )
 def d01_ranking(spark: SparkSession, d: str) -> DataFrame:
@@ -449,16 +444,6 @@ def a11_facets(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("facet")), ",").alias("facets"))
 
 
-@_register(
-    r"""WITH s AS (SELECT conv_id, turn, trim(regexp_replace(lower(text), '[^\p{L}\p{Nd}]+', ' ', 'g')) AS k FROM conversations) SELECT conv_id, turn FROM s QUALIFY min(conv_id * 100000 + turn) OVER (PARTITION BY k) < conv_id * 100000 + turn"""
-)
-def w08_duplicate_statements(spark: SparkSession, d: str) -> DataFrame:
-    """Turns whose statement stands in an earlier turn: smallest ids by partial aggregation, then a join."""
-    rows = _t(spark, d, "conversations").select("conv_id", "turn", F.xxhash64(text.statement_key(F.col("text"))).alias("k"), (F.col("conv_id") * 100000 + F.col("turn")).alias("id"))
-    first = rows.groupBy("k").agg(F.min("id").alias("first"))
-    return rows.join(first, "k").where("first < id").select("conv_id", "turn")
-
-
 @_register(
     """WITH t AS (SELECT conv_id, turn, role, left(replace(text, '?', ' '), 240) AS t FROM conversations), u AS (SELECT conv_id, list(t ORDER BY turn) AS l FROM t WHERE role = 'user' GROUP BY 1)
 SELECT conv_id, CAST(least(len(l), 3) AS INTEGER) AS n, md5(array_to_string(l[greatest(len(l) - 2, 1):], chr(10))) AS digest FROM u"""

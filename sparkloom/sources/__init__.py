@@ -1 +1 @@
-"""Readers and sinks."""
+"""Readers of delimited texts, and writers."""

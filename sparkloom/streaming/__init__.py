@@ -1 +1 @@
-"""Structured Streaming jobs."""
+"""Counters, status machines and deduplication over batches or streams."""
