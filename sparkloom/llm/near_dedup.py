@@ -129,8 +129,10 @@ def _prefix_pairs(sets: DataFrame, members: DataFrame, percent: int) -> DataFram
     mine = smaller.groupBy("h", "comp").agg(F.min("n").alias("n"), rest("n", "r").alias("left"))
     theirs = prefix.groupBy("h", F.col("comp").alias("cb")).agg(F.min("n").alias("nb"), F.max("n").alias("mb"), rest("n", "r").alias("lb"))
     may = (F.col("mb") >= F.col("n")) & ((100 + percent) * F.least("left", "lb") >= percent * (F.col("n") + F.greatest("n", "nb")))
-    groups = Saved(mine.join(theirs, "h").where((F.col("comp") != F.col("cb")) & may).select("h", "comp", "cb"), "near-groups").df
-    left = smaller.withColumnRenamed("id", "a").join(groups, ["h", "comp"]).select("h", "cb", "a", "n", "r")
+    groups = Saved(mine.join(theirs, "h").where((F.col("comp") != F.col("cb")) & may).select("h", "comp", "cb", "nb", "mb", "lb"), "near-groups").df
+    # then a member meets the component it may still reach
+    met = smaller.withColumnRenamed("id", "a").join(groups.select(F.col("h").alias("gh"), F.col("comp").alias("gc"), "cb", "nb", "mb", "lb"), (F.col("h") == F.col("gh")) & (F.col("comp") == F.col("gc")) & (F.col("mb") >= F.col("n")) & ((100 + percent) * F.least(F.col("n") - F.col("r") + 1, F.col("lb")) >= percent * (F.col("n") + F.greatest("n", "nb"))))
+    left = met.select("h", "cb", "a", "n", "r")
     right = prefix.select("h", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("r").alias("rb"))
     rest = F.least(F.col("n") - F.col("r"), F.col("nb") - F.col("rb")) + 1
     enough = (100 + percent) * rest >= percent * (F.col("n") + F.col("nb"))
