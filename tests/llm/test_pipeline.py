@@ -34,5 +34,19 @@ def test_odd_documents(spark, docs, empty, sf):
         at.collect()
 
 
+def test_clashing_columns_and_rows_without_id(spark, sf):
+    """Columns named like the stages' own pass through; an item in a row without id is found."""
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    rows = [(1, "some words " * 30, "en", "s", 1, "x", 7), (None, f"before {item} after", "en", None, 1, "y", 8), (2, "other words " * 30, "en", "s", 1, None, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, gone string, _gone long")
+    for stage in (corpus_pipeline.language, corpus_pipeline.near_dedup, corpus_pipeline.repeats, corpus_pipeline.decontaminate):
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns
+        kept = {(r.doc_id, r._gone) for r in out.collect()}
+        assert kept <= {(1, 7), (None, 8), (2, 9)}
+        assert stage is not corpus_pipeline.decontaminate or kept == {(1, 7), (2, 9)}
+    assert corpus_pipeline.packing(spark, docs, sf).where("doc_id IS NOT NULL").count() == 2
+
+
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 100
