@@ -169,6 +169,44 @@ def test_language_evidence(spark):
     assert got[1].host is None and got[1].suffix is None and got[1].declared is None
 
 
+def test_language_fusion_against_a_plain_loop(spark, sf):
+    """Posteriors, host, suffix and declaration tables row by row in Python."""
+    import numpy as np
+    import pyarrow as pa
+
+    from sparkloom.llm.langid import BACKGROUND
+
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    model = fit(df)
+    r = random.Random(6)
+    texts = [x.text for x in df.limit(60).collect()]
+    rows = [(i, t if i % 7 else (None if i % 2 else "12 34"), r.choice(["a", "b", None]), r.choice(["de", "fr", None]), r.choice(["de", "en", None])) for i, t in enumerate(texts)]
+    rows += rows[:5]  # repeated rows count as often as they stand
+    frame = spark.createDataFrame(rows, "doc_id long, text string, host string, suffix string, declared string")
+    got = sorted((x.doc_id, x.lang, round(x.probability, 6), x.rejected) for x in identify(frame, model, ["doc_id"]).collect())
+
+    n = len(model.languages)
+    ll, count = model.score(pa.array([x[1] or "" for x in rows]))
+    soft = lambda v: (lambda e: e / e.sum())(np.exp(v - v.max()))
+    post = [soft(np.append(v[:n], v[n] + math.log(BACKGROUND * n)))[:n] if c else np.zeros(n) for v, c in zip(ll, count)]
+    total = sum(post)
+    overall = (total + 1) / (total.sum() + n)
+    add = lambda keep: sum((p for p, x in zip(post, rows) if keep(x)), np.zeros(n))
+    near = lambda c, towards: (c + 8 * towards) / (c.sum() + 8)
+    suffixes = {k: near(add(lambda x: x[3] == k), overall) for k in ("de", "fr")}
+    above = {h: max((tuple(suffixes[x[3]]) for x, c in zip(rows, count) if x[2] == h and x[3] and c), default=tuple(overall)) for h in ("a", "b")}
+    hosts = {h: near(add(lambda x: x[2] == h), np.array(above[h])) for h in ("a", "b")}
+    said = add(lambda x: x[4] is not None)
+    like = {k: (add(lambda x: x[4] == k) + 8 * add(lambda x: x[4] == k).sum() / said.sum()) / (said + 8) for k in ("de", "en")}
+    want = []
+    for x, v, c in zip(rows, ll, count):
+        prior = hosts.get(x[2], suffixes.get(x[3], overall))
+        d = like.get(x[4])
+        p = soft(np.append(v[:n] + np.log(prior) + (np.log(d) if d is not None else 0), v[n] + math.log(BACKGROUND) + (math.log((d * overall).sum()) if d is not None else 0)))[:n]
+        want.append((x[0], model.languages[int(p.argmax())], round(float(p.max()), 6), bool(p.max() < 0.5)) if c else (x[0], "und", 0.0, True))
+    assert got == sorted(want)
+
+
 def test_language_of_unlabelled_text_is_rejected(spark, sf):
     """Text in an unlabelled language and random letters; class size is no bonus."""
     df = spark.read.parquet(f"{sf}/documents.parquet")
