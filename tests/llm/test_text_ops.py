@@ -269,11 +269,11 @@ def test_probabilities_sum_to_one_and_match_a_plain_loop():
     scorer = lm_score.Scorer(p, memory)
     own, targets = lm_score.windows([np.append(texts[2], lm_score.END)])
     for k in (0, 1, 2, 9, 40):
-        near = np.repeat(own[k : k + 1], lm_score.CLASSES, axis=0)
+        near = np.repeat(own[:, k : k + 1], lm_score.CLASSES, axis=1)
         assert math.isclose(np.exp(scorer.score(near, np.arange(lm_score.CLASSES, dtype=np.int32))).sum(), 1, rel_tol=1e-4)
     got = scorer.score(own, targets)
     for k in range(len(targets)):
-        x, y = own[k], int(targets[k])
+        x, y = own[:, k], int(targets[k])
         logits, values = [], []
         for d in range(lm_score.REACH):
             if x[d] == lm_score.PAD:
@@ -322,7 +322,7 @@ def test_windows_and_gradients():
     texts = [np.append(rng.integers(0, 50, size=n), lm_score.END) for n in (0, 16, 17, 50)]
     near, targets = lm_score.windows(texts)
     assert targets.tolist() == np.concatenate(texts).tolist()  # each token once
-    assert near[0].tolist() == [lm_score.START] + [lm_score.PAD] * (lm_score.REACH - 1)
+    assert near[:, 0].tolist() == [lm_score.START] + [lm_score.PAD] * (lm_score.REACH - 1)
     _, _, memory = _memory([t[:-1] for t in texts])
     p = lm_score.start_params()
     loss, grad = lm_score.gradients(p, memory, near, targets, own=0)
