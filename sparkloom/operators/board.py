@@ -300,6 +300,19 @@ def reuse_labels(new: DataFrame, old: DataFrame, generic: list[str], stability:
     return found.select("cluster", F.coalesce("by_print", line).alias("label"))
 
 
+def expand_summaries(hits: DataFrame, keys: list[str], chunk: str, members: str, rank: str, score: str) -> DataFrame:
+    """(keys, chunk, summary, score, place): a summary's members stand in its place
+    and inherit its score; other hits stay, without a summary; of a chunk that
+    comes up twice the first place counts (J16). ``members``: an array, null or
+    empty for plain hits."""
+    member = F.transform(members, lambda m: F.struct(m.alias("chunk"), F.col(chunk).alias("summary")))
+    plain = F.array(F.struct(F.col(chunk).alias("chunk"), F.lit(None).alias("summary")))
+    each = hits.select(*keys, rank, score, F.posexplode(F.when(F.size(members) > 0, member).otherwise(plain)).alias("_p", "_leaf"))
+    first = each.groupBy(*keys, F.col("_leaf.chunk").alias("_chunk")).agg(F.min(F.struct(rank, "_p", score, F.col("_leaf.summary").alias("summary"))).alias("_f"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(f"_f.{rank}"), F.col("_f._p")))
+    return first.select(*keys, F.col("_chunk").alias(chunk), "_f.summary", F.col(f"_f.{score}").alias(score), place.alias("place"))
+
+
 def shift_status(items: DataFrame, parents: DataFrame, key: str, status: str, action: str) -> DataFrame:
     """``items`` with ``new_status`` after their parents' actions: archive puts away
     what is open, activate brings archived ones back (D18)."""

@@ -305,6 +305,17 @@ def j14_evidence_graph(spark: SparkSession, d: str) -> DataFrame:
     return board.evidence_graph(_t(spark, d, "lineitem"), "l_orderkey", doc, F.col("l_shipdate").cast("date").cast("string"))
 
 
+@_register(
+    """WITH e AS (SELECT conv_id, turn, turn % 5 AS score, CASE WHEN turn % 3 = 0 THEN turn END AS summary, unnest(CASE WHEN turn % 3 = 0 THEN [turn + 2, turn + 1] ELSE [turn] END) AS chunk, unnest(CASE WHEN turn % 3 = 0 THEN [0, 1] ELSE [0] END) AS p FROM conversations),
+    f AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY conv_id, chunk ORDER BY turn, p) = 1)
+    SELECT conv_id, chunk, summary, score, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, p) AS INTEGER) AS place FROM f"""
+)
+def j16_expand_summaries(spark: SparkSession, d: str) -> DataFrame:
+    turn = F.col("turn")
+    hits = _t(spark, d, "conversations").select("conv_id", "turn", turn.alias("chunk"), (turn % 5).alias("score"), F.when(turn % 3 == 0, F.array(turn + 2, turn + 1)).alias("members"))
+    return board.expand_summaries(hits, ["conv_id"], "chunk", "members", "turn", "score")
+
+
 @_register("SELECT c.c_custkey AS cluster, coalesce(s.by_print, CASE WHEN c.c_custkey % 10 >= 1 AND lower(n.n_name) <> 'nation3' THEN n.n_name END) AS label FROM customer c LEFT JOIN (SELECT n_nationkey * 2 AS f, min(n_name) AS by_print FROM nation GROUP BY 1) s ON s.f = c.c_custkey LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey")
 def j17_reuse_labels(spark: SparkSession, d: str) -> DataFrame:
     c = F.col
