@@ -313,6 +313,13 @@ def expand_summaries(hits: DataFrame, keys: list[str], chunk: str, members: str,
     return first.select(*keys, F.col("_chunk").alias(chunk), "_f.summary", F.col(f"_f.{score}").alias(score), place.alias("place"))
 
 
+def document_chunks(chunks: DataFrame, document: str, wanted: str, index: str, owner: str = "", who: str = "") -> DataFrame:
+    """One document's chunks by index; ``who`` also pins the owner, empty reads
+    all (R07). Both conditions reach the scan."""
+    rows = chunks.where(F.col(document) == wanted)
+    return (rows.where(F.col(owner) == who) if who else rows).orderBy(index)
+
+
 def shift_status(items: DataFrame, parents: DataFrame, key: str, status: str, action: str) -> DataFrame:
     """``items`` with ``new_status`` after their parents' actions: archive puts away
     what is open, activate brings archived ones back (D18)."""

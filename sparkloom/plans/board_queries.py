@@ -316,6 +316,13 @@ def j16_expand_summaries(spark: SparkSession, d: str) -> DataFrame:
     return board.expand_summaries(hits, ["conv_id"], "chunk", "members", "turn", "score")
 
 
+@_register("SELECT l_linenumber, l_partkey, l_returnflag FROM lineitem WHERE l_orderkey = (SELECT min(l_orderkey) FROM lineitem WHERE l_returnflag = 'R') AND l_returnflag = 'R'")
+def r07_document_chunks(spark: SparkSession, d: str) -> DataFrame:
+    lines = _t(spark, d, "lineitem")
+    document = lines.where("l_returnflag = 'R'").agg(F.min("l_orderkey")).first()[0]
+    return board.document_chunks(lines, "l_orderkey", document, "l_linenumber", "l_returnflag", "R").select("l_linenumber", "l_partkey", "l_returnflag")
+
+
 @_register("SELECT c.c_custkey AS cluster, coalesce(s.by_print, CASE WHEN c.c_custkey % 10 >= 1 AND lower(n.n_name) <> 'nation3' THEN n.n_name END) AS label FROM customer c LEFT JOIN (SELECT n_nationkey * 2 AS f, min(n_name) AS by_print FROM nation GROUP BY 1) s ON s.f = c.c_custkey LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey")
 def j17_reuse_labels(spark: SparkSession, d: str) -> DataFrame:
     c = F.col
