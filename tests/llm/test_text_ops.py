@@ -231,9 +231,12 @@ def _memory(texts):
     table = np.arange(1 << 16) % lm_score.END
     batch = pa.RecordBatch.from_arrays([pa.array([t.astype("<u2").tobytes() for t in texts], pa.binary())], ["ids"])
     counts = Counter()
-    for b in lm_score._followers(table, most=50)(iter([batch, batch])):
-        for key, c in zip(*(b.column(k).to_pylist() for k in ("key", "c"))):
-            counts[key] += c
+    packed = list(lm_score._followers(table, most=50)(iter([batch, batch])))
+    for pair, part, keys, c in (r.values() for b in lm_score._merged(iter(packed)) for r in b.to_pylist()):
+        keys, c = np.frombuffer(keys, "<i4"), np.frombuffer(c, "<i8")
+        assert set(keys % lm_score.PARTS) == {part} and (np.diff(keys) > 0).all() and set(keys >= lm_score._PAIR_KEYS) == {pair}
+        assert not set(keys.tolist()) & set(counts)  # each key once
+        counts.update(dict(zip(keys.tolist(), c.tolist())))
     keys, c = np.array(list(counts)), np.array(list(counts.values()))
     pair = keys >= lm_score._PAIR_KEYS
     kept = pair & (c > 2)
