@@ -124,7 +124,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
         return tables.keep(Saved(_found(vectors, queries, k, id_col, vector_col, scale), "topk-found"))
 
 
-def _found(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str, scale: int) -> DataFrame:
+def components(df: DataFrame, id_col: str, vector_col: str, scale: int, *others: Column) -> DataFrame:
+    """(vec_id, others, v): components floor(scale * x), those beyond a long as
+    its limit; without rows whose id is null or whose vector is null, empty or
+    holds null or non-finite components."""
     x = F.col(vector_col)
     whole = F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0)
     finite = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) < float("inf")))
@@ -134,8 +137,12 @@ def _found(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector_c
         high = F.lit(float(1 << 63))
         return F.when(y >= high, F.lit((1 << 63) - 1)).when(y <= -high, F.lit(-(1 << 63))).otherwise(F.floor(F.when(F.abs(y) < high, y)))
 
+    return df.where(whole).where(finite).select(F.col(id_col).cast("long").alias("vec_id"), *others, F.transform(x, component).alias("v"))
+
+
+def _found(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str, scale: int) -> DataFrame:
     def clean(df: DataFrame) -> DataFrame:
-        return df.where(whole).where(finite).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, component).alias("v"))
+        return components(df, id_col, vector_col, scale)
 
     base = Saved(clean(vectors), "topk-vectors").df
     asked = clean(queries).groupBy("vec_id").agg(F.max("v").alias("v"))
