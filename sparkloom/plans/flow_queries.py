@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chunks
 from ..sources import delimited, exports
-from ..streaming import counters
+from ..streaming import counters, stateful
 from .queries import _register, _t
 
 
@@ -85,6 +85,50 @@ def x06_lockouts(spark: SparkSession, d: str) -> DataFrame:
     return counters.lockouts(_t(spark, d, "events"), "user_id", "ts", "event_id", kind == "error", kind == "purchase", 2, 864000, 900)
 
 
+def _events_in_order(spark: SparkSession, d: str) -> DataFrame:
+    return counters.events_stream(spark, d, "events.parquet")
+
+
+@_register(
+    """WITH s AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM s),
+    c AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS last_until, count(*) AS n FROM g GROUP BY user_id, run)
+    SELECT c.* FROM c, (SELECT max(ts) AS m FROM events) WHERE epoch_ms(last_until) < epoch_ms(m) - 1000"""
+)
+def x05_living_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Counters that have ended, from state with timers, over the events as a stream."""
+    found = counters.run_available(stateful.living_counts(_events_in_order(spark, d), "ts", ["user_id"], 21600, "event_id", "1 second"), ["user_id"], "append")
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "last_until")})
+
+
+@_register(None)
+def x06_throttle_stream(spark: SparkSession, d: str) -> DataFrame:
+    """What becomes of each attempt: errors are failures, purchases successes."""
+    kind = F.col("event_type")
+    events = _events_in_order(spark, d).where(kind.isin("error", "purchase"))
+    return counters.run_available(stateful.throttled(events, "ts", ["user_id"], "event_id", kind == "purchase", 3, 864000, 86400, "1 second"), ["user_id"], "append")
+
+
+_X09_SQL = """WITH e AS (SELECT user_id, event_id, ts, CAST(floor(value) AS BIGINT) % 3 AS value FROM events),
+    c AS (SELECT * FROM (SELECT *, coalesce(lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS was FROM e) WHERE value <> was),
+    s AS (SELECT *, ts + INTERVAL 12 HOUR AS fired_at FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt, (SELECT max(ts) FROM e) AS m FROM c) WHERE value > 0 AND ts + INTERVAL 12 HOUR <= coalesce(nxt, m)),
+    f AS (SELECT user_id, value, fired_at, m FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last FROM s) WHERE last IS NULL OR last <> value)
+    SELECT user_id, value, fired_at FROM f"""
+
+
+@_register(_X09_SQL)
+def x09_trigger(spark: SparkSession, d: str) -> DataFrame:
+    """Values that stood for half a day, once each."""
+    return counters.decided(_t(spark, d, "events"), "user_id", "ts", "event_id", F.floor("value") % 3, 43200)
+
+
+@_register(_X09_SQL + " WHERE epoch_ms(fired_at) < epoch_ms(m) - 1000")
+def x09_trigger_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same from state with timers, over the events as a stream."""
+    found = stateful.debounced(_events_in_order(spark, d), "ts", ["user_id"], "event_id", F.floor("value") % 3, 43200, "1 second")
+    return counters.run_available(found, ["user_id"], "append").withColumn("fired_at", F.col("fired_at").cast("timestamp_ntz"))
+
+
 @_register("SELECT event_type, date_trunc('minute', ts) AS minute, count(*) AS requests, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
 def x07_per_minute(spark: SparkSession, d: str) -> DataFrame:
     return counters.per_minute(_t(spark, d, "events"), "ts", ["event_type"], "value").withColumn("total", F.round("total", 6))

@@ -10,12 +10,14 @@ neighbours for the relational joins.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import maths, scoring, text
 from ..operators import catalog, graph, retrieval, vectors
+from ..tables import scope
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -23,7 +25,13 @@ ORACLE: dict[str, str] = {}
 
 def _register(sql: str | None = None):
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def run(spark: SparkSession, d: str) -> DataFrame:
+            """Tables saved on the way are deleted; the result is one then."""
+            with scope() as tables:
+                return tables.result(f(spark, d), f.__name__)
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLE[f.__name__] = sql
         return f

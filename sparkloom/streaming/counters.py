@@ -7,8 +7,10 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..tables import Saved, shared_dir
+from ..tables import Saved, remove, shared_dir
+from .stateful import rocks
 
 
 def events_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 1) -> DataFrame:
@@ -17,23 +19,39 @@ def events_stream(spark: SparkSession, folder: str, name: str, files_per_trigger
     return spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
-def run_available(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
-    """The stream's result over all that is there now. A batch's rows replace
-    earlier ones of their keys, so that a batch that runs twice changes nothing
-    (X08): sums are set, not added."""
-    spark, state = stream.sparkSession, {}
+def run_available(stream: DataFrame, keys: list[str], mode: str = "update", folder: str | None = None) -> DataFrame:
+    """The stream's result over all that is there now.
 
-    def put(batch: DataFrame, number: int) -> None:
-        before = state.get("table")
-        rows = batch if before is None else batch.unionByName(before.df.join(batch.select(*keys).distinct(), keys, "left_anti"))
-        state["table"] = Saved(rows, f"stream-{number}")
-        if before is not None:
-            before.drop()
+    Each micro-batch writes just its own rows, to a folder of its number, so a
+    batch that runs twice replaces itself, and its cost is that of the keys that
+    changed (X08). In the modes "update" and "complete" a key's row in the last
+    batch that has it counts; in "append" all rows do. ``folder``, in a place all
+    executors share, keeps rows and checkpoint for a later run, which goes on
+    where this one ended; without it both are deleted."""
+    spark = stream.sparkSession
+    at = folder.rstrip("/") if folder else f"{shared_dir(spark)}/sparkloom-stream-{uuid.uuid4().hex}"
 
-    checkpoint = f"{shared_dir(spark)}/sparkloom-checkpoint-{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
-    query.awaitTermination()
-    return state["table"].df if "table" in state else spark.createDataFrame([], stream.schema)
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/rows/batch={number}")
+
+    with rocks(spark):
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(put).start()
+        query.awaitTermination()
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/rows")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        found = spark.createDataFrame([], stream.schema)
+    else:
+        schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+        found = spark.read.schema(schema).parquet(f"{at}/rows")
+        if mode != "append":
+            rest = [c for c in stream.columns if c not in keys]
+            found = found.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last")).select(*keys, "_last.*")
+        found = found.select(*stream.columns)
+    if folder:
+        return found
+    table = Saved(found, "stream")
+    remove(spark, at)
+    return table.df
 
 
 def per_minute(events: DataFrame, ts: str, keys: list[str], value: str) -> DataFrame:
@@ -64,6 +82,20 @@ def lockouts(events: DataFrame, key: str, ts: str, id_col: str, failed: Column,
     return nth.where(F.col("n") % most == 0).select(key, id_col, (F.col("t") + F.make_interval(secs=F.lit(lock_seconds))).alias("locked_until"))
 
 
+def decided(events: DataFrame, key: str, ts: str, id_col: str, value: Column, quiet_seconds: int) -> DataFrame:
+    """(key, value, fired_at): the batch form of ``stateful.debounced`` (X09): a
+    value that stands for ``quiet_seconds`` before it changes, or before the
+    last row of all, and isn't the one that fired last. Values of 0 or less
+    never fire."""
+    order = Window.partitionBy(key).orderBy("t", "i")
+    rows = events.select(key, F.col(ts).alias("t"), F.col(id_col).alias("i"), value.cast("long").alias("value"))
+    changes = rows.withColumn("was", F.coalesce(F.lag("value").over(order), F.lit(0))).where("value <> was")
+    until = changes.withColumn("next", F.lead("t").over(order)).join(F.broadcast(rows.agg(F.max("t").alias("end"))))
+    fired = F.col("t") + F.make_interval(secs=F.lit(quiet_seconds))
+    stood = until.withColumn("fired_at", fired).where("value > 0 AND fired_at <= coalesce(next, end)")
+    return stood.withColumn("last", F.lag("value").over(order)).where("last IS NULL OR last <> value").select(key, "value", "fired_at")
+
+
 def latest_status(events: DataFrame, key: str, status: str, order: Column, count: str) -> DataFrame:
     """(key, status, count): the latest status, and the latest count that isn't null."""
     return events.groupBy(key).agg(F.max_by(status, order).alias(status), F.max_by(count, F.when(F.col(count).isNotNull(), order)).alias(count))

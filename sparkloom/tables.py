@@ -30,6 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[context.applicationId]
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared store with all in it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Saved:
     """A DataFrame written to the shared folder as Parquet, which cuts its lineage."""
 
@@ -42,14 +48,14 @@ class Saved:
             own.append(self)
 
     def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, self.path)
 
 
 class Scope:
     """The tables saved inside ``scope()``."""
 
-    def __init__(self):
+    def __init__(self, mine: list[Saved]):
+        self.mine = mine
         self.kept: list[Saved] = []
 
     def keep(self, table: Saved) -> DataFrame:
@@ -57,6 +63,13 @@ class Scope:
         self.kept.append(table)
         return table.df
 
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        """``df``, kept if it is a table of this scope, saved and kept if it may read some."""
+        own = [table for table in self.mine if table.df is df]
+        if own or not self.mine:
+            return self.keep(own[0]) if own else df
+        return self.keep(Saved(df, name))
+
 
 @contextmanager
 def scope() -> Iterator[Scope]:
@@ -65,7 +78,7 @@ def scope() -> Iterator[Scope]:
     mine: list[Saved] = []
     outer = _OPEN.get()
     token = _OPEN.set(mine)
-    found = Scope()
+    found = Scope(mine)
     try:
         yield found
     finally:
