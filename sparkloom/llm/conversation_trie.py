@@ -22,7 +22,7 @@ from ._spark import Saved, scope
 
 #: Most turns of a group that becomes one trie, of a task's groups on average,
 #: and most turns of a conversation that are looked at at once.
-GROUP, TASK, SPAN = 2000, 4000, 512
+GROUP, TASK, SPAN = 1000, 1000, 512
 #: Most oversized groups whose keys are broadcast.
 BROADCAST = 50_000
 #: Ids alike but for so many bits are one piece of text.
@@ -159,7 +159,7 @@ def prefix_trie(convs: DataFrame, turns: DataFrame) -> DataFrame:
     one, whose members are all of ``convs`` (conv).
 
     Groups start as the conversations of one first turn. Round by round: groups
-    of one member give a chain of nodes natively; groups of at most 2000 turns
+    of one member give a chain of nodes natively; groups of at most 1000 turns
     in all and 512 in each become tries in tasks; of any other group the turns
     that all members share (among the next 512; the common prefix of its
     smallest and its largest member, by digests) are nodes of one chain, and
