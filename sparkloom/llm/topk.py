@@ -13,6 +13,10 @@ from ._spark import Saved, scope
 
 #: Vectors in a block, and queries that meet a block in one task.
 BLOCK, QUERIES = 4096, 4096
+#: Queries that read a block's lists together.
+GROUP = 256
+#: Stands for no floor.
+_NONE = -(1 << 63)
 
 
 class SortedLists:
@@ -27,41 +31,70 @@ class SortedLists:
         self.values = np.take_along_axis(whole, self.lists, axis=0)
 
     def top(self, query: np.ndarray, own: int, k: int, floor: float = -math.inf, first: int = 4) -> tuple[np.ndarray, np.ndarray, int]:
-        """(ids, scores, number of vectors scored): the k highest inner products,
-        ties to smaller ids, without rows of the query's own id; those under
-        ``floor`` may be missing.
-
-        The lists of all dimensions whose weight isn't 0 are read downwards at
-        once (upwards where the weight is negative), in steps that double. A
-        vector is scored when a list first names it. No unmet vector can score
-        above the inner product of the query with the components at the present
-        depth; once that is below the k-th score or the floor the search is over.
+        """``group`` for one query."""
+        (found,), scored = self.group(query[None, :], np.array([own]), k, [floor], first)
+        return *found, scored
+
+    def group(self, queries: np.ndarray, owns: np.ndarray, k: int, floors: list[float], first: int = 4) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+        """For each query (ids, scores), and the number of vectors scored: the k
+        highest inner products, ties to smaller ids, without rows of the query's
+        own id; those under its floor may be missing.
+
+        The lists of all dimensions in which some query has a weight are read
+        downwards at once (upwards for negative weights), in steps that double.
+        A vector is scored when a list first names it, for all queries of the
+        group that are still open, as one product. For a query no unmet vector
+        can score above its inner product with the components at the present
+        depth; once that is below its k-th score or its floor it is closed.
         """
         n, d = self.whole.shape
-        plus, minus = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
-        limit = self.most * max((abs(int(x)) for x in query), default=0) * d
+        limit = self.most * max((abs(int(x)) for x in (queries.max(initial=0), queries.min(initial=0))), default=0) * d
         kind = np.float64 if limit < 1 << 53 else np.int64 if limit < 1 << 63 else object
-        vectors, values, q = (x.astype(kind, copy=False) for x in (self._as(kind), self.values, query))
-        met = np.zeros(n, dtype=bool)
-        at, scores = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=kind)
-        depth, step = 0, first
-        while depth < n:
-            bound = (q[plus] * values[depth, plus]).sum() + (q[minus] * values[n - 1 - depth, minus]).sum()
-            kth = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else -math.inf
-            if bound < max(kth, floor):
+        vectors, values, q = (x.astype(kind, copy=False) for x in (self._as(kind), self.values, queries))
+        plus, minus = np.maximum(q, 0), np.minimum(q, 0)
+        down, up = np.flatnonzero((queries > 0).any(axis=0)), np.flatnonzero((queries < 0).any(axis=0))
+        begin, end = np.searchsorted(self.ids, owns, "left"), np.searchsorted(self.ids, owns, "right")
+        met, rows = np.zeros(n, dtype=bool), np.zeros(0, dtype=np.int64)
+        scores = [np.zeros(0, dtype=kind)] * len(queries)
+        open_, depth, step = np.arange(len(queries)), 0, first
+        while depth < n and len(open_):
+            bound = plus[open_] @ values[depth] + minus[open_] @ values[n - 1 - depth]
+            open_ = open_[[not b < max(floors[i], self._kth(scores[i], k)) for i, b in zip(open_, bound.tolist())]]
+            if not len(open_):
                 break
-            end = min(n, depth + step)
-            named = np.concatenate([self.lists[depth:end, plus].ravel(), self.lists[n - end : n - depth, minus].ravel()]) if len(plus) + len(minus) else np.arange(n)
-            new = np.unique(named[~met[named]])
-            met[new] = True
-            new = new[self.ids[new] != own]
-            at, scores = np.concatenate([at, new]), np.concatenate([scores, vectors[new] @ q])
-            if len(scores) > 4 * k + 1024:  # only what may still be among the best
-                stay = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
-                at, scores = at[stay], scores[stay]
-            depth, step = end, 2 * step
-        best = np.lexsort((at, -scores))[:k]  # ids are in order of their places
-        return self.ids[at[best]], _as_long(scores[best]), int(met.sum())
+            last = min(n, depth + step)
+            named = np.concatenate([self.lists[depth:last, down].ravel(), self.lists[n - last : n - depth, up].ravel()]) if len(down) + len(up) else np.arange(n)
+            hit = np.zeros(n, dtype=bool)
+            hit[named] = True
+            new = np.flatnonzero(hit & ~met)
+            met |= hit
+            if len(new):
+                found = q[open_] @ vectors[new].T
+                rows = np.concatenate([rows, new])
+                for i, s in zip(open_, found):
+                    scores[i] = np.concatenate([scores[i], s])
+                    own = (new >= begin[i]) & (new < end[i])
+                    if own.any():  # a row of the query's own id is no candidate
+                        scores[i][len(scores[i]) - len(new) :][own] = -math.inf if kind is not np.int64 else -(1 << 63)
+            depth, step = last, 2 * step
+        out = []
+        for i, s in enumerate(scores):
+            at = rows[: len(s)]
+            keep = ~((at >= begin[i]) & (at < end[i]))
+            at, s = at[keep], s[keep]
+            if len(s) > 4 * k:  # only what may be among the best
+                near = s >= self._kth(s, k)
+                at, s = at[near], s[near]
+            best = np.lexsort((at, -s))[:k]  # ids are in order of their places
+            out.append((self.ids[at[best]], _as_long(s[best])))
+        return out, int(met.sum())
+
+    @staticmethod
+    def _kth(scores: np.ndarray, k: int):
+        if len(scores) < k:
+            return -math.inf
+        kth = np.partition(scores, len(scores) - k)[len(scores) - k]
+        return kth.item() if isinstance(kth, np.generic) else kth
 
     def _as(self, kind: type) -> np.ndarray:
         if kind not in self.kinds:
@@ -82,12 +115,13 @@ def _search(k: int):
         if not len(queries) or not len(vectors):
             return none
         lists = SortedLists(vectors["vec_id"].to_numpy(), np.stack(vectors["v"].to_numpy()).astype(np.int64))
-        ids, floors = queries["vec_id"].to_numpy(), queries["floor"].fillna(-np.inf).to_numpy(dtype=float)
+        ids, floors = queries["vec_id"].to_numpy(), [-math.inf if f == _NONE else f for f in queries["floor"].tolist()]
         asked = np.stack(queries["v"].to_numpy()).astype(np.int64)
         out = []
-        for q, own, floor in zip(asked, ids, floors):
-            found, scores, _ = lists.top(q, int(own), k, floor)
-            out.append((np.full(len(found), own), found, scores))
+        for at in range(0, len(ids), GROUP):
+            part = slice(at, at + GROUP)
+            for own, (found, scores) in zip(ids[part], lists.group(asked[part], ids[part], k, floors[part])[0]):
+                out.append((np.full(len(found), own), found, scores))
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out)))))
 
     return block
@@ -167,10 +201,10 @@ def _found(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector_c
         left = left.select("grp", "block", "vec_id", "v", "floor").groupBy("grp", "block")
         return left.cogroup(right.select("grp", "block", "vec_id", "v").groupBy("grp", "block")).applyInPandas(_search(k), _FOUND)
 
-    near = Saved(_best(meet(asked.withColumn("floor", F.lit(None).cast("double")), True), k).drop("rank"), "topk-near").df
+    near = Saved(_best(meet(asked.withColumn("floor", F.lit(_NONE).cast("long")), True), k).drop("rank"), "topk-near").df
     found = near
     if blocks > 1:
-        floors = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("floor")).withColumnRenamed("query_id", "f_id")
-        rest = meet(asked.join(floors, F.col("vec_id") == F.col("f_id"), "left"), False)
+        floors = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(_NONE)).alias("floor")).withColumnRenamed("query_id", "f_id")
+        rest = meet(asked.join(floors, F.col("vec_id") == F.col("f_id"), "left").withColumn("floor", F.coalesce("floor", F.lit(_NONE).cast("long"))), False)
         found = near.unionByName(rest)
     return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
