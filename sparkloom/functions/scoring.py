@@ -47,6 +47,14 @@ def evidence_confidence(supports: Column, contradicts: Column, verdict: Column)
     return F.when((supports + contradicts == 0) & (F.coalesce(verdict, F.lit("")) == ""), 0.5).otherwise(by)
 
 
+def transfer_score(similarity: Column, strength: Column, has: Column, covered: int = 5) -> Column:
+    """Similarity of the goals times the strength of what is transferred
+    times what the recipient lacks of ``covered``, each in [0, 1], to four
+    places. A missing strength counts as 0."""
+    unit = lambda x: F.least(F.greatest(F.coalesce(x, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    return F.round(unit(unit(similarity) * unit(strength) * (1 - unit(has / covered))), 4)
+
+
 def trl_fit(trl: Column) -> Column:
     """D04."""
     return F.when(trl.isNull() | (trl < 1), 0.5).otherwise((F.least(trl, F.lit(9)) - 1) / 8)

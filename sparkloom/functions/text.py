@@ -47,29 +47,123 @@ def years(text: Column, head: int = 800, low: int = 1980, high: int = 2027) -> C
     return F.array_max(F.filter(found, lambda y: (y >= low) & (y <= high)))
 
 
+#: Headings that open a list of references or thanks, and how its entries look. Fixed values.
+_TAIL = "^\\W{0,6}(references|bibliography|works cited|acknowledge?ments?|список\\s+литератур|литература|библиографи|благодарност)\\b"
+_MARKER = "\\[\\s*\\d{1,3}\\s*\\]"
+_DOI = "(?i)(doi\\s*[:.]?\\s*|https?://(dx\\.)?doi\\.org/)?10\\.\\d{4,9}/\\S+"
+_WORD = "[A-Za-zА-Яа-я]{2,}"
+
+
 def is_references(text: Column) -> Column:
-    """Reference lists: a heading at the start, five bracketed numbers, or a density of DOIs."""
-    words = F.size(F.filter(F.split(text, "\\s+"), lambda w: w != ""))
-    dois = F.regexp_count(text, F.lit("10\\.\\d{4,9}/"))
-    head = F.lower(F.substring(text, 1, 120))
-    return head.rlike("^\\s*(references|bibliography|literature cited)\\b") | (F.regexp_count(text, F.lit("\\[\\d+\\]")) >= 5) | ((dois >= 3) & (dois > words * 0.025))
+    """Reference lists: a heading at the start, after numbers, dots and signs of
+    headings; five bracketed numbers; or three DOIs, one in 40 words (T11)."""
+    bare = F.trim(F.regexp_replace(text, "^\\s+|\\s+$", ""))
+    head = F.regexp_replace(F.regexp_replace(F.substring(bare, 1, 120), "\\s+", " "), "^[ .#0-9]+", "")
+    words = F.greatest(F.regexp_count(bare, F.lit(_WORD)), F.lit(1))
+    dois = F.regexp_count(bare, F.lit(_DOI))
+    return (bare != "") & (head.rlike(f"(?iuU){_TAIL}") | (F.regexp_count(bare, F.lit(_MARKER)) >= 5) | ((dois >= 3) & (dois / words > 0.025)))
 
 
 def is_prose(text: Column) -> Column:
-    """200 characters, 30 words and two sentence ends or more, and no reference list."""
-    words = F.size(F.filter(F.split(text, "\\s+"), lambda w: w != ""))
-    return (F.length(text) >= 200) & (words >= 30) & (F.regexp_count(text, F.lit("[.!?](\\s|$)")) >= 2) & ~is_references(text)
+    """200 characters after collapsing, 30 words of two letters and two sentence
+    ends or more, and no reference list (T12)."""
+    flat = collapse(text)
+    enough = (F.length(flat) >= 200) & (F.regexp_count(flat, F.lit(_WORD)) >= 30) & (F.regexp_count(flat, F.lit("[.!?](\\s|$)")) >= 2)
+    return enough & ~is_references(flat)
+
+
+#: What marks a comparison, a chain of clauses, and salient names in a question. Fixed values.
+_COMPARES = ("compare", "comparison", "compared to", "versus", "difference", "differ", "trade-?off", "pros and cons", "relationship between", "сравн", "различ", "разниц", "отлич", "взаимосвяз", "соотнош", "по сравнению")
+_CLAUSES = ("and", "and then", "as well as", "or")
+_CLAUSES_RU = (" и ", " или ", " а также ", " затем ", " потом ")
+_QUOTED = "\"[^\"]{1,80}\"|«[^»]{1,80}»"
+_NAMES = "[A-ZА-ЯЁ]\\p{L}+(?:[ \\-][A-ZА-ЯЁ]\\p{L}+)+"
+_PROPER = "^[A-ZА-ЯЁ]\\p{Ll}+$"
 
 
-def needs_steps(question: Column) -> Column:
-    """Points for a question that one retrieval may not answer: comparison 2, two
-    question marks 1, two clause markers 1, 18 tokens 1; two points or more (F15)."""
+def _edge(side: str) -> str:
+    """An end of a word of ASCII letters, digits and underscores, before or behind."""
+    return {"before": "(?<![0-9A-Za-z_])", "behind": "(?![0-9A-Za-z_])"}[side]
+
+
+def entities(question: Column) -> Column:
+    """The distinct salient names of a question: quoted spans, capitalised names
+    of several words, acronyms of two to six capitals, and capitalised words but
+    the first (F15)."""
+    acronym = f"{_edge('before')}[A-Z](?:[A-ZА-ЯЁ]{{0,4}}[A-Z]){_edge('behind')}"
+    spans = [F.regexp_extract_all(question, F.lit(f"({p})"), F.lit(1)) for p in (_QUOTED, _NAMES, acronym)]
+    fields = F.filter(F.split(question, "\\s+"), lambda w: w != "")
+    proper = F.filter(F.slice(fields, F.lit(2), F.greatest(F.size(fields), F.lit(1))), lambda w: w.rlike(_PROPER))
+    return F.array_distinct(F.transform(F.concat(*spans, proper), lambda x: F.lower(F.trim(x))))
+
+
+def needs_steps(question: Column, prompt: Column | None = None) -> Column:
+    """Whether one retrieval may not answer a question: a comparison counts 2,
+    two question marks, two clause markers, two salient names and 18 words 1
+    each; from two points on. Never with a prompt of its own (F15)."""
     low = F.lower(question)
-    compare = low.rlike("\\b(compare|versus|vs|difference|better|worse)\\b").cast("int") * 2
-    marks = (F.regexp_count(question, F.lit("\\?")) >= 2).cast("int")
-    clauses = (F.regexp_count(low, F.lit("\\b(and|then|while|because|also)\\b")) >= 2).cast("int")
-    long = (F.size(F.filter(F.split(low, "[^\\p{L}\\p{Nd}]+"), lambda w: w != "")) >= 18).cast("int")
-    return compare + marks + clauses + long >= 2
+    versus = f" vs\\.(?=[0-9A-Za-z_])| vs{_edge('behind')}"
+    compare = low.rlike(f"{'|'.join(_COMPARES)}|{versus}").cast("int") * 2
+    marks = (F.length(question) - F.length(F.replace(question, F.lit("?"), F.lit(""))) >= 2).cast("int")
+    chained = "|".join([f"{_edge('before')}{x}{_edge('behind')}" for x in _CLAUSES] + list(_CLAUSES_RU))
+    clauses = (F.regexp_count(low, F.lit(chained)) >= 2).cast("int")
+    names = (F.size(entities(question)) >= 2).cast("int")
+    long = (F.size(F.filter(F.split(question, "\\s+"), lambda w: w != "")) >= 18).cast("int")
+    points = compare + marks + clauses + names + long >= 2
+    return points if prompt is None else points & (F.trim(F.coalesce(prompt, F.lit(""))) == "")
+
+
+#: Words that say nothing about a theme. Fixed values.
+STOP_WORDS = """
+после также более может должны которые between which
+the and for from with without into onto over under
+that this these those there where when what how why
+have has had were was are is been being can could
+should would will may might must all any each some
+such than then also via towards toward using used
+your our their its his her along
+based results research paper study article
+abstract introduction method methods table figure
+university department school faculty institute center centre
+laboratory lab hospital clinic author authors published
+conference journal china germany denmark taiwan arizona
+heidelberg beijing tsinghua peking medical medicine image
+images imaging model models learning deep network networks
+framework approach task tasks data dataset datasets
+performance evaluation benchmark efficient
+название аннотация ключевые слова группа работ
+technion israel haifa stanford edu dept cse pes
+bengaluru india rwth aachen monash melbourne gmail
+com labs cave technology hong kong rio janeiro
+coppe federal usa united states massachusetts cambridge
+atlanta emory montreal canada zagreb croatia zju
+zhejiang hangzhou evanston francisco london king college
+chengdu cityu dkfz german los alamos aramco saudi
+concordia software computer science
+""".split()
+#: Words that alone are no label. Fixed values.
+GENERIC = """
+medical medicine imaging image images learning university
+department china germany clinical healthcare multimodal
+vision model models framework benchmark technology research
+тема медицина изображения обучение университет модель модели
+""".split()
+
+
+def is_generic(label: Column) -> Column:
+    """A label without words, of one generic word, or of which all words but at
+    most one are generic or stop words (T14)."""
+    words = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(label, F.lit(""))), "[^a-zа-я0-9 ]+", " "), " "), lambda w: w != "")
+    hits = F.size(F.filter(words, lambda w: w.isin(*GENERIC, *STOP_WORDS)))
+    return (F.size(words) == 0) | (hits >= F.greatest(F.lit(1), F.size(words) - 1))
+
+
+def phrase_tokens(text: Column) -> Column:
+    """The words phrases are made of: three letters or more, no numbers, no
+    identifiers of papers, no stop words (A21)."""
+    clean = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-zа-я0-9+ -]+", " ")
+    paper = "^(\\d+|\\d{4,}v\\d+|[a-z]+\\d{4,}v?\\d*)$"
+    return F.filter(F.split(clean, " "), lambda w: (F.length(w) >= 3) & ~w.rlike(paper) & ~w.isin(*STOP_WORDS))
 
 
 def file_route(mime: Column, filename: Column) -> Column:
@@ -151,7 +245,94 @@ def extractive_answer(texts: Column, titles: Column, most: int = 3, width: int =
     return F.array_join(lines, "\n")
 
 
-def direction(text: Column) -> Column:
-    """Whether a measure should fall; it should rise if nothing is said."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.when(low.rlike("decrease|reduce|lower|minimi[sz]e|сниж|уменьш"), "decrease").otherwise("increase")
+#: Words for each direction of a measure. Fixed values.
+_FALLS = "decrease|reduc|lower|сниз|уменьш|сократ|минимиз|удешев"
+_RISES = "increase|raise|improv|maximi|повыс|увелич|улучш|рост|максимиз"
+_STAYS = "maintain|stable|поддерж|сохран|удерж|стабил"
+
+
+def direction(said: Column, context: Column | None = None) -> Column:
+    """Whether a measure should rise, fall or stay: as said, else by words of
+    what is said and of its context, of which falling counts first; it should
+    rise if nothing is found (T21)."""
+    plain = F.lower(collapse(F.coalesce(said, F.lit(""))))
+    low = F.lower(F.concat_ws(" ", F.coalesce(said, F.lit("")), context if context is not None else F.lit("")))
+    found = F.when(low.rlike(_FALLS), "decrease").when(low.rlike(_RISES), "increase").when(low.rlike(_STAYS), "maintain").otherwise("increase")
+    return F.when(plain.isin("increase", "decrease", "maintain"), plain).otherwise(found)
+
+
+# ---- headings, kinds and highlights
+
+#: What opens captions and headings of chapters. Fixed values.
+_CAPTION_WORDS = "рис|рисунок|рисунке|рисунка|табл|таблица|таблице|таблицы|фиг|фигура|схема|формула|уравнение|диаграмма|fig|figure|table|eq|equation|scheme|chart|diagram|plate"
+_CHAPTER_WORDS = "глава|раздел|часть|приложение|введение|заключение|аннотация|реферат|список литературы|обозначения|chapter|section|part|appendix|introduction|conclusion|abstract|references|摘要|引言|绪论|实验方法|方法|实验|结果|讨论|结论|参考文献|致谢|§"
+_SECTION_NUMBER = "^\\s*\\d+(\\.\\d+){0,4}\\.?\\s+"
+_ENDS = "[.!?,;:。！？，；：]$"
+
+
+def is_heading(line: Column) -> Column:
+    """Headings of sections (S16): a number, then a capital, and not like a
+    sentence; a word such as Chapter; or a short line in capitals or with most
+    words capitalised. Captions and lines with a year are none."""
+    p = F.regexp_replace(F.coalesce(line, F.lit("")), "^\\s+|\\s+$", "")
+    n = F.length(p)
+    fields = F.filter(F.split(p, "\\s+"), lambda w: w != "")
+    words = F.size(fields)
+    lettered = F.filter(fields, lambda w: w.rlike("^\\p{L}"))
+    never = (p == "") | p.rlike(f"(?iu)^\\s*({_CAPTION_WORDS})[^\\p{{L}}\\d]{{0,3}}\\d") | p.rlike("(?<![0-9A-Za-z_])(19|20)\\d\\d(?![0-9A-Za-z_])")
+    body = F.regexp_replace(p, _SECTION_NUMBER, "")
+    after = F.trim(F.regexp_extract(body, "(?s)^[^.]*\\.(.*)$", 1))
+    later = F.size(F.filter(F.split(after, "\\s+"), lambda w: w != ""))
+    sentence = ((n > 80) & (words > 12)) | (p.rlike(_ENDS) & p.contains(",")) | (after.contains(" ") & (later >= 3))
+    numbered = (n <= 140) & p.rlike(f"{_SECTION_NUMBER}\\p{{L}}") & body.rlike("^[\\p{L}&&[^\\p{Ll}]]") & ~sentence
+    chapter = (n <= 140) & p.rlike(f"(?iu)^\\s*({_CHAPTER_WORDS})([^\\p{{L}}]|$)") & ~p.rlike(_ENDS)
+    letters, capitals = F.regexp_count(p, F.lit("\\p{L}")), F.regexp_count(p, F.lit("\\p{Lu}"))
+    upper = (letters > 0) & (capitals / letters >= 0.6)
+    titled = (F.size(lettered) >= 2) & (2 * F.size(F.filter(lettered, lambda w: w.rlike("^\\p{Lu}"))) > F.size(lettered))
+    short = (n <= 80) & (words <= 12) & ~p.rlike(_ENDS) & ~p.rlike("[,;]") & (upper | titled)
+    return ~never & (numbered | chapter | short)
+
+
+def kind_of_file(filename: Column, title: Column) -> Column:
+    """Documents of hypotheses by their name or title; "" for others."""
+    named = lambda c: F.coalesce(c, F.lit("")).contains("ипотез")
+    return F.when(named(filename) | named(title), "hypotheses").otherwise("")
+
+
+def kind_of_text(text: Column) -> Column:
+    """Documents of hypotheses by the first 400 letters: the word at the start
+    of the first line and a numbered list, or the word and a brainstorm (F13)."""
+    head = F.substring(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "^\\s+|\\s+$", "")), 1, 400)
+    line = F.trim(F.regexp_extract(head, "^([^\\r\\n]*)", 1))
+    listed = line.startswith("гипотез") & (head.contains("1.") | head.contains("1)"))
+    return F.when(listed | (head.contains("гипотез") & head.contains("мозгово")), "hypotheses").otherwise("")
+
+
+def highlighted(text: Column, query: str) -> Column:
+    """The text in parts (part, hit): a hit is a word of the query of three
+    letters or more, or a Chinese one, in either case, ё as е (T26)."""
+    import re
+
+    flat = query.lower().replace("ё", "е")
+    terms = [t for t in re.split(r"[^\w]+|_", flat) if len(t) >= 3 or re.search("[一-鿿]", t)]
+    if not terms:
+        return F.array(F.struct(text.alias("part"), F.lit(False).alias("hit")))
+    pattern = "|".join(re.escape(t).replace("е", "[её]") for t in terms)
+    parts = F.split(F.regexp_replace(text, f"(?iu)({pattern})", "\u0001$1\u0001"), "\u0001")
+    marked = F.transform(parts, lambda x, i: F.struct(x.alias("part"), (i % 2 == 1).alias("hit")))
+    return F.filter(marked, lambda x: x["part"] != "")
+
+
+def merged_json(whole: Column, key: str, value: Column) -> Column:
+    """A JSON object with one key set to a JSON value; what is no object counts as {}."""
+    kept = F.coalesce(F.from_json(F.when(F.trim(whole).startswith("{"), whole), "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    return F.to_json(F.map_concat(F.map_filter(kept, lambda k, _: k != key), F.create_map(F.lit(key), F.parse_json(value))))
+
+
+def price_list(setting: Column) -> Column:
+    """[(match, prompt, completion)] of "name=in/out;name=in/out", names lower-cased;
+    entries of another form are left out, unreadable numbers are 0 (M12)."""
+    entries = F.filter(F.transform(F.split(F.coalesce(setting, F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x.rlike("^[^=]*\\S[^=]*=[^/]*/"))
+    number = lambda x: F.coalesce(F.trim(x).try_cast("double"), F.lit(0.0))
+    rates = lambda x: F.regexp_extract(x, "^[^=]*=(.*)$", 1)
+    return F.transform(entries, lambda x: F.struct(F.lower(F.trim(F.regexp_extract(x, "^([^=]*)=", 1))).alias("match"), number(F.regexp_extract(rates(x), "^([^/]*)/", 1)).alias("prompt"), number(F.regexp_extract(rates(x), "^[^/]*/(.*)$", 1)).alias("completion")))

@@ -8,6 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import phrase_tokens
+from ..tables import Saved
+from .matching import with_mid_rank
+
 # ---- filters
 
 
@@ -116,27 +120,43 @@ def keyword_frequency(clusters: DataFrame, cluster: str, words: str) -> DataFram
 
 
 def phrases(words: Column, sizes: tuple[int, ...] = (4, 3, 2)) -> Column:
-    """All word n-grams with at least min(2, n) distinct words, longest first, as (place, phrase)."""
+    """All word n-grams with at least two distinct words, as (size, place, phrase)."""
     parts = []
     for n in sizes:
-        grams = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.struct((F.lit(n).alias("n")), F.slice(words, i + 1, n).alias("w")))
-        parts.append(F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<struct<n:int,w:array<string>>>")))
-    return F.filter(F.concat(*parts), lambda g: F.size(F.array_distinct(g["w"])) >= 2)
+        at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0))), _fits(words, n))
+        parts.append(F.transform(at, _gram(words, n)))
+    return F.concat(*parts)
+
+
+def _fits(words: Column, n: int):
+    return lambda i: (F.size(words) >= i + n) & (F.size(F.array_distinct(F.slice(words, i + 1, n))) >= 2)
+
+
+def _gram(words: Column, n: int):
+    return lambda i: F.struct(F.lit(n).alias("size"), i.alias("at"), F.array_join(F.slice(words, i + 1, n), " ").alias("phrase"))
 
 
-def top_phrases(df: DataFrame, key: str, words: Column, most: int = 8) -> DataFrame:
-    """(key, phrase, n, rank): the most frequent phrases, longer ones first among equals, then in order."""
-    grams = df.select(key, F.explode(phrases(words)).alias("g")).groupBy(key, F.array_join("g.w", " ").alias("phrase"), F.col("g.n").alias("size")).agg(F.count("*").alias("n"))
-    order = Window.partitionBy(key).orderBy(F.desc("n"), F.desc("size"), "phrase")
-    return grams.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select(key, "phrase", "n", "rank")
+def top_phrases(df: DataFrame, key: str, text: Column, order: Column, most: int = 8) -> DataFrame:
+    """(key, phrase, n, rank): the most frequent phrases of each key's texts,
+    among equals the longer first, then that which stands first, texts by
+    ``order`` (A21). Phrases don't reach from one row into the next.
 
+    The words are bound by a lambda, so a text is split once and not again for
+    each phrase; counts are summed in the tasks before the shuffle."""
+    grams = F.flatten(F.transform(F.array(phrase_tokens(text)), lambda words: phrases(words)))
+    each = df.select(key, order.alias("o"), F.explode(grams).alias("g")).groupBy(key, "g.phrase", "g.size").agg(F.count("*").alias("n"), F.min(F.struct("o", "g.at")).alias("first"))
+    first = Window.partitionBy(key).orderBy(F.desc("n"), F.desc("size"), "first")
+    return each.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= most).select(key, "phrase", "n", "rank")
 
-def freshness(df: DataFrame, key: str, year: str, now: int, window: int = 5, recent: int = 2) -> DataFrame:
-    """(key, freshness): 0.6 of the mean recency in the window and 0.4 of the share of the last years."""
+
+def freshness(df: DataFrame, key: str, year: str, now: int, window: int = 5) -> DataFrame:
+    """(key, freshness): 0.6 of the mean recency in the window and 0.4 of the
+    share of this year and the last (A22); years that are missing, not positive
+    or to come don't count, and a key without any has no row."""
     y = F.col(year)
     known = df.where((y > 0) & (y <= now))
-    recency = F.greatest(F.lit(0.0), 1 - (now - y) / F.lit(float(window)))
-    return known.groupBy(key).agg((0.6 * F.avg(recency) + 0.4 * F.avg(F.when(now - y <= recent, 1.0).otherwise(0.0))).alias("freshness"))
+    recency = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (y - (now - window)) / F.lit(float(window))))
+    return known.groupBy(key).agg((0.6 * F.avg(recency) + 0.4 * F.avg(F.when(y >= now - 1, 1.0).otherwise(0.0))).alias("freshness"))
 
 
 def metric_gate(df: DataFrame, floors: Mapping[str, float]) -> DataFrame:
@@ -277,12 +297,23 @@ def property_transfers(edges: DataFrame, most: int = 12) -> DataFrame:
     compact = lambda c: F.lower(F.trim(F.regexp_replace(c, "\\s+", " ")))
     a = edges.where("relation = 'affects_property'").select(F.col("id").alias("ia"), F.col("item").alias("xa"), F.col("source").alias("process"), F.col("target").alias("property"), compact(F.col("target")).alias("k"))
     b = edges.where("relation = 'supports_kpi'").select(F.col("id").alias("ib"), F.col("item").alias("xb"), compact(F.col("source")).alias("k"), F.col("target").alias("kpi"))
+    # of a side's rows that differ only in their item, the first two items are enough to find the first pair of two items
+    a = _two_items(a, ["k", F.lower("process").alias("low")], "ia", "xa")
+    b = _two_items(b, ["k", F.lower("kpi").alias("low")], "ib", "xb")
     both = a.join(b, "k").where("xa <> xb")
     key = [F.lower("process"), F.col("k"), F.lower("kpi")]
     first = both.groupBy(*[x.alias(f"g{i}") for i, x in enumerate(key)]).agg(F.min(F.struct("ia", "ib", "process", "property", "kpi")).alias("m"))
     return first.orderBy("m.ia", "m.ib").limit(most).select("m.process", "m.property", "m.kpi")
 
 
+def _two_items(side: DataFrame, keys: list, number: str, item: str) -> DataFrame:
+    """Of each key the rows of the two items that come first, the first row of each."""
+    rest = [c for c in side.columns if c not in ("k", number, item)]
+    per = side.groupBy(*keys, item).agg(F.min(F.struct(number, *rest)).alias("m"))
+    order = Window.partitionBy("k", "low").orderBy("m")
+    return per.withColumn("_n", F.row_number().over(order)).where("_n <= 2").select("k", item, "m.*")
+
+
 def evidence_graph(evidence: DataFrame, item: str, doc: Column, filename: Column) -> DataFrame:
     """(node, degree): documents by id, else by file name, with the number of citing edges."""
     node = F.when(F.coalesce(doc, F.lit("")) != "", doc).when(F.coalesce(filename, F.lit("")) != "", F.concat(F.lit("file:"), filename))
@@ -346,19 +377,70 @@ def active_jobs(jobs: DataFrame, status: str, heartbeat: Column, now: Column, se
 # ---- ITC index
 
 
-def itc_index(docs: DataFrame, cluster: str, year: str, citations: str, org: str, distance: DataFrame, latest: int) -> DataFrame:
+def itc_index(docs: DataFrame, cluster: str, year: str, citations: str, org: str, distance: DataFrame) -> DataFrame:
     """(cluster, sm, nv, ip, hr, tech_score, band) from documents and the clusters'
-    distance from the corpus (D13). ``distance``: (cluster, nv)."""
+    distance from the corpus (D13). ``distance``: (cluster, nv).
+
+    Recency is a year's place between the first and the last of all documents;
+    documents without a year have none, and a cluster without years, or a corpus
+    of one year, no momentum (percentile 0.5). Percentiles come from counts of
+    distinct values."""
     y = F.col(year)
-    recency = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - (latest - y) / 10.0))
-    per = docs.groupBy(cluster).agg(F.count("*").alias("n"), F.countDistinct(org).alias("orgs"), F.avg(recency).alias("r"), F.avg(F.when(y >= latest - 2, 1.0).otherwise(0.0)).alias("late"), (F.sum(citations) / F.count("*")).alias("ip"))
+    span = docs.agg(F.min(y).alias("y0"), F.max(y).alias("y1"))
+    recency = F.when(F.col("y1") > F.col("y0"), (y - F.col("y0")) / (F.col("y1") - F.col("y0")))
+    late = F.when(y.isNotNull(), F.when(y >= F.col("y1") - 2, 1.0).otherwise(0.0))
+    per = docs.join(F.broadcast(span)).groupBy(cluster).agg(F.count("*").alias("n"), F.countDistinct(org).alias("orgs"), F.avg(recency).alias("r"), F.avg(late).alias("late"), (F.sum(citations) / F.count("*")).alias("ip"))
     most = per.agg(F.max("n").alias("mn"), F.max("orgs").alias("mo"))
-    raw = per.join(F.broadcast(most)).join(distance, cluster, "left").select(cluster, (0.6 * F.col("r") + 0.4 * F.col("late")).alias("sm"), F.col("nv"), "ip", (0.7 * F.col("n") / F.col("mn") + 0.3 * F.col("orgs") / F.greatest(F.col("mo"), F.lit(1))).alias("hr"))
-    for c in ("sm", "nv", "ip", "hr"):  # clusters are few: one row each
-        n, ties = F.count(c).over(Window.partitionBy()), F.count(c).over(Window.partitionBy(c))
-        below = F.rank().over(Window.orderBy(F.asc_nulls_last(c))) - 1
-        raw = raw.withColumn(f"p_{c}", F.when(F.col(c).isNull() | (n <= 1), 0.5).otherwise((below + 0.5 * ties) / n))
+    raw = per.join(F.broadcast(most)).join(distance, cluster, "left").select(cluster, (0.6 * F.col("r") + 0.4 * F.col("late")).alias("sm"), F.col("nv"), F.coalesce("ip", F.lit(0.0)).alias("ip"), (0.7 * F.col("n") / F.col("mn") + 0.3 * F.col("orgs") / F.greatest(F.col("mo"), F.lit(1))).alias("hr"))
+    raw = Saved(raw, "itc").df
+    for c in ("sm", "nv", "ip", "hr"):
+        raw = with_mid_rank(raw, c, f"p_{c}")
     score = 0.40 * F.col("p_sm") + 0.25 * F.col("p_nv") + 0.20 * F.col("p_ip") + 0.15 * F.col("p_hr")
     g = F.pow("p_sm", F.lit(0.6)) * F.pow("p_nv", F.lit(0.4))
     band = F.least(F.greatest(F.bround(1 + 9 * g * (0.8 + 0.1 * (F.col("p_ip") + F.col("p_hr")))), F.lit(1.0)), F.lit(10.0)).cast("int")
     return raw.select(cluster, F.round("p_sm", 6).alias("sm"), F.round("p_nv", 6).alias("nv"), F.round("p_ip", 6).alias("ip"), F.round("p_hr", 6).alias("hr"), F.round(score, 6).alias("tech_score"), band.alias("band"))
+
+# ---- suggestions, codes and lift
+
+
+def distinct_suggestions(df: DataFrame, keys: list[str], title: str, metric: str, order: Column, most: int = 10) -> DataFrame:
+    """``df`` without suggestions that repeat an earlier title and metric, in any
+    case and with any blanks, or have no title; at most ``most`` of each key (T22)."""
+    flat = lambda c: F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), "\\s+", " "))
+    low = F.concat(F.lower(flat(title)), F.when(flat(metric) != "", F.concat(F.lit("|"), F.lower(flat(metric)))).otherwise(""))
+    named = df.where(flat(title) != "").withColumns({title: flat(title), metric: flat(metric), "_key": low, "_order": order})
+    first = named.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_key").orderBy("_order"))).where("_n = 1")
+    return first.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_order"))).where(F.col("_n") <= most).drop("_n", "_key", "_order")
+
+
+def known_codes(picked: DataFrame, item: str, code: str, place: Column, taxonomy: DataFrame, most: int = 3) -> DataFrame:
+    """(item, code, name, place): the first ``most`` distinct codes of each item
+    that the taxonomy (code, name) has, with its names (T23)."""
+    index = taxonomy.select(F.col("code").alias("_c"), "name").dropDuplicates(["_c"])
+    first = picked.select(item, F.trim(code).alias("code"), place.alias("_p")).groupBy(item, "code").agg(F.min("_p").alias("_p"))
+    found = first.join(index, F.col("code") == F.col("_c"))
+    return found.withColumn("place", F.row_number().over(Window.partitionBy(item).orderBy("_p", "code"))).where(F.col("place") <= most).select(item, "code", "name", "place")
+
+
+def discovery_lift(items: DataFrame, evidence: DataFrame) -> DataFrame:
+    """One row: how bridges compare with clusters (A26): the share of each that
+    cites two documents or more, the share of bridges that cite both themes, the
+    mean novelty of each and the difference; null where there is nothing to
+    take a mean of. ``items``: (item, kind "bridge" or "cluster", novelty);
+    ``evidence``: (item, document, relation)."""
+    said = evidence.groupBy("item").agg(F.countDistinct(F.nullif("document", F.lit(""))).alias("docs"), F.bool_or(F.lower("relation") == "theme_a").alias("a"), F.bool_or(F.lower("relation") == "theme_b").alias("b"))
+    rows = items.join(said, "item", "left").select("kind", "novelty", (F.coalesce("docs", F.lit(0)) >= 2).cast("double").alias("cross"), F.coalesce(F.col("a") & F.col("b"), F.lit(False)).cast("double").alias("span"))
+    of = lambda kind, c: F.avg(F.when(F.col("kind") == kind, F.col(c)))
+    r = lambda x: F.round(x, 3)
+    found = rows.agg(F.count_if(F.col("kind") == "bridge").alias("bridges"), F.count_if(F.col("kind") == "cluster").alias("clusters"), r(of("bridge", "cross")).alias("bridge_cross"), r(of("cluster", "cross")).alias("cluster_cross"), r(of("bridge", "span")).alias("bridge_span"), r(of("bridge", "novelty")).alias("bridge_novelty"), r(of("cluster", "novelty")).alias("cluster_novelty"))
+    return found.withColumn("novelty_delta", r(F.col("bridge_novelty") - F.col("cluster_novelty")))
+
+
+def usable_points(points: DataFrame, document: str, vector: str, owner: str | None = None, wanted: str = "") -> DataFrame:
+    """Points of one owner ("" for all) that have a document and a vector of
+    finite components (S21)."""
+    v = F.col(vector)
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
+    named = F.coalesce(F.col(document).cast("string"), F.lit("")) != ""
+    found = points.where(named & v.isNotNull() & (F.size(v) > 0) & finite)
+    return found.where(F.col(owner) == wanted) if owner and wanted else found

@@ -51,3 +51,11 @@ def evidence_by_source(evidence: DataFrame, item: str, source: Column, stance: s
     contradiction outweighs any support from the same source (A13)."""
     per = evidence.groupBy(item, source.alias("_s")).agg(F.bool_or(F.col(stance) == "contradicts").alias("c"), F.bool_or(F.col(stance) == "supports").alias("s"))
     return per.groupBy(item).agg(F.count_if(F.col("s") & ~F.col("c")).alias("supports"), F.count_if("c").alias("contradicts"))
+
+
+def next_numbers(new: DataFrame, before: DataFrame, key: str, number: str, order: list[Column]) -> DataFrame:
+    """``new`` with the number that follows the highest of its key in ``before``,
+    several rows of a key in ``order`` (J04); from 1 where there is none."""
+    last = before.groupBy(F.col(key).alias("_k")).agg(F.max(number).alias("_last"))
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return new.withColumn("_nth", nth).join(last, F.col(key).eqNullSafe(F.col("_k")), "left").withColumn(number, (F.coalesce("_last", F.lit(0)) + F.col("_nth")).cast("long")).drop("_nth", "_k", "_last")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.maths import edge_weight
-from ..tables import Saved
+from ..tables import Saved, scope
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -68,48 +68,62 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, component): components named by their smallest node (G13), by
     passing the smallest label along edges and then along labels, so rounds
     grow with the logarithm of the longest chain."""
-    both = saved(both_ways(edges).select("src", "dst"), "edges")
-    ids = both.select(F.col("src").alias("node")).distinct()
-    if nodes is not None:
-        ids = ids.unionByName(nodes.select("node")).distinct()
-    labels = saved(ids.withColumn("component", F.col("node")), "labels")
-    while True:
-        near = both.join(labels, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("component").alias("m"))
-        lower = labels.join(near, F.col("node") == F.col("src"), "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("m", "component")).alias("component"))
-        jump = labels.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-        nxt = lower.join(jump, F.col("component") == F.col("_n"), "left").select("node", "old", F.least("component", F.coalesce("_c", "component")).alias("component"))
-        nxt = saved(nxt, "labels")
-        labels = nxt.select("node", "component")
-        if not nxt.where("component <> old").head(1):
-            return labels
-
-
-def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, most: int = 100, tolerance: float = 1e-9, cut: int = 10) -> DataFrame:
+    with scope() as tables:
+        both = saved(both_ways(edges).select("src", "dst"), "edges")
+        ids = both.select(F.col("src").alias("node")).distinct()
+        if nodes is not None:
+            ids = ids.unionByName(nodes.select("node")).distinct()
+        labels = saved(ids.withColumn("component", F.col("node")), "labels")
+        while True:
+            near = both.join(labels, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("component").alias("m"))
+            lower = labels.join(near, F.col("node") == F.col("src"), "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("m", "component")).alias("component"))
+            jump = labels.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+            nxt = lower.join(jump, F.col("component") == F.col("_n"), "left").select("node", "old", F.least("component", F.coalesce("_c", "component")).alias("component"))
+            nxt = saved(nxt, "labels")
+            labels = nxt.select("node", "component")
+            if not nxt.where("component <> old").head(1):
+                return tables.keep(Saved(labels, "components"))
+
+
+def pagerank(edges: DataFrame, seeds: DataFrame, nodes: DataFrame | None = None, damping: float = 0.85, most: int = 100, tolerance: float = 1e-9, cut: int = 5) -> DataFrame:
     """(node, score): personalised PageRank over weighted undirected edges.
 
-    Seeds that aren't nodes are ignored; without any seed left the restart is
-    uniform. Every ``cut`` rounds the scores become a table and the L1 change
-    is looked at; all rounds are joins and sums."""
-    both = both_ways(edges)
-    out = both.groupBy("src").agg(F.sum("weight").alias("total"))
-    step = saved(both.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")), "steps")
-    nodes = out.select(F.col("src").alias("node"))
-    chosen = nodes.join(seeds.select("node").distinct().withColumn("seed", F.lit(1.0)), "node", "left")
-    found = chosen.agg(F.count("seed").alias("s"), F.count("*").alias("n")).first()
-    start = F.when(F.col("seed").isNotNull(), 1.0 / max(found["s"], 1)).otherwise(0.0) if found["s"] else F.lit(1.0 / max(found["n"], 1))
-    base = saved(chosen.select("node", start.alias("r")), "restart")
-    scores = base.select("node", F.col("r").alias("score"))
-    for k in range(1, most + 1):
-        before = scores
-        moved = scores.join(step, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("_d")).agg(F.sum(F.col("score") * F.col("p")).alias("m"))
-        scores = base.join(moved, F.col("node") == F.col("_d"), "left").select("node", (F.lit(damping) * F.coalesce("m", F.lit(0.0)) + (1 - damping) * F.col("r")).alias("score"))
-        if k % cut == 0 or k == most:
-            change = scores.join(before.withColumnRenamed("score", "was"), "node").select("node", "score", F.abs(F.col("score") - F.col("was")).alias("d"))
-            change = saved(change, "scores")
-            scores = change.select("node", "score")
-            if (change.agg(F.sum("d").alias("d")).first()["d"] or 0.0) < tolerance:
-                break
-    return scores
+    ``nodes`` without an edge are nodes too: what lies on them goes back to the
+    seeds. Seeds that aren't nodes are ignored; without any seed left the
+    restart is uniform. Every ``cut`` rounds the scores become a table and the
+    L1 change is looked at; all rounds are joins and sums, with the steps
+    written once by the node they start from."""
+    with scope() as tables:
+        both = both_ways(edges)
+        out = both.groupBy("src").agg(F.sum("weight").alias("total"))
+        step = both.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p"))
+        step = saved(step.repartition("src"), "steps")
+        ids = out.select(F.col("src").alias("node"), F.lit(False).alias("lone"))
+        if nodes is not None:
+            rest = nodes.select("node").where("node IS NOT NULL").distinct().join(out.select(F.col("src").alias("node")), "node", "left_anti")
+            ids = ids.unionByName(rest.select("node", F.lit(True).alias("lone")))
+        chosen = saved(ids.join(seeds.select("node").distinct().withColumn("seed", F.lit(1.0)), "node", "left"), "nodes")
+        found = chosen.agg(F.count("seed").alias("s"), F.count("*").alias("n"), F.count_if("lone").alias("lone")).first()
+        start = F.when(F.col("seed").isNotNull(), 1.0 / max(found["s"], 1)).otherwise(0.0) if found["s"] else F.lit(1.0 / max(found["n"], 1))
+        base = saved(chosen.select("node", "lone", start.alias("r")), "restart")
+        scores = base.select("node", F.col("r").alias("score"))
+        for k in range(1, most + 1):
+            before = scores
+            moved = scores.join(step, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("_d")).agg(F.sum(F.col("score") * F.col("p")).alias("m"))
+            if found["lone"]:
+                idle = scores.join(base.where("lone").select(F.col("node").alias("_l")), F.col("node") == F.col("_l"), "left_semi").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("idle"))
+                to = base.join(F.broadcast(idle))
+            else:
+                to = base.withColumn("idle", F.lit(0.0))
+            back = (F.lit(damping) * F.col("idle") + (1 - damping)) * F.col("r")
+            scores = to.join(moved, F.col("node") == F.col("_d"), "left").select("node", (F.lit(damping) * F.coalesce("m", F.lit(0.0)) + back).alias("score"))
+            if k % cut == 0 or k == most:
+                change = scores.join(before.withColumnRenamed("score", "was"), "node").select("node", "score", F.abs(F.col("score") - F.col("was")).alias("d"))
+                change = saved(change, "scores")
+                scores = change.select("node", "score")
+                if (change.agg(F.sum("d").alias("d")).first()["d"] or 0.0) < tolerance:
+                    break
+        return tables.keep(Saved(scores, "ranks"))
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, hops: int = 4, top: int = 10) -> DataFrame:
@@ -117,19 +131,21 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, hop
     a source and a target; score is the mean weight times 0.8 for each further
     hop; the ``top`` best (G08). Walks grow hop by hop; a node is entered only
     in the round that first reaches it from that source."""
-    both = saved(both_ways(edges), "walks")
-    front = sources.select(F.col("node").alias("s")).distinct().select("s", F.col("s").alias("at"), F.array("s").alias("path"), F.lit(0.0).alias("w"))
-    seen = saved(front.select("s", "at"), "seen")
-    found = None
-    ends = targets.select(F.col("node").alias("at")).distinct()
-    for k in range(1, hops + 1):
-        nxt = front.join(both, F.col("at") == F.col("src")).select("s", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"), (F.col("w") + F.col("weight")).alias("w"))
-        front = saved(nxt.join(seen, ["s", "at"], "left_anti"), "front")
-        seen = saved(seen.unionByName(front.select("s", "at").distinct()), "seen")
-        hit = front.join(ends, "at", "left_semi").select("path", F.lit(k).alias("hops"), (F.col("w") / k * 0.8 ** (k - 1)).alias("score"))
-        found = hit if found is None else found.unionByName(hit)
-    once = found.withColumn("key", F.least("path", F.reverse("path"))).groupBy("key").agg(F.first("hops").alias("hops"), F.max("score").alias("score"))
-    return once.select(F.col("key").alias("path"), "hops", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "path").limit(top)
+    with scope() as tables:
+        both = saved(both_ways(edges), "walks")
+        front = sources.select(F.col("node").alias("s")).distinct().select("s", F.col("s").alias("at"), F.array("s").alias("path"), F.lit(0.0).alias("w"))
+        seen = saved(front.select("s", "at"), "seen")
+        found = None
+        ends = targets.select(F.col("node").alias("at")).distinct()
+        for k in range(1, hops + 1):
+            nxt = front.join(both, F.col("at") == F.col("src")).select("s", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"), (F.col("w") + F.col("weight")).alias("w"))
+            front = saved(nxt.join(seen, ["s", "at"], "left_anti"), "front")
+            seen = saved(seen.unionByName(front.select("s", "at").distinct()), "seen")
+            hit = front.join(ends, "at", "left_semi").select("path", F.lit(k).alias("hops"), (F.col("w") / k * 0.8 ** (k - 1)).alias("score"))
+            found = hit if found is None else found.unionByName(hit)
+        once = found.withColumn("key", F.least("path", F.reverse("path"))).groupBy("key").agg(F.first("hops").alias("hops"), F.max("score").alias("score"))
+        best = once.select(F.col("key").alias("path"), "hops", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "path").limit(top)
+        return tables.keep(Saved(best, "paths"))
 
 
 def lineage(new: DataFrame, previous: DataFrame, share: float = 0.3) -> DataFrame:

@@ -28,6 +28,19 @@ def running(df: DataFrame, order: Sequence[Column], value: Column, out: str, nam
     return summed.withColumn(out, (F.col("_own") + F.col("_start")).cast("long")).drop("_range", "_r", "_value", "_own", "_start")
 
 
+def with_mid_rank(df: DataFrame, value: str, out: str) -> DataFrame:
+    """``df`` with the mid-rank percentile of ``value`` among all rows (W04):
+    values below and half of the ties, by the number of values; 0.5 for null or
+    where there is one value at most. From counts of distinct values, summed
+    over ranges."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    summed = running(counts, [F.col("_v")], F.col("_c"), "_upto", "ranks")
+    whole = counts.agg(F.sum("_c").alias("_all"))
+    place = (F.col("_upto") - 0.5 * F.col("_c")) / F.col("_all")
+    ranks = summed.join(F.broadcast(whole)).select("_v", F.when(F.col("_all") > 1, place).otherwise(0.5).alias(out))
+    return df.join(ranks, F.col(value) == F.col("_v"), "left").drop("_v").withColumn(out, F.coalesce(out, F.lit(0.5)))
+
+
 def unique_matches(rows: DataFrame, partners: DataFrame, row_id: str, partner_id: str, row_order: Sequence[str], partner_order: Sequence[str], keys: Sequence[str], most: int | None = None) -> DataFrame:
     """(row_id, partner_id, tier): each row of ``rows`` with its partner, null
     for a row that gets none (J18).

@@ -7,21 +7,35 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tables import Saved
+from ..tables import Saved, scope
 
 
-def bm25(tokens: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+#: Most asked terms that travel to all tasks.
+ASKED = 100_000
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query, doc, score): BM25 of documents for queries.
 
-    ``tokens``: (doc, token), a row for each occurrence; ``queries``: (query,
-    token), distinct. Frequencies are counted before any join; only terms that
-    some query has are joined to documents."""
-    tf = Saved(tokens.groupBy("doc", "token").agg(F.count("*").alias("tf")), "bm25").df
-    sizes = tf.groupBy("doc").agg(F.sum("tf").alias("size"))
+    ``docs``: (doc, tokens), all tokens of a document in one or several arrays;
+    ``queries``: (query, token), distinct. A document's length is the size of
+    its arrays; of its tokens only those that some query asks for leave the task
+    (up to 100000 asked ones are broadcast), so what is shuffled are hits."""
+    with scope() as tables:
+        asked = Saved(queries.select("token").distinct(), "bm25-asked").df
+        few = asked.count() <= ASKED
+        hits = docs.select("doc", F.explode("tokens").alias("token")).join(F.broadcast(asked) if few else asked, "token", "left_semi")
+        tf = Saved(hits.groupBy("doc", "token").agg(F.count("*").alias("tf")), "bm25").df
+        sizes = Saved(docs.groupBy("doc").agg(F.sum(F.size("tokens")).alias("size")).where("size > 0"), "bm25-sizes").df
+        return tables.keep(Saved(bm25_scores(tf, sizes, queries, k1, b), "bm25-scores"))
+
+
+def bm25_scores(tf: DataFrame, sizes: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query, doc, score) from all frequencies (doc, token, tf) of the asked
+    tokens and all documents' sizes (doc, size)."""
     whole = sizes.agg(F.avg("size").alias("avg"), F.count("*").alias("n"))
-    wanted = tf.join(queries.select("token").distinct(), "token", "left_semi")
-    df = wanted.groupBy("token").agg(F.count("*").alias("df"))
-    parts = wanted.join(df, "token").join(queries, "token").join(sizes, "doc").join(F.broadcast(whole))
+    df = tf.groupBy("token").agg(F.count("*").alias("df"))
+    parts = tf.join(df, "token").join(queries, "token").join(sizes, "doc").join(F.broadcast(whole))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("avg")))
     return parts.groupBy("query", "doc").agg(F.sum(part).alias("score"))
@@ -38,14 +52,24 @@ def ranked(hits: DataFrame, keys: list[str], score: str, tie: str, most: int) ->
     return hits.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < most)
 
 
-def fuse(lists: list[tuple[DataFrame, float]], keys: list[str], id_col: str, constant: int = 60) -> DataFrame:
+def best_of_all(hits: DataFrame, score: str, tie: str, most: int) -> DataFrame:
+    """``hits`` with a 0-based ``rank``, the first ``most`` of one list: each task
+    keeps its first ones, and only these are numbered in one place."""
+    first = hits.orderBy(F.desc(score), tie).limit(most)
+    return first.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), tie)) - 1)
+
+
+def fuse(lists: list[tuple[DataFrame, float]], keys: list[str], id_col: str, constant: int = 60, fill: list[str] | None = None) -> DataFrame:
     """(keys, id, score, first_list, first_rank, origins): weighted reciprocal
-    rank fusion of ranked lists, ranks from 0 (W01, J06)."""
-    parts = [df.select(*keys, id_col, "rank", F.lit(i).alias("lst"), (F.lit(w) / (constant + F.col("rank"))).alias("part")) for i, (df, w) in enumerate(lists)]
+    rank fusion of ranked lists, ranks from 0 (W01, J06). Each column of
+    ``fill`` comes from the first list in which it isn't null or empty."""
+    fill = fill or []
+    parts = [df.select(*keys, id_col, "rank", F.lit(i).alias("lst"), (F.lit(w) / (constant + F.col("rank"))).alias("part"), *fill) for i, (df, w) in enumerate(lists)]
     every = reduce(DataFrame.unionByName, parts)
+    some = lambda c: F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), F.col("lst"))
     return every.groupBy(*keys, id_col).agg(
-        F.sum("part").alias("score"), F.min(F.struct("lst", "rank")).alias("f"), F.array_sort(F.collect_set("lst")).alias("origins")
-    ).select(*keys, id_col, "score", F.col("f.lst").alias("first_list"), F.col("f.rank").alias("first_rank"), "origins")
+        F.sum("part").alias("score"), F.min(F.struct("lst", "rank")).alias("f"), F.array_sort(F.collect_set("lst")).alias("origins"), *[F.min_by(c, some(c)).alias(c) for c in fill]
+    ).select(*keys, id_col, "score", F.col("f.lst").alias("first_list"), F.col("f.rank").alias("first_rank"), "origins", *fill)
 
 
 def cap_per_document(hits: DataFrame, keys: list[str], doc: str, order: list[Column], k: int, most: int = 4) -> DataFrame:

@@ -44,6 +44,14 @@ def pool(vectors: DataFrame, key: str, vector: str, weight: Column | None = None
     return sums.select(key, l2_normalise(F.col("sum_v")).alias("vector"), "n")
 
 
+def corpus_centre(centres: DataFrame, vector: str, docs: Column) -> DataFrame:
+    """(vector): the mean of the clusters' centres weighted by their documents,
+    at least one each (A19), one row, summed by component."""
+    one = centres.withColumn("_one", F.lit(1))
+    sums = vector_sum(one, ["_one"], vector, F.greatest(F.coalesce(docs, F.lit(1)), F.lit(1)).cast("double"))
+    return sums.select(F.transform("sum_v", lambda x: x / F.col("sum_w")).alias("vector"))
+
+
 def _block_top(k: int, floor: float):
     def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"src": [], "dst": [], "cos": []}).astype({"src": "int64", "dst": "int64", "cos": "float64"})

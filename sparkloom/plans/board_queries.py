@@ -74,12 +74,25 @@ def f14_quality_gate(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "events").select("event_id", scoring.quality_gate(c("value") > 80, c("value") / 100, c("event_id") % 2 == 0, c("event_id") % 3 == 0, c("event_type") == "click").alias("reason"))
 
 
+_ASKED = """WITH asked AS (SELECT conv_id, turn, CASE conv_id % 6 WHEN 0 THEN 'How does Aldan Works compare to NASA?' WHEN 1 THEN 'чем отличается сталь и сплав ' WHEN 2 THEN 'Is it "old" or new? And then? '
+  WHEN 3 THEN 'what about the Upper Volga and or the Don vs. that ' WHEN 4 THEN 'x vs y, a and b ' ELSE '' END || coalesce(text, '') AS t FROM conversations)"""
+
+
 @_register(
-    "WITH q AS (SELECT conv_id, turn, lower(text) AS t, text FROM conversations) SELECT conv_id, turn, (CASE WHEN regexp_matches(t, '\\b(compare|versus|vs|difference|better|worse)\\b') THEN 2 ELSE 0 END + CASE WHEN length(text) - length(replace(text, '?', '')) >= 2 THEN 1 ELSE 0 END"
-    " + CASE WHEN len(regexp_extract_all(t, '\\b(and|then|while|because|also)\\b')) >= 2 THEN 1 ELSE 0 END + CASE WHEN len(list_filter(string_split_regex(t, '[^\\p{L}\\p{Nd}]+'), lambda w: w <> '')) >= 18 THEN 1 ELSE 0 END) >= 2 AS steps FROM q"
+    _ASKED + r""", f AS (SELECT conv_id, turn, t, lower(t) AS low, list_filter(string_split_regex(t, '\s+'), lambda x: x <> '') AS w FROM asked),
+e AS (SELECT *, len(list_distinct(list_transform(list_concat(regexp_extract_all(t, '"[^"]{1,80}"|«[^»]{1,80}»'), regexp_extract_all(t, '[A-ZА-ЯЁ]\p{L}+(?:[ \-][A-ZА-ЯЁ]\p{L}+)+'),
+  regexp_extract_all(t, '\b[A-Z][A-ZА-ЯЁ]{0,4}[A-Z]\b'), list_filter(w[2:], lambda x: regexp_matches(x, '^[A-ZА-ЯЁ]\p{Ll}+$'))), lambda x: lower(trim(x))))) AS names FROM f)
+SELECT conv_id, turn, (CASE WHEN regexp_matches(low, 'compare|comparison|compared to|versus| vs\.?\b|difference|differ|trade-?off|pros and cons|relationship between|сравн|различ|разниц|отлич|взаимосвяз|соотнош|по сравнению') THEN 2 ELSE 0 END
+  + CASE WHEN length(t) - length(replace(t, '?', '')) >= 2 THEN 1 ELSE 0 END + CASE WHEN len(regexp_extract_all(low, '\band\b|\band then\b|\bas well as\b|\bor\b| и | или | а также | затем | потом ')) >= 2 THEN 1 ELSE 0 END
+  + CASE WHEN names >= 2 THEN 1 ELSE 0 END + CASE WHEN len(w) >= 18 THEN 1 ELSE 0 END) >= 2 AND conv_id % 11 > 0 AS steps FROM e""".replace("\\\\", "\\")
 )
 def f15_needs_steps(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "conversations").select("conv_id", "turn", text.needs_steps(F.col("text")).alias("steps"))
+    """Whether turns, some after a question, need several retrievals; some have a prompt of their own."""
+    k = F.col("conv_id") % 6
+    said = ["How does Aldan Works compare to NASA?", "чем отличается сталь и сплав ", 'Is it "old" or new? And then? ', "what about the Upper Volga and or the Don vs. that ", "x vs y, a and b "]
+    start = F.coalesce(F.get(F.array(*[F.lit(x) for x in said]), k.cast("int")), F.lit(""))
+    rows = _t(spark, d, "conversations").select("conv_id", "turn", F.concat(start, F.coalesce("text", F.lit(""))).alias("t"))
+    return rows.select("conv_id", "turn", text.needs_steps(F.col("t"), F.when(F.col("conv_id") % 11 == 0, "write it")).alias("steps"))
 
 
 # ---- counts
@@ -141,24 +154,26 @@ def a17_representative(spark: SparkSession, d: str) -> DataFrame:
     return board.representative(rows, "source", "text", F.col("n_chars") > 2000, F.col("doc_id"))
 
 
-@_register("WITH c AS (SELECT source, unnest(list_distinct(string_split_regex(lower(substr(text, 1, 400)), '[^\\p{L}]+'))) AS k FROM documents), e AS (SELECT DISTINCT source, k FROM c WHERE k <> '') SELECT k AS keyword, count(*) AS clusters, round(count(*) / (SELECT count(DISTINCT source) FROM documents), 6) AS share FROM e GROUP BY 1")
+@_register("WITH c AS (SELECT source, unnest(list_distinct(string_split_regex(lower(text), '[^\\p{L}]+'))) AS k FROM documents), e AS (SELECT DISTINCT source, k FROM c WHERE k <> '') SELECT k AS keyword, count(*) AS clusters, round(count(*) / (SELECT count(DISTINCT source) FROM documents), 6) AS share FROM e GROUP BY 1")
 def a20_keyword_frequency(spark: SparkSession, d: str) -> DataFrame:
-    rows = _t(spark, d, "documents").select("source", F.array_distinct(F.split(F.lower(F.substring("text", 1, 400)), "[^\\p{L}]+")).alias("words"))
+    rows = _t(spark, d, "documents").select("source", F.array_distinct(F.split(F.lower("text"), "[^\\p{L}]+")).alias("words"))
     return board.keyword_frequency(rows, "source", "words").withColumn("share", _r(F.col("share")))
 
 
 @_register(
-    """WITH w AS (SELECT conv_id, string_split_regex(trim(lower(text)), '[^\\p{L}]+') AS w FROM conversations),
-    g AS (SELECT conv_id, n, list_slice(w, i, i + n - 1) AS g FROM w, (SELECT unnest([4, 3, 2]) AS n), unnest(range(1, 1 + greatest(len(w) - n + 1, 0))) AS t(i)),
-    c AS (SELECT conv_id, array_to_string(g, ' ') AS phrase, n AS size, count(*) AS n FROM g WHERE len(list_distinct(g)) >= 2 GROUP BY ALL)
-    SELECT conv_id, phrase, n, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, size DESC, phrase) AS INTEGER) AS rank FROM c QUALIFY rank <= 8"""
+    r"""WITH w AS (SELECT conv_id, turn, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^a-zа-я0-9+ -]+', ' ', 'g'), ' '),
+      lambda x: length(x) >= 3 AND NOT regexp_matches(x, '^(\\d+|\\d{4,}v\\d+|[a-z]+\\d{4,}v?\\d*)$') AND NOT list_contains(['"""
+    + "','".join(text.STOP_WORDS)
+    + r"""'], x)) AS w FROM conversations),
+    g AS (SELECT conv_id, turn, i, n, list_slice(w, i, i + n - 1) AS g FROM w, (SELECT unnest([4, 3, 2]) AS n), unnest(range(1, 1 + greatest(len(w) - n + 1, 0))) AS t(i)),
+    c AS (SELECT conv_id, array_to_string(g, ' ') AS phrase, n AS size, count(*) AS n, min(turn * 1000000 + i) AS first FROM g WHERE len(list_distinct(g)) >= 2 GROUP BY ALL)
+    SELECT conv_id, phrase, n, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, size DESC, first) AS INTEGER) AS rank FROM c QUALIFY rank <= 8""".replace("\\\\", "\\")
 )
 def a21_top_phrases(spark: SparkSession, d: str) -> DataFrame:
-    rows = _t(spark, d, "conversations")
-    return board.top_phrases(rows, "conv_id", F.split(F.trim(F.lower("text")), "[^\\p{L}]+"))
+    return board.top_phrases(_t(spark, d, "conversations"), "conv_id", F.col("text"), F.col("turn"))
 
 
-@_register("SELECT o_orderpriority AS topic, round(0.6 * avg(greatest(0.0, 1 - (1998 - year(o_orderdate)) / 5.0)) + 0.4 * avg(CASE WHEN 1998 - year(o_orderdate) <= 2 THEN 1.0 ELSE 0.0 END), 6) AS freshness FROM orders WHERE year(o_orderdate) BETWEEN 1 AND 1998 GROUP BY 1")
+@_register("SELECT o_orderpriority AS topic, round(0.6 * avg(greatest(0.0, 1 - (1998 - year(o_orderdate)) / 5.0)) + 0.4 * avg(CASE WHEN year(o_orderdate) >= 1997 THEN 1.0 ELSE 0.0 END), 6) AS freshness FROM orders WHERE year(o_orderdate) BETWEEN 1 AND 1998 GROUP BY 1")
 def a22_freshness(spark: SparkSession, d: str) -> DataFrame:
     rows = _t(spark, d, "orders").select(F.col("o_orderpriority").alias("topic"), F.year("o_orderdate").alias("y"))
     return board.freshness(rows, "topic", "y", 1998).withColumn("freshness", _r(F.col("freshness")))
@@ -186,18 +201,22 @@ def a27_open_per_kpi(spark: SparkSession, d: str) -> DataFrame:
     return open_.groupBy(F.col("c_nationkey").alias("kpi")).agg(F.count("*").alias("n"))
 
 
-@_register("SELECT label AS cluster, round(sum(x.u * w) / sum(w), 6) AS first FROM (SELECT label, CAST(embedding[1] AS DOUBLE) AS u, CASE WHEN vec_id % 4 = 0 THEN 2.0 ELSE 1.0 END AS w FROM embeddings) x GROUP BY 1")
-def a19_weighted_centroid(spark: SparkSession, d: str) -> DataFrame:
-    w = F.when(F.col("vec_id") % 4 == 0, 2.0).otherwise(1.0)
-    sums = vectors.vector_sum(_t(spark, d, "embeddings"), ["label"], "embedding", w)
-    return sums.select(F.col("label").alias("cluster"), _r(F.get("sum_v", F.lit(0)) / F.col("sum_w")).alias("first"))
+@_register(
+    """WITH x AS (SELECT label, vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), c AS (SELECT label, i, avg(x) AS x, CASE WHEN label = 3 THEN 0 ELSE count(*) END AS docs FROM x GROUP BY label, i)
+    SELECT CAST(i AS INTEGER) AS i, round(sum(x * greatest(1, docs)) / sum(greatest(1, docs)), 6) AS x FROM c GROUP BY i"""
+)
+def a19_corpus_centre(spark: SparkSession, d: str) -> DataFrame:
+    """The labels' centres weighted by their vectors; label 3 counts as without any."""
+    sums = vectors.vector_sum(_t(spark, d, "embeddings"), ["label"], "embedding", F.lit(1.0))
+    centres = sums.select(F.transform("sum_v", lambda x: x / F.col("sum_w")).alias("c"), F.when(F.col("label") == 3, 0).otherwise(F.col("n")).alias("docs"))
+    return vectors.corpus_centre(centres, "c", F.col("docs")).select(F.posexplode("vector").alias("i", "x")).select("i", _r(F.col("x")).alias("x"))
 
 
 # ---- windows and order
 
 
 @_register(
-    """WITH h AS (SELECT l_suppkey AS item, l_partkey % 50 AS article, l_orderkey * 10 + l_linenumber AS chunk, CAST(l_quantity AS INTEGER) % 7 AS overlap, l_extendedprice AS score FROM lineitem WHERE l_suppkey <= 5),
+    """WITH h AS (SELECT l_suppkey AS item, l_partkey % 50 AS article, (l_orderkey * 10 + l_linenumber) * 100000 + l_partkey AS chunk, CAST(l_quantity AS INTEGER) % 7 AS overlap, l_extendedprice AS score FROM lineitem),
     r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY overlap DESC, score DESC, chunk) AS r FROM h),
     n AS (SELECT *, row_number() OVER (PARTITION BY item, article ORDER BY r) AS n FROM r QUALIFY n <= 2),
     l AS (SELECT *, min(r) OVER (PARTITION BY item, article) AS lead FROM n),
@@ -205,7 +224,7 @@ def a19_weighted_centroid(spark: SparkSession, d: str) -> DataFrame:
     SELECT item, article, chunk, CAST(row_number() OVER (PARTITION BY item ORDER BY a, n) AS INTEGER) AS place FROM a"""
 )
 def w06_select_evidence(spark: SparkSession, d: str) -> DataFrame:
-    hits = _t(spark, d, "lineitem").where("l_suppkey <= 5").selectExpr("l_suppkey AS item", "l_partkey % 50 AS article", "l_orderkey * 10 + l_linenumber AS chunk", "CAST(l_quantity AS INT) % 7 AS overlap", "l_extendedprice AS score")
+    hits = _t(spark, d, "lineitem").selectExpr("l_suppkey AS item", "l_partkey % 50 AS article", "(l_orderkey * 10 + l_linenumber) * 100000 + l_partkey AS chunk", "CAST(l_quantity AS INT) % 7 AS overlap", "l_extendedprice AS score")
     return board.select_evidence(hits, "item", "article", "chunk", "overlap", "score")
 
 
@@ -354,28 +373,33 @@ def d20_active_jobs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_register(
-    """WITH p AS (SELECT c_nationkey AS cluster, count(*) AS n, count(DISTINCT c_mktsegment) AS orgs, avg(greatest(0.0, least(1.0, 1 - (1998 - year(o_orderdate)) / 10.0))) AS r, avg(CASE WHEN year(o_orderdate) >= 1996 THEN 1.0 ELSE 0.0 END) AS late, sum(length(o_orderpriority)) / count(*) AS ip FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1),
+    """WITH o AS (SELECT c_nationkey AS cluster, c_mktsegment, o_orderpriority, CASE WHEN c_nationkey <> 4 AND o_orderkey % 3 > 0 THEN year(o_orderdate) END AS y FROM orders JOIN customer ON o_custkey = c_custkey),
+    p AS (SELECT cluster, count(*) AS n, count(DISTINCT c_mktsegment) AS orgs, avg((y - y0) / (y1 - y0)) AS r, avg(CASE WHEN y >= y1 - 2 THEN 1.0 WHEN y IS NOT NULL THEN 0.0 END) AS late, sum(length(o_orderpriority)) / count(*) AS ip FROM o, (SELECT min(y) AS y0, max(y) AS y1 FROM o) GROUP BY 1),
     x AS (SELECT cluster, 0.6 * r + 0.4 * late AS sm, CASE WHEN cluster % 7 = 0 THEN NULL ELSE (cluster % 5) / 10.0 END AS nv, ip, 0.7 * n / (SELECT max(n) FROM p) + 0.3 * orgs / (SELECT max(orgs) FROM p) AS hr FROM p),
-    m AS (SELECT cluster, (rank() OVER (ORDER BY sm) - 1 + 0.5 * count(*) OVER (PARTITION BY sm)) / count(*) OVER () AS sm,
+    m AS (SELECT cluster, CASE WHEN sm IS NULL THEN 0.5 ELSE (rank() OVER (ORDER BY sm NULLS LAST) - 1 + 0.5 * count(*) OVER (PARTITION BY sm)) / count(sm) OVER () END AS sm,
       CASE WHEN nv IS NULL THEN 0.5 ELSE (rank() OVER (ORDER BY nv NULLS LAST) - 1 + 0.5 * count(*) OVER (PARTITION BY nv)) / count(nv) OVER () END AS nv,
       (rank() OVER (ORDER BY ip) - 1 + 0.5 * count(*) OVER (PARTITION BY ip)) / count(*) OVER () AS ip, (rank() OVER (ORDER BY hr) - 1 + 0.5 * count(*) OVER (PARTITION BY hr)) / count(*) OVER () AS hr FROM x)
     SELECT cluster, round(sm, 6) AS sm, round(nv, 6) AS nv, round(ip, 6) AS ip, round(hr, 6) AS hr, round(0.4 * sm + 0.25 * nv + 0.2 * ip + 0.15 * hr, 6) AS tech_score, CAST(least(greatest(round_even(1 + 9 * pow(sm, 0.6) * pow(nv, 0.4) * (0.8 + 0.1 * (ip + hr)), 0), 1), 10) AS INTEGER) AS band FROM m"""
 )
 def d13_itc_index(spark: SparkSession, d: str) -> DataFrame:
+    """Nations as clusters of orders, of which a third have no year, and one nation's none at all."""
     docs = _t(spark, d, "orders").join(_t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    docs = docs.select(F.col("c_nationkey").alias("cluster"), F.year("o_orderdate").alias("y"), F.length("o_orderpriority").alias("c"), F.col("c_mktsegment").alias("org"))
+    known = (F.col("c_nationkey") != 4) & (F.col("o_orderkey") % 3 > 0)
+    docs = docs.select(F.col("c_nationkey").alias("cluster"), F.when(known, F.year("o_orderdate")).alias("y"), F.length("o_orderpriority").alias("c"), F.col("c_mktsegment").alias("org"))
     near = _t(spark, d, "nation").select(F.col("n_nationkey").alias("cluster"), F.when(F.col("n_nationkey") % 7 != 0, (F.col("n_nationkey") % 5) / 10.0).alias("nv"))
-    return board.itc_index(docs, "cluster", "y", "c", "org", near, 1998)
+    return board.itc_index(docs, "cluster", "y", "c", "org", near)
 
 
 @_register(
-    """WITH e AS (SELECT least(l_suppkey % 40, l_partkey % 40) AS src, greatest(l_suppkey % 40, l_partkey % 40) AS dst FROM lineitem WHERE l_suppkey % 40 <> l_partkey % 40 AND l_orderkey % 20 = 0 GROUP BY ALL),
-    b AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e) SELECT x.src AS a, y.src AS b, x.dst AS node FROM b x JOIN b y ON x.dst = y.dst AND x.src < y.src WHERE x.src < 5 AND y.src < 5"""
+    """WITH e AS (SELECT DISTINCT l_suppkey AS src, 100000 + l_partkey AS dst FROM lineitem WHERE l_returnflag = 'R'),
+    p AS (SELECT DISTINCT l_suppkey AS a, l_suppkey + 1 + l_linenumber AS b FROM lineitem)
+    SELECT a, b, x.dst AS node FROM p JOIN e x ON x.src = a JOIN e y ON y.src = b AND y.dst = x.dst"""
 )
 def j11_common_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    a, b = F.col("l_suppkey") % 40, F.col("l_partkey") % 40
-    edges = _t(spark, d, "lineitem").where((a != b) & (F.col("l_orderkey") % 20 == 0)).select(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"), F.lit(1.0).alias("weight")).distinct()
-    pairs = spark.range(5).withColumnRenamed("id", "a").join(spark.range(5).withColumnRenamed("id", "b"), F.col("a") < F.col("b"))
+    """Returned parts that two suppliers near in number share."""
+    lines = _t(spark, d, "lineitem")
+    edges = lines.where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("src"), (100000 + F.col("l_partkey")).alias("dst"), F.lit(1.0).alias("weight")).distinct()
+    pairs = lines.select(F.col("l_suppkey").alias("a"), (F.col("l_suppkey") + 1 + F.col("l_linenumber")).alias("b")).distinct()
     return graph.common_neighbours(edges, pairs)
 
 
@@ -445,9 +469,11 @@ def d17_abstain(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "events").where("value IS NOT NULL").select("event_id", scoring.abstain(i % 4, v / 100, i % 2 == 0).alias("abstain"), scoring.priority_band(v).alias("band"))
 
 
-@_register("SELECT event_id, round(value * (1 - least(1.0, (event_id % 7) / 5)), 4) AS score FROM events WHERE value IS NOT NULL")
+@_register("SELECT event_id, round(least(greatest(value / 50, 0.0), 1.0) * CASE WHEN event_id % 4 = 0 THEN 0.0 ELSE (event_id % 4) / 3.0 END * (1 - least(1.0, (event_id % 7) / 5)), 4) AS score FROM events WHERE value IS NOT NULL")
 def d12_transfer_score(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "events").where("value IS NOT NULL").select("event_id", F.round(F.col("value") * (1 - F.least(F.lit(1.0), F.col("event_id") % 7 / 5)), 4).alias("score"))
+    """Some ideas have no strength."""
+    i = F.col("event_id")
+    return _t(spark, d, "events").where("value IS NOT NULL").select("event_id", scoring.transfer_score(F.col("value") / 50, F.when(i % 4 > 0, i % 4 / 3.0), i % 7).alias("score"))
 
 
 @_register("SELECT vec_id, CAST(floor(x * 1000 + 0.5) / 1000 AS DOUBLE) AS r3, CAST(floor(x * 100 + 0.5) AS INTEGER) AS pct, round(least(greatest(x, 0.0), 1.0), 9) AS c01 FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x FROM embeddings)")
@@ -472,15 +498,14 @@ def m08_content_hash(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("hash"))
 
 
-@_register("SELECT doc_id, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '…' ELSE text END AS cut, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS flat FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '^[ -~\\n]*$')")
+@_register("SELECT doc_id, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '…' ELSE text END AS cut, trim(regexp_replace(text, '[ \t\n\v\f\r]+', ' ', 'g')) AS flat FROM documents")
 def t05_clip(spark: SparkSession, d: str) -> DataFrame:
-    rows = _t(spark, d, "documents").where("text IS NOT NULL").where(F.col("text").rlike("\\A[ -~\\n]*\\z"))
-    return rows.select("doc_id", text.clip(F.col("text"), 100, "…").alias("cut"), text.collapse(F.col("text")).alias("flat"))
+    return _t(spark, d, "documents").select("doc_id", text.clip(F.col("text"), 100, "…").alias("cut"), text.collapse(F.col("text")).alias("flat"))
 
 
-@_register("SELECT doc_id, lang || ' — ' || source || chr(10) || chr(10) || substr(text, 1, 50) AS chunk FROM documents")
+@_register("SELECT doc_id, lang || ' — ' || source || chr(10) || chr(10) || text AS chunk FROM documents")
 def t06_breadcrumb(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "documents").select("doc_id", text.breadcrumb(F.col("lang"), F.col("source"), F.substring("text", 1, 50)).alias("chunk"))
+    return _t(spark, d, "documents").select("doc_id", text.breadcrumb(F.col("lang"), F.col("source"), F.col("text")).alias("chunk"))
 
 
 @_register("SELECT doc_id, doc_id % 3 = 0 AND n_chars >= 20 AS valid FROM documents")
@@ -489,19 +514,29 @@ def t07_valid_offsets(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "documents").select("doc_id", text.valid_offsets(offsets, F.col("n_chars")).alias("valid"))
 
 
-@_register("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '[S 1] a [S 2] b' WHEN turn % 3 = 1 THEN '[S 1] a b' ELSE 'a b' END AS clean, CASE WHEN turn % 3 = 0 THEN [1, 2] WHEN turn % 3 = 1 THEN [1] ELSE []::INT[] END AS refs FROM conversations")
+_CITED = "coalesce(text, '') || ' [S' || (turn + 1) || '] so [S ' || (conv_id % 4) || '] and [S2]'"
+
+
+@_register(
+    f"""WITH c AS (SELECT conv_id, turn, {_CITED} AS a, conv_id % 3 AS n FROM conversations),
+    r AS (SELECT *, list_distinct(list_filter(list_transform(regexp_extract_all(a, '\\[S\\s*(\\d{{1,4}})\\]', 1), lambda x: CAST(x AS INTEGER)), lambda x: x >= 1 AND x <= n)) AS refs FROM c)
+    SELECT conv_id, turn, list_sort(refs) AS refs, CAST(len(regexp_extract_all(a, '\\[S\\s*\\d{{1,4}}\\]')) AS INTEGER) AS cited FROM r"""
+)
 def t15_citations(spark: SparkSession, d: str) -> DataFrame:
-    n = F.when(F.col("turn") % 3 == 0, 2).when(F.col("turn") % 3 == 1, 1).otherwise(0)
-    rows = _t(spark, d, "conversations").select("conv_id", "turn", F.lit("[S 1] a [S2] b").alias("a"), n.alias("n"))
-    clean = F.regexp_replace(text.sanitise_citations(F.col("a"), F.col("n")), "\\[S2\\]", "[S 2]")
-    return rows.select("conv_id", "turn", F.trim(clean).alias("clean"), text.citation_refs(F.col("a"), F.col("n")).alias("refs"))
+    """The sources that turns cite, of up to two there are."""
+    t = F.expr(_CITED)
+    rows = _t(spark, d, "conversations").select("conv_id", "turn", t.alias("a"), (F.col("conv_id") % 3).alias("n"))
+    return rows.select("conv_id", "turn", F.array_sort(text.citation_refs(F.col("a"), F.col("n"))).alias("refs"), F.regexp_count("a", F.lit("\\[S\\s*\\d{1,4}\\]")).alias("cited"))
 
 
-@_register("SELECT n_nationkey, '[S 1] ' || n_name || ': x' || chr(10) || '[S 2] region ' || n_regionkey || ': ' || repeat('y', 200) || '…' AS answer FROM nation")
+@_register(
+    """WITH x AS (SELECT doc_id, source AS title, trim(regexp_replace(text, '[ \t\n\v\f\r]+', ' ', 'g')) AS t, lang FROM documents)
+    SELECT doc_id, '[S 1] ' || title || ': ' || CASE WHEN length(t) > 200 THEN substr(t, 1, 200) || '…' ELSE t END || chr(10) || '[S 2] lang ' || lang || ': ' || lang AS answer FROM x"""
+)
 def t17_extractive_answer(spark: SparkSession, d: str) -> DataFrame:
-    texts = F.array(F.lit(" x "), F.lit("y" * 250))
-    titles = F.array(F.col("n_name"), F.concat(F.lit("region "), F.col("n_regionkey").cast("string")))
-    return _t(spark, d, "nation").select("n_nationkey", text.extractive_answer(texts, titles).alias("answer"))
+    """The heads of two sources a document: its text and its language."""
+    rows = _t(spark, d, "documents")
+    return rows.select("doc_id", text.extractive_answer(F.array("text", "lang"), F.array("source", F.concat(F.lit("lang "), "lang"))).alias("answer"))
 
 
 @_register("SELECT p_partkey, [p_size || ' mm', '5 kg'] AS signals, 1990 + p_size % 30 AS year, CASE WHEN p_partkey % 2 = 0 THEN 'Al2O3' END AS formula FROM part")
@@ -512,14 +547,37 @@ def t18_signals(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("p_partkey", text.numeric_signals(F.col("t")).alias("signals"), text.years(F.col("t")).alias("year"), text.formula(F.col("t")).alias("formula"))
 
 
-@_register("SELECT p_partkey, p_partkey % 3 = 0 AS refs, CASE WHEN p_partkey % 2 = 0 THEN 'decrease' ELSE 'increase' END AS direction, 'word ' || p_size || ' end' AS joined FROM part")
+_HEADED = "CASE doc_id % 7 WHEN 0 THEN '3. References ' WHEN 1 THEN '## Works cited: ' WHEN 2 THEN 'Referencesx [1] [ 2 ] ' WHEN 3 THEN '[1] [2] [ 33 ] [4] [5] ' WHEN 4 THEN 'doi: 10.1000/ab 10.2000/x https://doi.org/10.3000/z ' ELSE '' END || coalesce(text, '')"
+
+
+@_register(
+    f"""WITH t AS (SELECT doc_id, {_HEADED} AS t FROM documents), f AS (SELECT doc_id, trim(regexp_replace(t, '[ \\t\\n\\v\\f\\r]+', ' ', 'g')) AS t FROM t),
+    r AS (SELECT doc_id, t, greatest(len(regexp_extract_all(t, '[A-Za-zА-Яа-я]{{2,}}')), 1) AS words, len(regexp_extract_all(t, '(?i)(doi\\s*[:.]?\\s*|https?://(dx\\.)?doi\\.org/)?10\\.\\d{{4,9}}/\\S+')) AS dois,
+      regexp_matches(regexp_replace(substr(t, 1, 120), '^[ .#0-9]+', ''), '(?i)^\\W{{0,6}}(references|bibliography|works cited|acknowledge?ments?)\\b') OR len(regexp_extract_all(t, '\\[\\s*\\d{{1,3}}\\s*\\]')) >= 5 AS by_head FROM f),
+    s AS (SELECT *, t <> '' AND (by_head OR (dois >= 3 AND dois / words > 0.025)) AS refs FROM r)
+    SELECT doc_id, refs, length(t) >= 200 AND words >= 30 AND len(regexp_extract_all(t, '[.!?](\\s|$)')) >= 2 AND NOT refs AS prose FROM s"""
+)
 def t11_detectors(spark: SparkSession, d: str) -> DataFrame:
-    body = F.when(F.col("p_partkey") % 3 == 0, "References [1] a [2] b").otherwise("plain prose about references [1]")
-    goal = F.when(F.col("p_partkey") % 2 == 0, "Reduce the loss").otherwise("More yield")
-    spaced = F.concat(F.lit("w o r d "), F.col("p_size").cast("string"), F.lit(" e n d"))
-    joined = F.concat(text.collapse_spaced(F.lit("w o r d s")), F.lit(""))
-    rows = _t(spark, d, "part").select("p_partkey", text.is_references(body).alias("refs"), text.direction(goal).alias("direction"), spaced.alias("s"), joined.alias("j"))
-    return rows.select("p_partkey", "refs", "direction", F.concat(F.substring("j", 1, 4), F.lit(" "), F.regexp_extract("s", "d ([0-9]+) e", 1), F.lit(" end")).alias("joined"))
+    """Reference lists and prose among documents, some after a heading, marks or DOIs."""
+    t = F.expr(_HEADED)
+    rows = _t(spark, d, "documents").select("doc_id", t.alias("t"))
+    return rows.select("doc_id", text.is_references(F.col("t")).alias("refs"), text.is_prose(F.col("t")).alias("prose"))
+
+
+@_register("SELECT p_partkey, 'the ' || replace(lower(p_name), ' ', '') || ' 12 end' AS joined FROM part")
+def t03_collapse(spark: SparkSession, d: str) -> DataFrame:
+    """Names set letter by letter, joined again."""
+    name = F.lower(F.replace("p_name", F.lit(" "), F.lit("")))
+    spaced = F.concat(F.lit("the "), F.trim(F.regexp_replace(name, "(.)", "$1 ")), F.lit(" 12 end"))
+    return _t(spark, d, "part").select("p_partkey", text.collapse_spaced(spaced).alias("joined"))
+
+
+@_register("SELECT p_partkey, regexp_matches(lower(w), '^(model|paper|vision|framework)') AS generic FROM (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'Model' WHEN 1 THEN 'paper for ' || p_size WHEN 2 THEN 'vision-model x' WHEN 3 THEN p_name ELSE 'framework' END AS w FROM part)")
+def t14_generic_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Labels that say nothing."""
+    k = F.col("p_partkey") % 5
+    label = F.when(k == 0, "Model").when(k == 1, F.concat(F.lit("paper for "), F.col("p_size").cast("string"))).when(k == 2, "vision-model x").when(k == 3, F.col("p_name")).otherwise("framework")
+    return _t(spark, d, "part").select("p_partkey", text.is_generic(label).alias("generic"))
 
 
 @_register("SELECT n_nationkey, ['archive', 'pdf', 'email', 'image', 'sqlite', 'office'][CAST(n_nationkey % 6 AS INTEGER) + 1] AS route, n_nationkey % 6 = 5 AS delimited FROM nation")

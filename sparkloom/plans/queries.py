@@ -93,7 +93,7 @@ r AS (SELECT query, doc, round(score, 4) AS score, row_number() OVER (PARTITION
 
 def _bm25_hits(spark: SparkSession, d: str) -> DataFrame:
     words = lambda c: F.filter(F.split(F.lower(c), "[^\\p{L}\\p{Nd}]+"), lambda x: F.length(x) >= 2)
-    tokens = _t(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.explode(words(F.col("text"))).alias("token"))
+    tokens = _t(spark, d, "documents").select(F.col("doc_id").alias("doc"), words(F.col("text")).alias("tokens"))
     asked = _t(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.array_distinct(words(F.col("text")))).alias("token"))
     scored = retrieval.bm25(tokens, asked).withColumn("score", F.round("score", 4))
     return retrieval.ranked(scored, ["query"], "score", "doc", 10)
@@ -212,7 +212,8 @@ def g13_components(spark: SparkSession, d: str) -> DataFrame:
 def g07_pagerank(spark: SparkSession, d: str) -> DataFrame:
     """Personalised PageRank from vectors 1, 2 and 3."""
     seeds = spark.createDataFrame([(1,), (2,), (3,)], "node long")
-    return graph.pagerank(_edges(spark, d), seeds).select("node", F.round("score", 6).alias("score"))
+    points = _t(spark, d, "embeddings").select(F.col("vec_id").alias("node"))
+    return graph.pagerank(_edges(spark, d), seeds, points).select("node", F.round("score", 6).alias("score"))
 
 
 @_register(None)
@@ -372,11 +373,34 @@ def j03_semi_join(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "orders").join(cited, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderkey", "o_orderdate")
 
 
-@_register("SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INTEGER) AS revision_no FROM orders")
+@_register(
+    """WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate, o_orderdate < TIMESTAMP '1997-01-01' AS old FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM o WHERE old),
+m AS (SELECT o_custkey, max(n) AS last FROM r WHERE n % 3 > 0 GROUP BY 1)
+SELECT o_orderkey, coalesce(last, 0) + row_number() OVER (PARTITION BY o.o_custkey ORDER BY o_orderdate, o_orderkey) AS revision_no FROM o LEFT JOIN m ON m.o_custkey = o.o_custkey WHERE NOT old"""
+)
 def j04_revision_numbers(spark: SparkSession, d: str) -> DataFrame:
-    """Revision numbers within each parent."""
+    """New orders number on from the highest kept revision of their customer."""
+    orders, early = _t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp_ntz")
     order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return _t(spark, d, "orders").select("o_orderkey", F.row_number().over(order).alias("revision_no"))
+    kept = orders.where(early).withColumn("revision_no", F.row_number().over(order)).where("revision_no % 3 > 0")
+    return catalog.next_numbers(orders.where(~early), kept, "o_custkey", "revision_no", [F.col("o_orderdate"), F.col("o_orderkey")]).select("o_orderkey", "revision_no")
+
+
+@_register(
+    """WITH a AS (SELECT o_custkey AS id, CASE WHEN o_custkey % 3 > 0 THEN min(o_clerk) ELSE '' END AS title, row_number() OVER (ORDER BY max(o_totalprice) DESC, o_custkey) - 1 AS rank FROM (SELECT *, CAST(o_orderkey % 10 AS VARCHAR) AS o_clerk FROM orders) GROUP BY o_custkey),
+b AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 5 > 0 THEN c_name END AS title, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) - 1 AS rank FROM customer),
+x AS (SELECT *, 0 AS lst, 1.0 / (60 + rank) AS part FROM a WHERE rank < 200 UNION ALL SELECT *, 1, 0.5 / (60 + rank) FROM b WHERE rank < 300)
+SELECT id, round(sum(part), 6) AS score, list_sort(list_distinct(list(lst))) AS origins, arg_min(title, lst) FILTER (title IS NOT NULL AND title <> '') AS title FROM x GROUP BY id"""
+)
+def j06_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Two ranked lists merged by id; titles from the first list that has one."""
+    o, c = F.col("o_custkey"), F.col("c_custkey")
+    a = _t(spark, d, "orders").groupBy(o.alias("id")).agg(F.min((F.col("o_orderkey") % 10).cast("string")).alias("t"), F.max("o_totalprice").alias("s"))
+    a = a.select("id", F.when(F.col("id") % 3 > 0, F.col("t")).otherwise("").alias("title"), "s", F.lit(1).alias("one"))
+    b = _t(spark, d, "customer").select(c.alias("id"), F.when(c % 5 > 0, F.col("c_name")).alias("title"), F.col("c_acctbal").alias("s"), F.lit(1).alias("one"))
+    lists = [(retrieval.best_of_all(x, "s", "id", n), w) for x, n, w in ((a, 200, 1.0), (b, 300, 0.5))]
+    found = retrieval.fuse(lists, [], "id", fill=["title"])
+    return found.select("id", F.round("score", 6).alias("score"), "origins", "title")
 
 
 @_register("SELECT md5(text) AS hash, doc_id, n_chars, source FROM documents QUALIFY row_number() OVER (PARTITION BY source, md5(text) ORDER BY n_chars DESC, doc_id) = 1")
