@@ -13,7 +13,9 @@ it; the run's whole text is its context.
 3. Earliest contexts that share a gram but differ are sorted as suffixes by
    bucket-pointer refinement to a depth of LENGTH: buckets of the first 25
    bytes are refined by the bucket numbers 25 bytes on, the new buckets by
-   those 50 bytes on. Strings in one bucket then are equal.
+   those 50 bytes on. Strings in one bucket then are equal. The contexts of a
+   gram are refined within one task, those of a gram that has many by joins
+   over all tasks, where a bucket's number is its earliest place.
 """
 
 from __future__ import annotations
@@ -23,38 +25,39 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._bytes import BYTE_VALUE, give_back, mix, text_bytes
+from ._bytes import BYTE_VALUE, give_back, mix, numbers, text_bytes
 from ._spark import Saved, scope, small_batches
 from ._tokens import by_bytes
 
 LENGTH, GRAM = 100, 40
-#: Grams with more different contexts than this are refined by Spark's aggregation instead of within one task.
+#: Grams with more different contexts than this are refined by several tasks instead of one.
 HOT = 2000
 
 _U = np.uint64
 _BASE = int(BYTE_VALUE[7]) | 1
+#: Byte values and base of a second, independent hash of contexts.
+_VALUE2 = numbers(256, 41)
+_BASE2 = int(_VALUE2[7]) | 1
+#: Bytes of the first buckets.
+_FIRST = 25
 _PLACE_BITS = 26
 _RUN = 1 << 17  # bytes handled at once
 #: Bytes of contexts that are refined together.
 PORTION = 1 << 18
 
 
-def _power(n: int) -> np.uint64:
-    return _U(pow(_BASE, n, 1 << 64))
-
-
-def gram_hashes(data: np.ndarray, *lengths: int) -> list[np.ndarray]:
+def gram_hashes(data: np.ndarray, *lengths: int, values: np.ndarray = BYTE_VALUE, base: int = _BASE) -> list[np.ndarray]:
     """Rolling hashes of all grams of each length, made from grams of doubled
     length; the last ``length - 1`` entries of each are to be left alone."""
-    parts = {1: BYTE_VALUE[data]}
+    parts = {1: values[data]}
     with np.errstate(over="ignore"):
 
         def chain(n: int, m: int) -> np.ndarray:  # grams of n bytes followed by m bytes
-            out = parts[n] * _power(m)
+            out = parts[n] * _U(pow(base, m, 1 << 64))
             out[: len(out) - n] += parts[m][n:]
             return out
 
@@ -87,8 +90,9 @@ def window_min(values: np.ndarray, size: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text, lo, hi, gram, context): for each anchor, its text's number, the
-    first and last string start it answers for, and two hashes."""
+    """(text, lo, hi, gram, context, context2): for each anchor, its text's
+    number, the first and last string start it answers for, a hash of its gram
+    and two independent ones of its whole context, 128 bits."""
     out = []
     for first, a, b in _pieces(offsets):
         part = data[a:b]
@@ -109,13 +113,14 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         last = np.r_[new[1:], len(fits)] - 1
         lo, hi, at = fits[new], fits[last], chosen[new]
         with np.errstate(over="ignore"):
-            context = mix(whole[lo] * _U(3) + whole[hi] * _U(5) + (hi - lo).astype(np.uint64) * _U(1 << 20) + (at - lo).astype(np.uint64))
+            span = (hi - lo).astype(np.uint64) * _U(1 << 20) + (at - lo).astype(np.uint64)
+            context, context2 = (mix(w[lo] * _U(3) + w[hi] * _U(5) + span) for w in (whole, *gram_hashes(part, LENGTH, values=_VALUE2, base=_BASE2)))
         text_no = text[new] + first[0]
         shift = a - offsets[text_no]
-        out.append((text_no, lo + shift, hi + shift, gram[at], context))
+        out.append((text_no, lo + shift, hi + shift, gram[at], context, context2))
     if not out:
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, *[none.view(np.uint64)] * 3
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -185,9 +190,9 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in by_bytes(batches, "text"):
-        text, lo, hi, gram, context = anchors(*text_bytes(batch.column("text")))
+        text, lo, hi, *hashes = anchors(*text_bytes(batch.column("text")))
         keys = [batch.column(c).take(pa.array(text)) for c in ("id", "th")]
-        yield pa.RecordBatch.from_arrays([*keys, pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), *_ints(gram, context)], ["id", "th", "lo", "hi", "g", "x"])
+        yield pa.RecordBatch.from_arrays([*keys, pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), *_ints(*hashes)], ["id", "th", "lo", "hi", "g", "x", "y"])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,17 +259,46 @@ def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A hash of every string of the contexts."""
-    for batch in by_bytes(batches, "body", 1 << 18):
+def _quarters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first 25 bytes of every suffix of the contexts that has them."""
+    for batch in by_bytes(batches, "body", 1 << 17):
         data, offsets = text_bytes(batch.column("body"))
-        (whole,) = gram_hashes(data, LENGTH)
-        counts = np.maximum(np.diff(offsets) - LENGTH + 1, 0)
+        counts = np.maximum(np.diff(offsets) - _FIRST + 1, 0)
         owner = np.repeat(np.arange(len(counts)), counts)
         inside = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+        rows = np.ascontiguousarray(data[(offsets[owner] + inside)[:, None] + np.arange(_FIRST)])
+        head = pa.FixedSizeBinaryArray.from_buffers(pa.binary(_FIRST), len(rows), [None, pa.py_buffer(rows)]).cast(pa.binary())
         take = pa.array(owner)
         place = batch.column("lo").to_numpy()[owner] + inside
-        yield pa.RecordBatch.from_arrays([*_ints(whole[offsets[owner] + inside]), batch.column("id").take(take), batch.column("th").take(take), pa.array(place.astype(np.int32))], ["w", "id", "th", "a"])
+        yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("th").take(take), pa.array(place.astype(np.int32)), head], ["id", "th", "p", "q"])
+
+
+def _refined_apart(contexts: DataFrame) -> DataFrame:
+    """(id, th, a, b): what repeats among contexts too many for one task, by the
+    same refinement over all tasks.
+
+    A suffix's bucket is named by the earliest place of those in it. First
+    buckets are alike in 25 bytes; a round joins each suffix's bucket with that
+    of the suffix as many bytes on, and suffixes alike in both are one new
+    bucket. Suffixes alone in their bucket leave. Names come from partial
+    minima, so a bucket's size is no burden."""
+    found = Saved(contexts.mapInArrow(_quarters, "id long, th long, p int, q binary").dropDuplicates(["id", "th", "p"]), "suffix-quarters").df
+    found = _named(found, ["q"])
+    for depth in (_FIRST, 2 * _FIRST):
+        later = found.select(F.col("id").alias("i"), F.col("th").alias("t"), (F.col("p") - depth).alias("at"), F.col("bucket").alias("next"))
+        pairs = found.join(later, (F.col("id") == F.col("i")) & (F.col("th") == F.col("t")) & (F.col("p") == F.col("at"))).select("id", "th", "p", "bucket", "next")
+        found = _named(pairs.withColumnRenamed("bucket", "before"), ["before", "next"])
+    place = F.struct("id", "th", "p")
+    strings = found.where(place != F.col("bucket")).select("id", "th", "p", F.floor(F.col("p") / 4096).alias("block"))
+    run = F.col("p") - F.row_number().over(Window.partitionBy("id", "th", "block").orderBy("p"))
+    return strings.withColumn("run", run).groupBy("id", "th", "block", "run").agg(F.min("p").alias("a"), (F.max("p") + LENGTH).alias("b")).select("id", "th", "a", "b")
+
+
+def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(id, th, p, bucket) of the rows that aren't alone in their keys."""
+    rows = Saved(rows.select("id", "th", "p", *keys), "suffix-rows").df
+    names = rows.groupBy(*keys).agg(F.min(F.struct("id", "th", "p")).alias("bucket"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return Saved(rows.join(names, keys).select("id", "th", "p", "bucket"), "suffix-buckets").df
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -313,12 +347,12 @@ def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     named = small_batches(docs).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     grams = named.select("text").mapInArrow(_grams, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")).where("c > 1").select("g")
     grams = Saved(grams, "suffix-grams").df
-    hits = named.mapInArrow(_anchor_rows, "id long, th long, lo int, hi int, g long, x long").join(grams, "g", "left_semi")
+    hits = named.mapInArrow(_anchor_rows, "id long, th long, lo int, hi int, g long, x long, y long").join(grams, "g", "left_semi")
     hits = Saved(hits, "suffix-anchors").df
-    firsts = hits.groupBy("g", "x").agg(F.min(F.struct("id", "th", "lo", "hi")).alias("f"), F.count("*").alias("n"))
-    firsts = Saved(firsts.select("g", "x", "f.*", "n"), "suffix-firsts").df
-    same = firsts.where("n > 1").select("g", "x", F.col("id").alias("f_id"), F.col("th").alias("f_th"), F.col("lo").alias("f_lo"))
-    again = hits.join(same, ["g", "x"]).where("NOT (id = f_id AND th = f_th AND lo = f_lo)").select("id", "th", F.col("lo").alias("a"), (F.col("hi") + LENGTH).alias("b"))
+    firsts = hits.groupBy("g", "x", "y").agg(F.min(F.struct("id", "th", "lo", "hi")).alias("f"), F.count("*").alias("n"))
+    firsts = Saved(firsts.select("g", "x", "y", "f.*", "n"), "suffix-firsts").df
+    same = firsts.where("n > 1").select("g", "x", "y", F.col("id").alias("f_id"), F.col("th").alias("f_th"), F.col("lo").alias("f_lo"))
+    again = hits.join(same, ["g", "x", "y"]).where("NOT (id = f_id AND th = f_th AND lo = f_lo)").select("id", "th", F.col("lo").alias("a"), (F.col("hi") + LENGTH).alias("b"))
 
     many = firsts.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select("g", (F.col("m") > HOT).alias("hot"))
     asked = firsts.join(many, "g").groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi", "g", "hot")).alias("asked"))
@@ -326,10 +360,9 @@ def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     contexts = Saved(contexts, "suffix-contexts").df
     calm = contexts.where("NOT hot").select("g", "id", "th", "lo", "body").repartition("g").sortWithinPartitions("g")
     found = calm.mapInArrow(_refined, "id long, th long, a int, b int")
-    strings = contexts.where("hot").select("id", "th", "lo", "body").mapInArrow(_windows, "w long, id long, th long, a int")
-    earliest = strings.groupBy("w").agg(F.min(F.struct("id", "th", "a")).alias("f"), F.count("*").alias("n")).where("n > 1").select("w", "f")
-    found_hot = strings.join(earliest, "w").where(F.struct("id", "th", "a") != F.col("f")).select("id", "th", "a", (F.col("a") + LENGTH).alias("b"))
-    return again.unionByName(found).unionByName(found_hot).groupBy("id", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    hot = contexts.where("hot").select("id", "th", "lo", "body")
+    found = found.unionByName(_refined_apart(hot)) if hot.head(1) else found
+    return again.unionByName(found).groupBy("id", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
 def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

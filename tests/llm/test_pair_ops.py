@@ -4,7 +4,7 @@ import hashlib
 import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import pytest
@@ -104,6 +104,29 @@ def test_remove_repeats(spark, sf, docs, rows, empty, hot, monkeypatch):
         assert kept[70] is None and kept[71] == "" and kept[11] == "" and without_repeats(docs).columns == docs.columns
 
 
+def test_remove_repeats_of_one_gram_in_many_contexts(spark, monkeypatch):
+    """A line of 60 bytes in 3000 different places, a letter a million times, and rows that repeat an id."""
+    from sparkloom.llm import suffix_dedup
+
+    r = random.Random(8)
+    say = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    line = say(60)
+    tails = [say(45) for _ in range(40)]
+    rows = [(i, f"{say(20)}{r.choice(tails)}{line}{r.choice(tails)}{say(30)}") for i in range(3000)]
+    got = sorted(map(tuple, remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == _repeats(rows) and sum(x[2] > 0 for x in got) > 500
+    monkeypatch.setattr(suffix_dedup, "HOT", 20)
+    assert sorted(map(tuple, remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())) == got
+    long = [(1, "x" * 1_000_000), (2, "y" * 99 + "x" * 150 + "z" * 100)]
+    got = {x.doc_id: (x.n_removed, x.n_spans) for x in remove_repeats(spark.createDataFrame(long, "doc_id long, text string")).collect()}
+    assert got == {1: (999_999, 1), 2: (150, 1)}
+    twice = rows[:50] + rows[:50] + [(7, say(300)), (8, rows[3][1])]
+    got = remove_repeats(spark.createDataFrame(twice, "doc_id long, text string")).collect()
+    assert len(got) == len(twice)
+    by = Counter((x.doc_id, x.kept_sha256) for x in got)
+    assert all(by[i, next(h for d, h in by if d == i)] >= 2 for i in range(50) if i not in (7, 8))
+
+
 def test_anchors_of_long_texts_in_pieces(spark, monkeypatch):
     from sparkloom.llm import suffix_dedup
 
@@ -117,7 +140,7 @@ def test_anchors_of_long_texts_in_pieces(spark, monkeypatch):
 
     from sparkloom.llm._bytes import text_bytes
 
-    text, lo, hi, _, _ = suffix_dedup.anchors(*text_bytes(pa.array([t for _, t in rows])))
+    text, lo, hi, *_ = suffix_dedup.anchors(*text_bytes(pa.array([t for _, t in rows])))
     starts = sorted((int(t), int(s)) for t, a, b in zip(text, lo, hi) for s in range(a, b + 1))
     assert starts == [(k, s) for k, (_, t) in enumerate(rows) for s in range(len(t.encode()) - 99)]
     assert np.all(hi >= lo)
