@@ -1,19 +1,13 @@
 """Scoring texts with a causal self-attention model trained in numpy.
 
 Texts are lower-cased (A-Z) and encoded to subword ids. Each of the most
-frequent ids is a class of the model; the others share RARE classes by a hash,
-as inputs and as outputs, and an id's probability is its class's times its
-smoothed share of the class in all training texts.
-
-Each token's window is the REACH tokens before it, so windows overlap and each
-token is scored once, many windows in a batch. A query made from the last token
-attends to the keys of the window's tokens (those before the text's start are
-masked), to the last two tokens as a pair, and to nothing. What an attended
-token brings along is a distribution of the next class: that of the classes
-which followed it at this distance in all training texts. The attention weights
-mix these distributions, so the probabilities of all ids and the end sum to
-one. Counts come from Spark aggregates; queries, keys and offsets are trained
-by gradient descent in numpy, where the texts lie.
+frequent ids is a class of the model (``attention``); the others share RARE
+classes by a hash, as inputs and as outputs, and an id's probability is its
+class's times its smoothed share of the class in all training texts. So the
+probabilities of all ids and the end sum to one.
+
+Counts come from Spark aggregates over all training texts; the model is trained
+on every token of them, where the texts lie.
 """
 
 from __future__ import annotations
@@ -25,205 +19,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import text_bytes, word_hashes, words
 from ._spark import Saved, scope, small_batches
 from ._tokens import by_bytes, byte_letters, encoder
+from .attention import CLASSES, END, INPUTS, Followers, Net, Params, Trainer, blocks, flat, start_params, unflat
 
-CLASSES = 1024
-END = CLASSES - 1
 #: Classes of the rarer ids, the last before END.
 RARE = 256
-#: Only inputs: the start of a text, and what is before it (masked).
-START, PAD, INPUTS = CLASSES, CLASSES + 1, CLASSES + 2
-#: Tokens in a window, width of queries and keys; slots: the window's tokens, the pair, and nothing.
-REACH, WIDTH = 6, 8
-SLOTS = REACH + 2
-#: The table of followers for each distance: one, two, or more.
-BAND = (0, 1) + (2,) * (REACH - 2)
-BANDS = 3
-#: Weight of all classes' shares beside a token's followers, and of those beside a pair's.
-SMOOTH, SMOOTH_PAIR = 20.0, 50.0
-#: Pairs with followers that are kept: the most frequent ones.
-PAIRS = 1 << 20
-
-Params = dict[str, np.ndarray]
-SHAPES = {"q": (INPUTS, WIDTH), "k": (INPUTS, WIDTH), "s": (INPUTS,), "b": (REACH,), "p": (INPUTS,), "g": (1,), "u": (INPUTS,)}
-
-
-def start_params(seed: int = 5) -> Params:
-    rng = np.random.default_rng(seed)
-    params = {name: (rng.standard_normal(shape) * 0.3 if name in "qk" else np.zeros(shape)).astype(np.float32) for name, shape in SHAPES.items()}
-    params["b"][0], params["p"][:], params["g"][:] = 1.0, -1.0, 0.5
-    return params
-
-
-def flat(params: Params) -> np.ndarray:
-    return np.concatenate([params[k].ravel() for k in SHAPES]).astype(np.float64)
-
-
-def unflat(values: np.ndarray) -> Params:
-    out, at = {}, 0
-    for k, s in SHAPES.items():
-        n = math.prod(s)
-        out[k] = values[at : at + n].reshape(s).astype(np.float32)
-        at += n
-    return out
-
-
-def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(near, targets): for each token of each text's classes (END last), the
-    REACH classes before it, the nearest first, and the token. ``near`` has a
-    row for each distance, so that sums over a window's slots run along rows."""
-    sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    lead = np.full(REACH, PAD, dtype=np.int32)
-    lead[-1] = START
-    stream = np.concatenate([x for t in texts for x in (lead, t)]).astype(np.int32) if texts else np.zeros(0, dtype=np.int32)
-    first = np.cumsum(sizes + REACH) - sizes
-    at = np.arange(int(sizes.sum())) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
-    return np.stack([stream[at - d] for d in range(1, REACH + 1)]), stream[at]
-
-
-@dataclass(frozen=True)
-class Memory:
-    """What followed what in the training texts.
-
-    ``followers[b, x, y]``: how often class y followed x in the distances of
-    band b. ``keys`` (sorted) and ``counts``: (pair, follower) numbers that are
-    kept; ``kept[x2, x1]``: their counts' sum for each pair."""
-
-    followers: np.ndarray
-    sizes: np.ndarray
-    unigram: np.ndarray
-    keys: np.ndarray
-    counts: np.ndarray
-    kept: np.ndarray
-
-    @staticmethod
-    def of(keys: np.ndarray, counts: np.ndarray, pair_keys: np.ndarray, pair_counts: np.ndarray) -> Memory:
-        followers = np.zeros(BANDS * INPUTS * CLASSES, dtype=np.int32)
-        followers[keys] = np.minimum(counts, 1 << 30)
-        followers = followers.reshape(BANDS, INPUTS, CLASSES)
-        unigram = followers[0].sum(axis=0) + 0.5
-        order = np.argsort(pair_keys)
-        kept = np.bincount(pair_keys // CLASSES, weights=pair_counts, minlength=INPUTS * INPUTS) if len(pair_keys) else np.zeros(INPUTS * INPUTS)
-        return Memory(followers, followers.sum(axis=2, dtype=np.int64).astype(np.float32), (unigram / unigram.sum()).astype(np.float32), pair_keys[order].astype(np.int32), pair_counts[order].astype(np.float32), kept.astype(np.float32))
-
-    def values(self, near: np.ndarray, targets: np.ndarray, own: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """Each slot's probability of the target, and the logarithm of how often
-        the pair was seen. ``own`` 1 leaves the target itself out of all counts."""
-        out = np.empty((SLOTS, len(targets)), dtype=np.float32)
-        out[-1] = self.unigram[targets]
-        spare = SMOOTH * out[-1]
-        for d in range(REACH):
-            x = near[d]
-            c = self.followers[BAND[d]].ravel().take(x * CLASSES + targets)
-            np.maximum(c - own, 0, out=out[d], casting="unsafe")
-            out[d] += spare
-            out[d] /= np.maximum(self.sizes[BAND[d]].take(x) - own, 0) + SMOOTH
-        pair = near[1] * INPUTS + near[0]
-        inside = near[0] < CLASSES
-        n = np.where(inside, self.followers[0].ravel().take(near[1] * CLASSES + np.minimum(near[0], END)), 0).astype(np.float32)
-        c, kept = np.zeros(len(targets), dtype=np.float32), self.kept.take(pair)
-        if len(self.keys):
-            key = pair * CLASSES + targets
-            order = np.argsort(key)  # neighbours in the table are looked up one after another
-            spot = np.empty(len(key), dtype=np.int64)
-            spot[order] = np.minimum(np.searchsorted(self.keys, key[order]), len(self.keys) - 1)
-            hit = (self.keys[spot] == key) & inside
-            c[hit] = self.counts[spot[hit]] - own
-            kept = kept - own * hit
-        n = np.maximum(n - own, kept)
-        out[REACH] = (c + (n - kept + SMOOTH_PAIR) * out[0]) / (n + SMOOTH_PAIR)
-        return out, np.log1p(n)
-
-
-class Scorer:
-    """Natural log-probabilities of tokens' classes. The products of all queries
-    and keys are made once."""
-
-    def __init__(self, p: Params, memory: Memory):
-        self.p, self.memory = p, memory
-        self.content = p["q"] @ p["k"].T + p["s"]
-        self.content[:, PAD] = -1e9
-
-    def weights(self, near: np.ndarray, seen: np.ndarray) -> np.ndarray:
-        p, last = self.p, near[0]
-        logits = np.empty((SLOTS, near.shape[1]), dtype=self.content.dtype)
-        np.take(self.content.ravel(), last * INPUTS + near, out=logits[:REACH], mode="clip")
-        logits[:REACH] += p["b"][:, None]
-        logits[REACH] = p["p"][last] + p["g"] * seen
-        logits[-1] = p["u"][last]
-        logits -= logits.max(axis=0)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(axis=0)
-        return logits
-
-    def score(self, near: np.ndarray, targets: np.ndarray, rows: int = 1 << 14) -> np.ndarray:
-        out = np.empty(len(targets))
-        for at in range(0, len(targets), rows):
-            part = slice(at, at + rows)
-            values, seen = self.memory.values(near[:, part], targets[part])
-            values *= self.weights(near[:, part], seen)
-            out[part] = np.log(values.sum(axis=0))
-        return out
-
-
-def gradients(p: Params, memory: Memory, near: np.ndarray, targets: np.ndarray, own: int = 1) -> tuple[float, Params]:
-    """The mean loss of a batch of windows, and its gradients. Targets are left
-    out of the counts, as they stand in the training texts themselves."""
-    n, last = len(targets), near[0]
-    values, seen = memory.values(near, targets, own)
-    a = Scorer(p, memory).weights(near, seen)
-    each = a * values
-    total = each.sum(axis=0)
-    each /= total
-    d = a - each
-    d /= n
-    count = lambda at, w: np.bincount(at, weights=w, minlength=INPUTS)
-    # gradients of all products of a query and a key, from there of both
-    content = np.bincount((last * INPUTS + near).ravel(), weights=d[:REACH].ravel(), minlength=INPUTS * INPUTS).reshape(INPUTS, INPUTS)
-    content[:, PAD] = 0
-    content = content.astype(p["q"].dtype)
-    grad = {
-        "q": content @ p["k"],
-        "k": content.T @ p["q"],
-        "s": content.sum(axis=0),
-        "b": np.where(near == PAD, 0, d[:REACH]).sum(axis=1),
-        "p": count(last, d[REACH]),
-        "g": np.array([(d[REACH] * seen).sum()]),
-        "u": count(last, d[-1]),
-    }
-    return float(-np.log(total).mean()), grad
-
-
-class Trainer:
-    """Adam over batches of windows."""
-
-    def __init__(self, params: Params, memory: Memory, rate: float = 2e-2):
-        self.p = {k: v.copy() for k, v in params.items()}
-        self.memory, self.rate, self.steps, self.tokens, self.loss = memory, rate, 0, 0, math.nan
-        self.one = {k: np.zeros_like(v) for k, v in self.p.items()}
-        self.two = {k: np.zeros_like(v) for k, v in self.p.items()}
-
-    def step(self, near: np.ndarray, targets: np.ndarray) -> None:
-        self.loss, grad = gradients(self.p, self.memory, near, targets)
-        self.steps += 1
-        self.tokens += len(targets)
-        fix = math.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps)
-        for k, d in grad.items():
-            d = d.astype(np.float32)
-            self.one[k] += 0.1 * (d - self.one[k])
-            self.two[k] += 0.01 * (d * d - self.two[k])
-            self.p[k] -= np.float32(self.rate * fix) * self.one[k] / (np.sqrt(self.two[k]) + np.float32(1e-8))
-
-    def fit(self, texts: list[np.ndarray], rows: int = 1 << 15) -> None:
-        """One pass over all windows of the texts."""
-        near, targets = windows(texts)
-        for at in range(0, len(targets), rows):
-            self.step(near[:, at : at + rows], targets[at : at + rows])
+#: Parameters travel in parts of so many.
+PART = 1 << 10
 
 
 def is_held_out(id_: Column) -> Column:
@@ -269,168 +77,91 @@ def _classes(column: pa.Array, table: np.ndarray) -> list[np.ndarray]:
     return [np.append(mapped[a // 2 : b // 2], END) for a, b in zip(offsets[:-1], offsets[1:])]
 
 
-#: From here on, keys name a pair and its follower; below, a token and its follower in a band.
-_PAIR_KEYS = BANDS * INPUTS * CLASSES
-#: Keys are dealt to so many parts, so that a part's sorted keys and counts travel as one row.
-PARTS = 512
-_PACKED = "pair boolean, part int, keys binary, counts binary"
-
-
-class Sums:
-    """Counts by key, kept as sorted runs that are merged when they have doubled."""
-
-    def __init__(self, least: int = 1 << 21):
-        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
-        self.held, self.least, self.limit = 0, least, least
-
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.runs.append((keys.astype(np.int32), counts.astype(np.int64)))
-        self.held += len(keys)
-        if self.held > self.limit:
-            self.merge()
-            self.limit = max(self.least, 2 * self.held)
-
-    def merge(self) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.runs) > 1:
-            keys, counts = (np.concatenate(x) for x in zip(*self.runs))
-            order = np.argsort(keys, kind="stable")
-            keys = keys[order]
-            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            self.runs = [(keys[first], np.add.reduceat(counts[order], first))] if len(keys) else []
-        self.held = len(self.runs[0][0]) if self.runs else 0
-        return self.runs[0] if self.runs else (np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64))
-
-    def take(self) -> tuple[np.ndarray, np.ndarray]:
-        found = self.merge()
-        self.runs, self.held = [], 0
-        return found
-
-
-def _packed(keys: np.ndarray, counts: np.ndarray, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Rows of sorted keys and their counts, one or more for each part."""
-    cuts = [0, *np.searchsorted(keys, [_PAIR_KEYS]), len(keys)]
-    for pair, (start, stop) in enumerate(zip(cuts[:-1], cuts[1:])):
-        for at in range(start, stop, most):
-            k, c = keys[at : min(stop, at + most)], counts[at : min(stop, at + most)]
-            part = (k % PARTS).astype(np.int16)
-            order = np.argsort(part, kind="stable")
-            bounds = np.searchsorted(part[order], np.arange(PARTS + 1))
-            rows = np.flatnonzero(np.diff(bounds))
-            k, c = k[order].astype("<i4"), c[order].astype("<i8")
-            cut = lambda x: pa.array([x[bounds[r] : bounds[r + 1]].tobytes() for r in rows], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), bool(pair))), pa.array(rows.astype(np.int32)), cut(k), cut(c)], ["pair", "part", "keys", "counts"])
-
-
-def _numbers(column: pa.Array, kind: str) -> np.ndarray:
-    return np.frombuffer(text_bytes(column)[0].tobytes(), dtype=kind)
-
-
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sums of packed rows. A task holds no more than the different keys of
-    its parts, whatever the number of rows."""
-    sums = Sums()
-    for batch in batches:
-        for keys, counts in zip(batch.column("keys"), batch.column("counts")):
-            sums.add(np.frombuffer(keys.as_py(), dtype="<i4"), np.frombuffer(counts.as_py(), dtype="<i8"))
-    yield from _packed(*sums.take())
-
-
-def _followers(table: np.ndarray, most: int = 1 << 20):
-    """How often what follows what in a task's texts, packed. Pairs with
-    followers are given out on the way when over ``most`` are held."""
+def _follower_rows(table: np.ndarray):
+    """How often what follows what in a task's texts: a row for each input, with
+    the classes that followed it and their counts."""
 
     def followers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((BANDS, INPUTS * CLASSES), dtype=np.int64)
-        sums = Sums(2 * most)
+        total = np.zeros(INPUTS * CLASSES, dtype=np.int64)
         for batch in by_bytes(batches, "ids", 1 << 20):
-            near, targets = windows(_classes(batch.column("ids"), table))
-            for band in range(BANDS):
-                at = near[[d for d in range(REACH) if BAND[d] == band]] * CLASSES + targets
-                total[band] += np.bincount(at.ravel(), minlength=INPUTS * CLASSES)
-            inside = near[0] < CLASSES
-            keys, counts = np.unique((near[1, inside] * INPUTS + near[0, inside]) * CLASSES + targets[inside], return_counts=True)
-            sums.add(_PAIR_KEYS + keys, counts)
-            if sums.held > most and len(sums.runs) == 1:
-                yield from _packed(*sums.take())
-        total.reshape(BANDS, INPUTS, CLASSES)[:, PAD] = 0  # nothing follows what is before a text
-        total = total.ravel()
-        some = np.flatnonzero(total)
-        yield from _packed(some.astype(np.int32), total[some])
-        yield from _packed(*sums.take())
+            x, y, _ = blocks(_classes(batch.column("ids"), table))
+            ok = y >= 0
+            total += np.bincount(x[ok] * CLASSES + y[ok], minlength=INPUTS * CLASSES)
+        total = total.reshape(INPUTS, CLASSES)
+        some = np.flatnonzero(total.any(axis=1))
+        seen = [np.flatnonzero(total[i]) for i in some]
+        packed = lambda rows, kind: pa.array([r.astype(kind).tobytes() for r in rows], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), packed(seen, "<i4"), packed([total[i, s] for i, s in zip(some, seen)], "<i8")], ["x", "y", "c"])
 
     return followers
 
 
-def _step(counts: np.ndarray) -> np.ndarray:
-    """Eight steps for each doubling of a count."""
-    return np.floor(8 * np.log2(counts)).astype(np.int32)
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of rows of one input, added as they come."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for x, y, c in zip(*(batch.column(k).to_pylist() for k in "xyc")):
+            total.setdefault(x, np.zeros(CLASSES, dtype=np.int64))[np.frombuffer(y, dtype="<i4")] += np.frombuffer(c, dtype="<i8")
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([c.astype("<i8").tobytes() for c in total.values()], pa.binary())], ["x", "c"])
 
 
-def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        step, n = np.unique(_step(_numbers(batch.column("counts"), "<i8")), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(step), pa.array(n)], ["step", "n"])
-
-
-def _frequent(least: int):
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, counts = _numbers(batch.column("keys"), "<i4"), _numbers(batch.column("counts"), "<i8")
-            some = _step(counts) >= least
-            yield pa.RecordBatch.from_arrays([pa.array([keys[some].tobytes()], pa.binary()), pa.array([counts[some].tobytes()], pa.binary())], ["keys", "counts"])
-
-    return frequent
-
-
-def remember(encoded: DataFrame, table: np.ndarray, pairs: int = PAIRS) -> Memory:
-    """The memory of all training texts' rows (ids). Tasks count and pack; packed
-    rows meet by part and are summed as they come. The driver gets at most
-    3 * 1026 * 1024 counts of tokens and ``pairs`` counts of pairs: of the latter
-    all those that are seen at least so often that no more fit."""
-    counted = encoded.select("ids").mapInArrow(_followers(table), _PACKED).repartition("part").mapInArrow(_merged, _PACKED)
-    found = Saved(counted, "lm-followers").df
-    far = found.where("pair").select("keys", "counts")
-    room, least = pairs, None
-    for r in far.mapInArrow(_steps, "step int, n long").groupBy("step").agg(F.sum("n").alias("n")).orderBy(F.desc("step")).collect():
-        room -= r["n"]
-        if room < 0:
-            break
-        least = r["step"]
-    near = found.where("NOT pair").select("keys", "counts").toArrow()
-    kept = far.mapInArrow(_frequent(least), "keys binary, counts binary").toArrow() if least is not None else near.slice(0, 0)
-    column = lambda t, c, kind: np.concatenate([np.zeros(0, dtype=kind), *(_numbers(x, kind) for x in t.column(c).chunks)])
-    return Memory.of(column(near, "keys", "<i4"), column(near, "counts", "<i8"), column(kept, "keys", "<i4") - _PAIR_KEYS, column(kept, "counts", "<i8"))
-
-
-def train(encoded: DataFrame, table: np.ndarray, memory: Memory, rounds: int = 2) -> Params:
+def count_followers(learn: DataFrame, table: np.ndarray) -> Followers:
+    """What follows what in all training texts (ids). The driver gets 1026 rows
+    of 1024 counts, whatever the number of texts."""
+    rows = learn.select("ids").mapInArrow(_follower_rows(table), "x int, y binary, c binary").repartition("x").mapInArrow(_summed, "x int, c binary").toArrow()
+    counts = np.zeros((INPUTS, CLASSES), dtype=np.int64)
+    for x, c in zip(rows.column("x").to_pylist(), rows.column("c").to_pylist()):
+        counts[x] = np.frombuffer(c, dtype="<i8")
+    return Followers(counts)
+
+
+def train(learn: DataFrame, table: np.ndarray, followers: Broadcast, rounds: int = 2) -> Params:
     """Train on rows (id, ids) of training texts.
 
     All texts are trained on where they lie, each in one of ``rounds`` rounds by
     a hash of the id: every task continues from the round's start over its own
-    texts, and Spark sums the tasks' parameters, weighted by tokens. So the
-    driver sees one row for each parameter."""
-    params = start_params()
+    texts, and the tasks' parameters are averaged by their tokens. They travel in
+    parts and are added as they come, so neither a task nor the driver holds
+    more than one set."""
+    params, parts = start_params(), "part int, v binary, n long"
     for k in range(rounds):
-        own = encoded.where(F.pmod(F.xxhash64("id", F.lit(4)), F.lit(rounds)) == k).select("ids")
-        mean = own.mapInArrow(_local(params, table, memory), "k int, v double, n long").groupBy("k").agg((F.sum("v") / F.sum("n")).alias("v")).orderBy("k").toArrow()
-        params = unflat(mean.column("v").to_numpy()) if mean.num_rows else params
+        own = learn.where(F.pmod(F.xxhash64("id", F.lit(4)), F.lit(rounds)) == k).select("ids")
+        found = own.mapInArrow(_local(params, table, followers), parts).repartition("part").mapInArrow(_added, parts).orderBy("part").toArrow()
+        if found.num_rows:
+            sums = np.concatenate([np.frombuffer(v, dtype="<f8") for v in found.column("v").to_pylist()])
+            params = unflat(sums / found.column("n")[0].as_py())
     return params
 
 
-def _local(start: Params, table: np.ndarray, memory: Memory):
+def _part_rows(values: dict[int, np.ndarray], tokens: dict[int, int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(values), pa.int32()), pa.array([v.astype("<f8").tobytes() for v in values.values()], pa.binary()), pa.array([tokens[k] for k in values], pa.int64())], ["part", "v", "n"])
+
+
+def _local(start: Params, table: np.ndarray, followers: Broadcast):
     """A task's parameters times its tokens, and its tokens, after all its texts."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer = Trainer(start, memory)
+        trainer = Trainer(start, followers.value)
         for batch in by_bytes(batches, "ids", 1 << 18):
             trainer.fit(_classes(batch.column("ids"), table))
         if trainer.tokens:
             values = flat(trainer.p) * trainer.tokens
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values), pa.array(np.full(len(values), trainer.tokens, dtype=np.int64))], ["k", "v", "n"])
+            cut = {k: values[at : at + PART] for k, at in enumerate(range(0, len(values), PART))}
+            yield _part_rows(cut, dict.fromkeys(cut, trainer.tokens))
 
     return local
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    values: dict[int, np.ndarray] = {}
+    tokens: dict[int, int] = {}
+    for batch in batches:
+        for part, v, n in zip(*(batch.column(c).to_pylist() for c in ("part", "v", "n"))):
+            values[part] = values.get(part, 0) + np.frombuffer(v, dtype="<f8")
+            tokens[part] = tokens.get(part, 0) + n
+    yield _part_rows(values, tokens)
+
+
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in by_bytes(batches, "text", 1 << 20):
         data, offsets = text_bytes(batch.column("text"))
@@ -484,21 +215,21 @@ class WordCounts:
         return math.log10(self.n + 0.5 * (self.v + 1))
 
 
-def _score(params: Params, memory: Memory, table: np.ndarray, within: np.ndarray, path: str, known: WordCounts):
+def _score(params: Params, followers: Broadcast, table: np.ndarray, within: np.ndarray, path: str, known: WordCounts):
     """Rows with ``h`` null: a text's score (``within``: ids' logarithmic shares of
-    their classes), and what its common words and the
-    end give ``base``. The others: a text's rarer words, whose counts are yet to
-    be looked up."""
+    their classes), and what its common words and the end give ``base``. The
+    others: a text's rarer words, once each with how often it stands there,
+    whose counts are yet to be looked up."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, vocabulary = Scorer(params, memory), vocabulary_of(path)
+        net, vocabulary = Net(params, followers.value), vocabulary_of(path)
         logs = np.log10(known.counts + 0.5) - known.room
         end_log = math.log10(known.ends + 0.5) - known.room
         for batch in by_bytes(batches, "ids", 1 << 17):
             rows = batch.num_rows
             raw, at = text_bytes(batch.column("ids"))
             ids, at = np.frombuffer(raw.tobytes(), dtype="<u2"), at // 2
-            log = scorer.score(*windows(_classes(batch.column("ids"), table)))
+            log = net.logs(*blocks(_classes(batch.column("ids"), table))).astype(np.float64)
             log += np.insert(within[ids], at[1:], 0.0)
             total = np.bincount(np.repeat(np.arange(rows), np.diff(at) + 1), weights=log, minlength=rows) / math.log(10)
             data, place = vocabulary.decode(ids)
@@ -510,21 +241,31 @@ def _score(params: Params, memory: Memory, table: np.ndarray, within: np.ndarray
             seen = owner[found]
             sums = np.bincount(seen, weights=logs[spot[found]], minlength=rows) + end_log
             n_known = np.bincount(seen, minlength=rows) + (known.ends > 0)
-            rare = np.flatnonzero(~found)
-            take = pa.array(np.concatenate([np.arange(rows), owner[rare]]))
+            rare, times = _counted(owner[~found], h[~found])
+            take = pa.array(np.concatenate([np.arange(rows), rare["owner"]]))
             empty = np.zeros(len(rare), dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(c).take(take) for c in ("uid", "id", "held")),
-                    pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(h[rare].view(np.int64))]),
+                    pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(rare["h"].view(np.int64))]),
+                    pa.array(np.concatenate([np.zeros(rows, dtype=np.int64), times])),
                     *(pa.array(np.concatenate([a, b])) for a, b in ((np.diff(word_of) + 1, empty), (n_known.astype(np.int64), empty), (sums, empty.astype(float)), (total, empty.astype(float)))),
                 ],
-                ["uid", "id", "held", "h", "tokens", "known", "base", "a"],
+                ["uid", "id", "held", "h", "times", "tokens", "known", "base", "a"],
             )
 
     return score
 
 
+def _counted(owner: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different (owner, h), and how often each stands there."""
+    order = np.lexsort((h, owner))
+    rows = np.empty(len(h), dtype=[("owner", np.int64), ("h", np.uint64)])
+    rows["owner"], rows["h"] = owner[order], h[order]
+    first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, dtype=np.int64)
+    return np.ascontiguousarray(rows[first]), np.diff(np.r_[first, len(rows)])
+
+
 def count_words(texts: DataFrame, common_words: int = 1 << 17) -> tuple[DataFrame, WordCounts]:
     """(h, c) of all words of training texts, saved, and the ``common_words``
     most frequent ones (a bound: 2 MB) for the tasks. Counts are summed within
@@ -548,9 +289,10 @@ def lm_scores(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
     as any unseen word costs the same. Both learn from rows that aren't held
     out: word and id counts from all of them.
 
-    Frequent words are looked up in the tasks; rarer words are joined by hash,
-    and as none of them is frequent no join key is hot. Texts are encoded once
-    and kept as ids of two bytes; no text is shuffled.
+    Frequent training words are looked up in the tasks; other words leave them
+    once a text, with their number, and are joined by hash. Texts are encoded
+    once and kept as ids of two bytes; no text is shuffled. The counts of
+    followers (1026 x 1024) are broadcast.
 
     Null text counts as empty: one token, the end. Null ids aren't held out.
     Repeated rows are scored and learned from as often as they stand. Other
@@ -570,20 +312,20 @@ def _scored(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str) ->
     counts_of = np.zeros(encoder(tokenizer_path, False).tokenizer.get_vocab_size())
     counts_of[seen.column("t").to_numpy()] = seen.column("c").to_numpy()
     table, within = id_classes(counts_of)
-    memory = remember(learn, table)
-    params = train(learn, table, memory)
+    followers = docs.sparkSession.sparkContext.broadcast(count_followers(learn, table))
+    params = train(learn, table, followers)
     counts, known = count_words(rows.where("NOT held"))
 
-    schema = f"uid long, id {id_type}, held boolean, h long, tokens long, known long, base double, a double"
-    found = encoded.withColumn("uid", F.monotonically_increasing_id()).select("uid", "id", "held", "ids").mapInArrow(_score(params, memory, table, within, tokenizer_path, known), schema)
+    schema = f"uid long, id {id_type}, held boolean, h long, times long, tokens long, known long, base double, a double"
+    found = encoded.withColumn("uid", F.monotonically_increasing_id()).select("uid", "id", "held", "ids").mapInArrow(_score(params, followers, table, within, tokenizer_path, known), schema)
     joined = found.join(counts, "h", "left")
     log = F.log10(F.coalesce(F.col("c"), F.lit(0)) + 0.5) - F.lit(known.room)
     rare = F.col("h").isNotNull()
     got = joined.groupBy("uid").agg(
         F.max_by(F.struct("id", "held"), "tokens").alias("row"),
         F.sum("tokens").alias("n_tokens"),
-        F.sum(F.col("known") + F.when(rare & F.col("c").isNotNull(), 1).otherwise(0)).alias("n_known"),
-        F.sum(F.when(rare, log).otherwise(F.col("base"))).alias("base_score"),
+        F.sum(F.col("known") + F.when(rare & F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("n_known"),
+        F.sum(F.when(rare, F.col("times") * log).otherwise(F.col("base"))).alias("base_score"),
         F.sum("a").alias("score"),
     )
     return got.select(F.col("row.id").alias(id_col), F.col("row.held").alias("held_out"), "n_tokens", "n_known", F.lit(known.n).cast("long").alias("train_tokens"), "base_score", "score")

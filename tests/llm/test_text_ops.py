@@ -11,7 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from sparkloom.llm import license_scan as licences
-from sparkloom.llm import lm_score
+from sparkloom.llm import attention, lm_score
 from sparkloom.llm.packing import best_pattern, cutting_stock, pack
 from sparkloom.llm.sharding import place, shard
 from sparkloom.llm.token_counts import token_counts
@@ -225,78 +225,123 @@ def test_score_grows_with_the_ids_of_an_unseen_word(spark, library):
     assert got[long].score < -0.5 * n and got[long].score < 20 * got[short].score
 
 
-def _memory(texts):
+def _followers(texts):
+    """As tasks count and sum them."""
     import pyarrow as pa
 
-    table = np.arange(1 << 16) % lm_score.END
+    table = np.arange(1 << 16) % attention.END
     batch = pa.RecordBatch.from_arrays([pa.array([t.astype("<u2").tobytes() for t in texts], pa.binary())], ["ids"])
-    counts = Counter()
-    packed = list(lm_score._followers(table, most=50)(iter([batch, batch])))
-    for pair, part, keys, c in (r.values() for b in lm_score._merged(iter(packed)) for r in b.to_pylist()):
-        keys, c = np.frombuffer(keys, "<i4"), np.frombuffer(c, "<i8")
-        assert set(keys % lm_score.PARTS) == {part} and (np.diff(keys) > 0).all() and set(keys >= lm_score._PAIR_KEYS) == {pair}
-        assert not set(keys.tolist()) & set(counts)  # each key once
-        counts.update(dict(zip(keys.tolist(), c.tolist())))
-    keys, c = np.array(list(counts)), np.array(list(counts.values()))
-    pair = keys >= lm_score._PAIR_KEYS
-    kept = pair & (c > 2)
-    return table, counts, lm_score.Memory.of(keys[~pair], c[~pair], keys[kept] - lm_score._PAIR_KEYS, c[kept])
+    rows = list(lm_score._follower_rows(table)(iter([batch, batch])))
+    counts = np.zeros((attention.INPUTS, attention.CLASSES), dtype=np.int64)
+    for r in (r for b in lm_score._summed(iter([*rows, *rows])) for r in b.to_pylist()):
+        assert not counts[r["x"]].any()
+        counts[r["x"]] = np.frombuffer(r["c"], "<i8")
+    return counts, attention.Followers(counts)
+
+
+def _random_net(followers, seed=5):
+    rng = np.random.default_rng(seed)
+    return attention.Net({k: x.astype(np.float64) + rng.standard_normal(x.shape) * 0.2 for k, x in attention.start_params().items()}, followers)
 
 
 def test_what_follows_is_counted():
     rng = np.random.default_rng(4)
     texts = [rng.integers(0, 30, size=n) for n in (0, 1, 5, 60)]
-    _, counts, memory = _memory(texts)
-    want, pairs = Counter(), Counter()
+    counts, _ = _followers(texts)
+    want = Counter()
     for t in texts:
-        line = [*[lm_score.PAD] * (lm_score.REACH - 1), lm_score.START, *t.tolist(), lm_score.END]
-        for k in range(lm_score.REACH, len(line)):
-            for d in range(1, lm_score.REACH + 1):
-                if line[k - d] != lm_score.PAD:
-                    want[lm_score.BAND[d - 1], line[k - d], line[k]] += 2
-            if line[k - 1] != lm_score.START:
-                pairs[line[k - 2], line[k - 1], line[k]] += 2
-    for (b, x, y), c in want.items():
-        assert memory.followers[b, x, y] == c
-    assert memory.followers.sum() == sum(want.values())
-    assert sum(c for k, c in counts.items() if k >= lm_score._PAIR_KEYS) == sum(pairs.values())
+        line = [attention.START, *t.tolist(), attention.END]
+        want.update({k: 4 * c for k, c in Counter(zip(line, line[1:])).items()})
+    assert {(x, y): int(counts[x, y]) for x, y in zip(*np.nonzero(counts))} == want
 
 
 def test_probabilities_sum_to_one_and_match_a_plain_loop():
-    """All ids and the end, after any window; one text token by token."""
+    """Each token by a loop over the inputs in its sight; all classes after some texts."""
     rng = np.random.default_rng(5)
-    texts = [rng.integers(0, 40, size=n) for n in (3, 20, 70, 200)]
-    _, _, memory = _memory(texts)
-    p = lm_score.start_params()
-    p = {k: x + rng.standard_normal(x.shape).astype(np.float32) * 0.2 for k, x in p.items()}
-    scorer = lm_score.Scorer(p, memory)
-    own, targets = lm_score.windows([np.append(texts[2], lm_score.END)])
-    for k in (0, 1, 2, 9, 40):
-        near = np.repeat(own[:, k : k + 1], lm_score.CLASSES, axis=1)
-        assert math.isclose(np.exp(scorer.score(near, np.arange(lm_score.CLASSES, dtype=np.int32))).sum(), 1, rel_tol=1e-4)
-    got = scorer.score(own, targets)
-    for k in range(len(targets)):
-        x, y = own[:, k], int(targets[k])
-        logits, values = [], []
-        for d in range(lm_score.REACH):
-            if x[d] == lm_score.PAD:
-                continue
-            band = lm_score.BAND[d]
-            logits.append(float(p["q"][x[0]] @ p["k"][x[d]] + p["s"][x[d]] + p["b"][d]))
-            values.append((memory.followers[band, x[d], y] + lm_score.SMOOTH * memory.unigram[y]) / (memory.sizes[band, x[d]] + lm_score.SMOOTH))
-        n = int(memory.followers[0, x[1], x[0]]) if x[0] < lm_score.CLASSES else 0
-        base = (int(x[1]) * lm_score.INPUTS + int(x[0])) * lm_score.CLASSES
-        kept = {key - base: c for key, c in zip(memory.keys.tolist(), memory.counts.tolist()) if 0 <= key - base < lm_score.CLASSES}
-        logits += [float(p["p"][x[0]] + p["g"][0] * math.log1p(n)), float(p["u"][x[0]])]
-        values += [(kept.get(y, 0) + (n - sum(kept.values()) + lm_score.SMOOTH_PAIR) * values[0]) / (n + lm_score.SMOOTH_PAIR), memory.unigram[y]]
-        w = np.exp(np.array(logits) - max(logits))
-        assert math.isclose(got[k], math.log((w * values).sum() / w.sum()), rel_tol=1e-3)
+    texts = [np.append(rng.integers(0, 40, size=n), attention.END) for n in (3, 20, 70, 0, 200)]
+    counts, followers = _followers([t[:-1] for t in texts])
+    net = _random_net(followers)
+    p, w = net.p, attention.WIDTH
+    got = net.logs(*attention.blocks(texts))
+    assert len(got) == sum(map(len, texts))
+    assert np.allclose(got, net.logs(*attention.blocks(texts), tokens=32), rtol=1e-9)  # however it is cut
+    shares = (counts.sum(axis=0) + 0.5) / (counts.sum(axis=0) + 0.5).sum()
+
+    def chances(inputs):
+        """Of all classes after a text's inputs so far."""
+        i = len(inputs) - 1
+        first = max(0, i // attention.BLOCK * attention.BLOCK - attention.BLOCK)
+        rows = p["t"][inputs]
+        a = np.array([rows[i, :w] @ rows[j, w : 2 * w] / math.sqrt(w) + p["near"][i - j] for j in range(first, i + 1)])
+        a = np.exp(a - a.max())
+        z = (a / a.sum()) @ rows[first : i + 1, 2 * w : 3 * w]
+        h = np.maximum(rows[i, 3 * w :] + z @ p["z"], 0)
+        mass = counts[inputs[-1]] + attention.SMOOTH * shares
+        groups = mass.reshape(attention.GROUPS, -1)
+        outer = np.exp(h @ p["o"] + p["ob"] + p["g"][0] * np.log(groups.sum(axis=1) / mass.sum()))
+        inner = np.exp(np.stack([h @ p["m"][k] + p["mb"][k] + p["g"][1] * np.log(groups[k] / groups[k].sum()) for k in range(attention.GROUPS)]))
+        return (outer[:, None] / outer.sum() * inner / inner.sum(axis=1, keepdims=True)).ravel()
+
+    at = 0
+    for t in texts:
+        line = [attention.START, *t.tolist()]
+        for k in range(len(t)):
+            if k < 3 or k % 7 == 0 or k + 1 == len(t):
+                all_ = chances(line[: k + 1])
+                assert math.isclose(all_.sum(), 1, rel_tol=1e-9)
+                assert math.isclose(got[at + k], math.log(all_[t[k]]), rel_tol=1e-4)
+        at += len(t)
     # ids within their classes
     counts = np.zeros(50257)
     counts[:3000] = np.arange(3000)[::-1]
     table, within = lm_score.id_classes(counts)
-    assert np.allclose(np.bincount(table, weights=np.exp(within)), 1) and table.max() < lm_score.END
-    assert len(set(table[table < lm_score.END - lm_score.RARE])) == lm_score.END - lm_score.RARE
+    assert np.allclose(np.bincount(table, weights=np.exp(within)), 1) and table.max() < attention.END
+    assert len(set(table[table < attention.END - lm_score.RARE])) == attention.END - lm_score.RARE
+
+
+def test_blocks():
+    rng = np.random.default_rng(1)
+    texts = [np.append(rng.integers(0, 50, size=n), attention.END) for n in (0, 15, 16, 50)]
+    x, y, goes_on = attention.blocks(texts)
+    assert y[y >= 0].tolist() == np.concatenate(texts).tolist()  # each token once
+    assert goes_on.tolist() == [False, False, False, True, False, True, True, True]
+    assert (x == attention.START).sum() == 4 and x[:, 0].tolist()[:3] == [attention.START] * 3 and (y[x == attention.PAD] == -1).all()
+    parts = list(attention.portions(x, y, goes_on, 32))
+    assert np.concatenate([p[1][p[1] >= 0] for p in parts]).tolist() == y[y >= 0].tolist() and len(parts) == 4
+    assert attention.blocks([])[0].shape == (0, attention.BLOCK)
+
+
+def test_gradients_and_training():
+    rng = np.random.default_rng(2)
+    texts = [np.append(rng.integers(0, 50, size=n), attention.END) for n in (0, 16, 17, 50)]
+    _, followers = _followers([t[:-1] for t in texts])
+    net, parts = _random_net(followers), attention.blocks(texts)
+    loss, grad = net.gradients(*parts)
+    for name, x in net.p.items():
+        for _ in range(6):
+            i = tuple(rng.integers(0, n) for n in x.shape)
+            i = (int(rng.integers(0, 50)), *i[1:]) if name == "t" else (int(rng.integers(0, 2)), *i[1:]) if name in ("m", "mb") else i
+            kept, ends = x[i], []
+            for d in (1e-5, -1e-5):
+                x[i] = kept + d
+                ends.append(net.gradients(*parts)[0])
+            x[i] = kept
+            assert math.isclose((ends[0] - ends[1]) / 2e-5, grad[name][i], rel_tol=1e-3, abs_tol=1e-7), name
+    # targets are left out of the counts while training, so the loss is above the score's
+    assert loss > -net.logs(*parts).mean()
+    # a rule that only a look further back can tell: the fifth last class comes again
+    rule = []
+    for _ in range(150):
+        t = rng.integers(0, 12, size=5).tolist()
+        while len(t) < 60:
+            t.append(t[-5])
+        rule.append(np.append(t, attention.END))
+    _, followers = _followers([t[:-1] for t in rule])
+    trainer = attention.Trainer(attention.start_params(), followers)
+    before = -trainer.net.logs(*attention.blocks(rule[100:])).mean()
+    for _ in range(25):
+        trainer.fit(rule[:100], 1024)
+    assert -trainer.net.logs(*attention.blocks(rule[100:])).mean() < 0.5 * before
 
 
 def test_training_reaches_every_text_once(spark, monkeypatch):
@@ -304,7 +349,7 @@ def test_training_reaches_every_text_once(spark, monkeypatch):
     df = spark.createDataFrame(rows, "id long, ids binary").repartition(3)
     met = spark.sparkContext.accumulator(0)
 
-    def counting(start, table, memory):
+    def counting(start, table, followers):
         def local(batches):
             for batch in batches:
                 met.add(sum(len(x) // 2 + 1 for x in batch.column("ids").to_pylist()))
@@ -312,31 +357,28 @@ def test_training_reaches_every_text_once(spark, monkeypatch):
 
         return local
 
+    table = np.arange(1 << 16) % attention.END
+    followers = lm_score.count_followers(df, table)
+    tokens = sum(len(b) // 2 + 1 for _, b in rows)
+    assert followers.counts.sum() == tokens
+    shared = spark.sparkContext.broadcast(followers)
+    params = lm_score.train(df, table, shared)
+    start = attention.start_params()
+    assert all(params[k].shape == start[k].shape and np.isfinite(params[k]).all() for k in start) and any((params[k] != start[k]).any() for k in start)
     monkeypatch.setattr(lm_score, "_local", counting)
-    table = np.arange(1 << 16) % lm_score.END
-    memory = lm_score.remember(df, table)
-    lm_score.train(df, table, memory)
-    assert met.value == sum(len(b) // 2 + 1 for _, b in rows)
-    assert memory.followers[0].sum() == met.value
-
-
-def test_windows_and_gradients():
-    rng = np.random.default_rng(1)
-    texts = [np.append(rng.integers(0, 50, size=n), lm_score.END) for n in (0, 16, 17, 50)]
-    near, targets = lm_score.windows(texts)
-    assert targets.tolist() == np.concatenate(texts).tolist()  # each token once
-    assert near[:, 0].tolist() == [lm_score.START] + [lm_score.PAD] * (lm_score.REACH - 1)
-    _, _, memory = _memory([t[:-1] for t in texts])
-    p = lm_score.start_params()
-    loss, grad = lm_score.gradients(p, memory, near, targets, own=0)
-    assert math.isclose(loss, -lm_score.Scorer(p, memory).score(near, targets).mean(), rel_tol=1e-3)
-    for name, at in (("q", (3, 2)), ("k", (4, 1)), ("s", (5,)), ("b", (2,)), ("p", (6,)), ("g", (0,)), ("u", (7,))):
-        up, down = ({k: x.astype(np.float64) for k, x in p.items()} for _ in range(2))
-        up[name][at] += 1e-4
-        down[name][at] -= 1e-4
-        slope = (lm_score.gradients(up, memory, near, targets, 0)[0] - lm_score.gradients(down, memory, near, targets, 0)[0]) / 2e-4
-        assert math.isclose(slope, grad[name][at], rel_tol=0.02, abs_tol=1e-5), name
-    trainer = lm_score.Trainer(p, memory)
-    for _ in range(30):
-        trainer.step(near, targets)
-    assert trainer.loss < loss + 1
+    assert all((a == b).all() for a, b in zip(lm_score.train(df, table, shared).values(), start.values()))
+    assert met.value == tokens
+
+
+def test_repeated_rows_and_unseen_words(spark):
+    """Rows that repeat an id count and are scored as often as they stand; a word met only in held-out texts."""
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
+    free = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 != 1)
+    rows = [(free, "one two"), (free, "one two"), (free, "three"), (held, "zzz zzz one zzz"), (held, "zzz zzz one zzz"), (None, "two")]
+    got = lm_score.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()
+    c = Counter("one two END one two END three END two END".split())
+    base = lambda ws: sum(math.log10((c[w] + 0.5) / (10 + 0.5 * 5)) for w in ws)
+    want = [(free, False, 3, 3, 10), (free, False, 3, 3, 10), (free, False, 2, 2, 10), (held, True, 5, 2, 10), (held, True, 5, 2, 10), (None, False, 2, 2, 10)]
+    assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in got), key=str) == sorted(want, key=str)
+    assert {round(r.base_score, 9) for r in got if r.doc_id == held} == {round(base(["zzz"] * 3 + ["one", "END"]), 9)}
+    assert len({round(r.score, 4) for r in got if r.doc_id == held}) == 1
