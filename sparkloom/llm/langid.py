@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from ._bytes import LOWER, give_back, text_bytes
 from ._spark import Saved, scope, small_batches
+from ._tokens import by_bytes
 
 #: Byte trigrams are hashed to so many buckets.
 BUCKETS = 1 << 15
@@ -72,25 +73,42 @@ class TextModel:
         return total * scale[:, None], count
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows: int = 4000, head: int = 20_000) -> TextModel:
-    """Fit on a bounded sample of labelled rows: about ``rows`` of them, chosen
-    by a hash of the id. Rows without label or text aren't used. Without any
-    labelled row the model knows one language, "und". Of each row the first
-    ``head`` characters are learned from, so the driver's share is bounded in
-    bytes too."""
+def _label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(l, at, n): how often each bucket is met in the texts of each label."""
+    total: dict[str, np.ndarray] = {}
+    for batch in by_bytes(batches, "t"):
+        data, offsets = text_bytes(batch.column("t"))
+        labels, of = np.unique(np.array(batch.column("l").to_pylist(), dtype=object), return_inverse=True)
+        counts = np.zeros(len(labels) * BUCKETS, dtype=np.int64)
+        for bucket, text in _trigrams(data, offsets):
+            counts += np.bincount(of[text] * BUCKETS + bucket, minlength=len(counts))
+        for label, row in zip(labels, counts.reshape(len(labels), BUCKETS)):
+            total[label] = total.get(label, 0) + row
+    for label, row in total.items():
+        some = np.flatnonzero(row)
+        yield pa.RecordBatch.from_arrays([pa.array([label] * (len(some) + 1), pa.string()), pa.array(np.r_[-1, some].astype(np.int32)), pa.array(np.r_[0, row[some]])], ["l", "at", "n"])
+
+
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows: int = 4000) -> TextModel:
+    """Fit on a bounded sample of labelled rows: about ``rows`` of them, 2 *
+    ``rows`` at most, chosen by a hash of id and text. Rows without label or
+    text aren't used. Without any labelled row the model knows one language,
+    "und". The sample's whole texts are counted where they lie; the driver gets
+    a count for each label and bucket."""
     known = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     share = rows / max(rows, known.count())
     place = F.xxhash64(F.col(id_col), F.col(text_col))
-    picked = known.where(F.pmod(place, F.lit(1_000_000)) < share * 1_000_000).select(F.substring(F.col(text_col), 1, head).alias("t"), F.col(label_col).cast("string").alias("l"), place.alias("h"))
-    sample = picked.orderBy("h", "l").limit(2 * rows).toArrow()
-    labels = np.array(sample.column("l").to_pylist() or ["und"], dtype=object)
-    languages = tuple(sorted(set(labels)))
+    picked = known.where(F.pmod(place, F.lit(1_000_000)) < share * 1_000_000).select(F.col(text_col).alias("t"), F.col(label_col).cast("string").alias("l"), place.alias("h"))
+    last = picked.select("h").orderBy("h").limit(2 * rows).agg(F.max("h").alias("h"), F.count("*").alias("n")).first()
+    sample = picked.where(F.col("h") <= last["h"]) if last["n"] else picked
+    found = small_batches(sample.select("t", "l")).mapInArrow(_label_counts, "l string, at int, n long").groupBy("l", "at").agg(F.sum("n").alias("n")).toArrow()
+    labels = np.array(found.column("l").to_pylist(), dtype=object)
+    languages = tuple(sorted(set(labels))) or ("und",)
     counts = np.zeros((BUCKETS, len(languages)))
-    if sample.num_rows:
-        data, offsets = text_bytes(sample.column("t").combine_chunks())
-        of = np.searchsorted(np.array(languages, dtype=object), labels)
-        for bucket, text in _trigrams(data, offsets):
-            counts += np.bincount(bucket * len(languages) + of[text], minlength=counts.size).reshape(counts.shape)
+    if found.num_rows:
+        at, n = (found.column(c).to_numpy() for c in ("at", "n"))
+        real = at >= 0  # a row with -1 only names its label
+        counts[at[real], np.searchsorted(np.array(languages, dtype=object), labels)[real]] = n[real]
     return TextModel(languages, likelihoods(counts))
 
 

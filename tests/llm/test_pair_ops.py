@@ -178,6 +178,38 @@ def test_language(spark, sf, docs, empty):
     assert {r.lang for r in identify(odd_rows, fit(empty), ["doc_id"]).collect()} == {"und"}
 
 
+def test_trigram_counts_against_a_plain_loop(spark, sf):
+    """Counts of whole texts' trigrams by label, and a text's log-likelihoods from them."""
+    import numpy as np
+    import pyarrow as pa
+
+    from sparkloom.llm import langid
+
+    rows = [(i, r.text, r.lang) for i, r in enumerate(spark.read.parquet(f"{sf}/documents.parquet").limit(40).collect())]
+    rows += [(100, "ab ab  Ünï", "xx"), (101, "a", "xx"), (102, None, "xx"), (103, "abc", None), (104, "word " * 30_000 + "tail", "yy")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+
+    def buckets(text):
+        c = [b + 32 if 65 <= b <= 90 else b for b in text.encode()]
+        c = [b if b >= 128 or 97 <= b <= 122 else 32 for b in c]
+        return [(c[k] * 7919 + c[k + 1] * 263 + c[k + 2]) * 40503 % langid.BUCKETS for k in range(len(c) - 2) if c[k + 1] != 32]
+
+    languages = sorted({lang for _, t, lang in rows if lang and t is not None})
+    counts = np.zeros((langid.BUCKETS, len(languages)))
+    for _, t, lang in rows:
+        for b in buckets(t) if t is not None and lang else ():
+            counts[b, languages.index(lang)] += 1
+    model = fit(df)
+    assert list(model.languages) == languages and np.allclose(model.table, langid.likelihoods(counts))
+    texts = ["ab ab  Ünï", "", rows[3][1], "word tail"]
+    got, n = model.score(pa.array(texts))
+    for k, t in enumerate(texts):
+        found = buckets(t)
+        assert n[k] == len(found)
+        if found:
+            assert np.allclose(got[k], model.table[found].sum(axis=0) * min(len(found), langid.ENOUGH) / len(found))
+
+
 def test_language_evidence(spark):
     """Declared language and host tip the scales where a text says little."""
     learn = spark.createDataFrame([(i, "the house and the garden" if i % 2 else "das haus und der garten", "en" if i % 2 else "de") for i in range(40)], "doc_id long, text string, lang string")
