@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import Saved, numbered, small_batches
+from ._spark import Saved, numbered, scope, small_batches
 from ._tokens import by_bytes, encoder, pack_ids
 
 #: Piece lengths are grouped into widths of so many tokens for the linear program.
@@ -114,6 +114,11 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int =
     and null ids are packed like others; extra columns are ignored; an empty
     table gives an empty result.
     """
+    with scope() as tables:
+        return tables.keep(Saved(_packed(docs, tokenizer_path, length, end_id, id_col, text_col), "packed"))
+
+
+def _packed(docs: DataFrame, tokenizer_path: str, length: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     tail = pack_ids([end_id])

@@ -95,6 +95,28 @@ def test_cutting_stock():
         assert sum(n for _, n in plan) <= math.ceil((demand * widths).sum() / 128) * 1.4 + 5
 
 
+def test_cutting_stock_against_the_optimum():
+    """Few pieces, all ways to fill bins."""
+    from functools import lru_cache
+    from itertools import product
+
+    rng = np.random.default_rng(9)
+    more = 0
+    for _ in range(12):
+        widths = np.sort(rng.choice(np.arange(2, 12), size=3, replace=False))
+        demand = rng.integers(1, 6, size=3)
+        fits = [p for p in product(*(range(int(d) + 1) for d in demand)) if any(p) and np.dot(p, widths) <= 16]
+
+        @lru_cache(maxsize=None)
+        def least(left):
+            return 0 if not any(left) else 1 + min(least(tuple(a - b for a, b in zip(left, p))) for p in fits if all(b <= a for a, b in zip(left, p)))
+
+        used, best = sum(n for _, n in cutting_stock(widths, demand, 16)), least(tuple(int(d) for d in demand))
+        assert best <= used <= best + 1
+        more += used - best
+    assert more <= 3
+
+
 def test_sharding(docs, rows, empty):
     got = shard(docs, PATH).collect()
     assert len(got) == len(rows)
