@@ -166,17 +166,18 @@ def phrase_tokens(text: Column) -> Column:
     return F.filter(F.split(clean, " "), lambda w: (F.length(w) >= 3) & ~w.rlike(paper) & ~w.isin(*STOP_WORDS))
 
 
-def file_route(mime: Column, filename: Column) -> Column:
-    """The queue for a file: archive, pdf, email, image, sqlite, else office.
-    Mail is known by its extension at any type; pdf and images by their type;
-    archives and databases by either, where the type says nothing."""
+def file_route(mime: Column, filename: Column, images: str = "ocr") -> Column:
+    """The queue for a file: archive, pdf, email, ``images`` ("ocr" or "vlm"),
+    sqlite, else office (S01). Mail is known by its extension at any type; pdf
+    and images by their type; archives and databases by either, where the type
+    says nothing."""
     ext = F.lower(F.regexp_extract(F.coalesce(filename, F.lit("")), "\\.([^.\\\\/]+)$", 1))
     kind = F.lower(F.coalesce(mime, F.lit("")))
     vague = (kind == "") | (kind == "application/octet-stream")
     archive = kind.rlike("(^|[/.-])(zip|x-zip-compressed|x-rar(-compressed)?|vnd.rar|x-7z-compressed|x-tar|gzip|x-gzip|x-bzip2)$") | (vague & ext.isin("zip", "rar", "7z", "tar", "gz", "tgz", "bz2"))
     return (
-        F.when(archive, "archive").when(kind == "application/pdf", "pdf").when(kind.rlike("^message/rfc822$|vnd.ms-outlook") | ext.isin("eml", "msg"), "email")
-        .when(kind.startswith("image/"), "image").when(kind.contains("sqlite") | (vague & ext.isin("db", "sqlite", "sqlite3")), "sqlite").otherwise("office")
+        F.when(archive, "archive").when(kind.contains("pdf"), "pdf").when(kind.rlike("^message/rfc822$|vnd.ms-outlook") | ext.isin("eml", "msg"), "email")
+        .when(kind.startswith("image/"), "vlm" if images.lower() == "vlm" else "ocr").when(kind.contains("sqlite") | (vague & ext.isin("db", "sqlite", "sqlite3")), "sqlite").otherwise("office")
     )
 
 

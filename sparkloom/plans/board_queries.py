@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import maths, scoring, text
-from ..operators import board, catalog, graph, vectors
+from ..operators import board, bridges, catalog, graph, vectors
 from .queries import _register, _t
 
 
@@ -476,10 +476,11 @@ def d12_transfer_score(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "events").where("value IS NOT NULL").select("event_id", scoring.transfer_score(F.col("value") / 50, F.when(i % 4 > 0, i % 4 / 3.0), i % 7).alias("score"))
 
 
-@_register("SELECT vec_id, CAST(floor(x * 1000 + 0.5) / 1000 AS DOUBLE) AS r3, CAST(floor(x * 100 + 0.5) AS INTEGER) AS pct, round(least(greatest(x, 0.0), 1.0), 9) AS c01 FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x FROM embeddings)")
+@_register("SELECT vec_id, CAST(floor(x * 1000 + 0.5) / 1000 AS DOUBLE) AS r3, CAST(floor(x * 100 + 0.5) AS INTEGER) AS pct, round(least(greatest(x, 0.0), 1.0), 9) AS c01, sign(x) * floor(abs(x) * 10000 + 0.5) / 10000 AS r4, round_even(floor(x * 1000) + 0.5, 0) AS even FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x FROM embeddings)")
 def m04_rounding(spark: SparkSession, d: str) -> DataFrame:
+    """All ways to round: halves up, away from 0, and to the even number."""
     x = F.get("embedding", F.lit(0)).cast("double")
-    return _t(spark, d, "embeddings").select("vec_id", maths.round3(x).alias("r3"), maths.percent(x).alias("pct"), F.round(maths.clamp01(x), 9).alias("c01"))
+    return _t(spark, d, "embeddings").select("vec_id", maths.round3(x).alias("r3"), maths.percent(x).alias("pct"), F.round(maths.clamp01(x), 9).alias("c01"), bridges.round4(x).alias("r4"), F.bround(F.floor(x * 1000) + F.lit(0.5), 0).alias("even"))
 
 
 @_register("SELECT event_id, strftime(ts, '%Y%m%d') AS day FROM events")
@@ -580,13 +581,35 @@ def t14_generic_labels(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "part").select("p_partkey", text.is_generic(label).alias("generic"))
 
 
-@_register("SELECT n_nationkey, ['archive', 'pdf', 'email', 'image', 'sqlite', 'office'][CAST(n_nationkey % 6 AS INTEGER) + 1] AS route, n_nationkey % 6 = 5 AS delimited FROM nation")
+@_register(
+    """WITH f AS (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'application/octet-stream' WHEN 1 THEN 'Application/PDF' WHEN 2 THEN 'text/plain' WHEN 3 THEN 'image/' || lang WHEN 4 THEN '' WHEN 5 THEN 'application/zip' WHEN 6 THEN 'application/vnd.sqlite3' WHEN 7 THEN 'text/csv' END AS mime,
+    source || CASE doc_id % 7 WHEN 0 THEN '.ZIP' WHEN 1 THEN '.msg' WHEN 2 THEN '.db' WHEN 3 THEN '.csv' WHEN 4 THEN '.tgz' WHEN 5 THEN '.docx' ELSE '' END AS name FROM documents),
+    k AS (SELECT doc_id, lower(coalesce(mime, '')) AS m, lower(regexp_extract(name, '\.([^.]+)$', 1)) AS e FROM f)
+    SELECT doc_id, CASE WHEN m = 'application/zip' OR (m IN ('', 'application/octet-stream') AND e IN ('zip', 'tgz')) THEN 'archive' WHEN contains(m, 'pdf') THEN 'pdf' WHEN e = 'msg' THEN 'email' WHEN starts_with(m, 'image/') THEN 'vlm'
+    WHEN contains(m, 'sqlite') OR (m IN ('', 'application/octet-stream') AND e = 'db') THEN 'sqlite' ELSE 'office' END AS route FROM k"""
+)
 def s01_file_route(spark: SparkSession, d: str) -> DataFrame:
-    k = (F.col("n_nationkey") % 6 + 1).cast("int")
-    pick = lambda *x: F.element_at(F.array(*[F.lit(y) for y in x]), k)
-    mime = pick("application/octet-stream", "application/pdf", "text/plain", "image/png", "", "application/octet-stream")
-    name = pick("a.ZIP", "b", "c.eml", "d.txt", "e.sqlite", "f.csv")
-    return _t(spark, d, "nation").select("n_nationkey", text.file_route(mime, name).alias("route"), text.is_delimited(mime, name).alias("delimited"))
+    """The queue of every document by its type and the name it would have."""
+    i = F.col("doc_id")
+    mime = F.when(i % 9 == 3, F.concat(F.lit("image/"), "lang"))
+    for k, x in ((0, "application/octet-stream"), (1, "Application/PDF"), (2, "text/plain"), (4, ""), (5, "application/zip"), (6, "application/vnd.sqlite3"), (7, "text/csv")):
+        mime = mime.when(i % 9 == k, x)
+    name = F.lit("")
+    for k, x in enumerate((".ZIP", ".msg", ".db", ".csv", ".tgz", ".docx")):
+        name = F.when(i % 7 == k, x).otherwise(name)
+    return _t(spark, d, "documents").select("doc_id", text.file_route(mime, F.concat("source", name), "vlm").alias("route"))
+
+
+@_register(
+    """WITH f AS (SELECT doc_id, lower(substr(text, 1, 1)) AS c, doc_id % 4 AS k FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, k = 0 OR k = 2 AS delimited FROM f"""
+)
+def s02_delimited(spark: SparkSession, d: str) -> DataFrame:
+    """Which of the documents would be read as delimited texts."""
+    k = F.col("doc_id") % 4
+    mime = F.when(k == 0, "text/csv").when(k == 2, "application/octet-stream").otherwise("text/plain")
+    name = F.concat("source", F.when(k == 2, ".TSV").otherwise(".txt"))
+    return _t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", text.is_delimited(mime, name).alias("delimited"))
 
 
 @_register("SELECT n_nationkey, ['pdf', 'zip', 'gzip', 'png', 'unknown'][CAST(n_nationkey % 5 AS INTEGER) + 1] AS label FROM nation")

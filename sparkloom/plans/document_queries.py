@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import maths, text
 from ..operators import answers, archives, board, lexical, workbooks
+from ..sources import exports, upserts
 from ..tables import Saved, remove, shared_dir
 from .queries import _edges, _register, _t
 
@@ -224,6 +225,45 @@ def s21_usable_points(spark: SparkSession, d: str) -> DataFrame:
     return board.usable_points(rows, "document", "v", "owner", "2").select("vec_id", "label")
 
 
+# ---- ids and sinks
+
+_SPACE = "5b3c9a52-8a4e-4f57-9d7e-2c1f0a6b8d43"
+
+
+@_register(
+    f"""WITH h AS (SELECT doc_id, sha1(unhex('{_SPACE.replace("-", "")}') || encode(source || ':' || doc_id)) AS h FROM documents)
+    SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || ['8', '9', 'a', 'b'][CAST(('0x' || substr(h, 17, 1))::INTEGER AS INTEGER) % 4 + 1] || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id FROM h"""
+)
+def k02_point_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The same id for a point whenever it is written."""
+    name = F.concat("source", F.lit(":"), F.col("doc_id").cast("string"))
+    return _t(spark, d, "documents").select("doc_id", maths.chunk_id(_SPACE, name).alias("id"))
+
+
+@_register("SELECT o_custkey, arg_max(o_orderstatus, (o_orderkey % 3, o_orderdate, o_orderkey)) AS status, arg_max(o_orderkey, (o_orderkey % 3, o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY 1")
+def k03_upserts(spark: SparkSession, d: str) -> DataFrame:
+    """Each customer's last order, put into a table in three turns."""
+    folder = f"{shared_dir(spark)}/sparkloom-table-{uuid.uuid4().hex}"
+    rows = _t(spark, d, "orders").select("o_custkey", F.col("o_orderstatus").alias("status"), "o_orderkey", "o_orderdate")
+    for turn in range(3):
+        upserts.upsert(rows.where(F.col("o_orderkey") % 3 == turn), folder, ["o_custkey"], F.struct("o_orderdate", "o_orderkey"), 8)
+    found = Saved(upserts.read_table(spark, folder, rows.schema).drop("o_orderdate"), "upserts").df
+    remove(spark, folder)
+    return found
+
+
+@_register("SELECT kind, doc_id, lang, n_chars FROM documents, (SELECT unnest(['json', 'parquet']) AS kind)")
+def k09_row_sinks(spark: SparkSession, d: str) -> DataFrame:
+    """Rows written as JSON lines and as Parquet, and read again."""
+    folder = f"{shared_dir(spark)}/sparkloom-rows-{uuid.uuid4().hex}"
+    rows = _t(spark, d, "documents").select("doc_id", "lang", "n_chars")
+    exports.write_rows(rows, folder)
+    read = [getattr(spark.read.schema(rows.schema), kind)(f"{folder}/{kind}").select(F.lit(kind).alias("kind"), *rows.columns) for kind in ("json", "parquet")]
+    found = Saved(read[0].unionByName(read[1]), "row-sinks").df
+    remove(spark, folder)
+    return found
+
+
 # ---- answers
 
 

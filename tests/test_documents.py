@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text
 from sparkloom.operators import answers, archives, lexical, workbooks
+from sparkloom.sources import upserts
 
 
 def test_tokens(spark):
@@ -183,3 +184,20 @@ def test_graph_evidence(spark):
     hits = chunks.where("chunk = 10").selectExpr("chunk", "doc", "0.4D AS worth")
     got = [(r.chunk, r.from_graph) for r in answers.graph_evidence(hits, edges, chunks, F.lit("about steel"), documents=3).collect()]
     assert got == [(21, True), (31, True), (10, False), (20, True), (22, True), (30, True), (32, True)]
+
+
+def test_upserts(spark, tmp_path):
+    import os
+
+    schema = "k int, s string, v int, t int"
+    table, want = f"{tmp_path}/table", {}
+    r = random.Random(6)
+    assert upserts.read_table(spark, table, schema).count() == 0
+    for turn in range(4):
+        rows = [(r.choice([None, *range(12)]), r.choice("ab"), r.randrange(100), 100 * turn + n) for n in range(r.choice((0, 5, 20)))]
+        for _ in range(2):  # twice is as good as once
+            upserts.upsert(spark.createDataFrame(rows, schema), table, ["k", "s"], F.col("t"), 5)
+        want |= {(k, s): (v, t) for k, s, v, t in rows}
+        got = [tuple(x) for x in upserts.read_table(spark, table, schema).collect()]
+        assert sorted(got, key=str) == sorted(((*k, *v) for k, v in want.items()), key=str)
+    assert len([x for x in os.listdir(table) if x != "lists"]) <= 6  # versions that hold something
