@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from .maths import clamp01, round3
 
 #: Weights of the ranking's factors. Fixed values.
-RANK_WEIGHTS = {"kpi_fit": 0.25, "evidence": 0.20, "novelty": 0.20, "value": 0.15, "feasibility": 0.10, "readiness": 0.10}
+RANK_WEIGHTS = {"kpi_fit": 0.25, "evidence": 0.20, "novelty": 0.20, "value": 0.15, "risk": 0.10, "trl_fit": 0.10}
 #: Factors of the review status. Fixed values.
 STATUS_FACTORS = {"approved": 1.15, "rejected": 0.4}
 
 
 def normalised(weights: Mapping[str, float]) -> dict[str, float]:
-    """Weights in [0, 1] with a positive sum, divided by it."""
+    """A user's weights, in [0, 1] and with a positive sum, divided by it (M11,
+    E04): what ``composite`` takes in place of the fixed ones."""
     if any(not 0 <= w <= 1 for w in weights.values()) or sum(weights.values()) <= 0:
         raise ValueError("weights must lie in [0, 1] and not all be 0")
     return {k: w / sum(weights.values()) for k, w in weights.items()}
@@ -24,8 +25,10 @@ def normalised(weights: Mapping[str, float]) -> dict[str, float]:
 
 def composite(factors: Mapping[str, Column], status: Column, weights: Mapping[str, float] = RANK_WEIGHTS) -> Column:
     """Sum of contributions rounded to three places, times the status factor,
-    clamped and rounded again (D01). Null factors count as 0.5."""
-    total = sum((round3(F.lit(w) * clamp01(factors[k])) for k, w in weights.items()), F.lit(0.0))
+    clamped and rounded again (D01). Null factors count as 0.5; of the risk what
+    is missing to 1 counts."""
+    worth = lambda k: 1 - clamp01(factors[k]) if k == "risk" else clamp01(factors[k])
+    total = sum((round3(F.lit(w) * worth(k)) for k, w in weights.items()), F.lit(0.0))
     factor = F.lit(1.0)
     for name, x in STATUS_FACTORS.items():
         factor = F.when(status == name, x).otherwise(factor)

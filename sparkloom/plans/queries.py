@@ -281,24 +281,44 @@ def j15_nearest_centroid(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- scores
 
-_D01_FACTORS = "o_custkey % 11 / 10.0 AS kpi_fit, o_custkey % 7 / 6.0 AS evidence, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 9 / 8.0 END AS novelty, least(o_totalprice / 300000, 1.5) AS value, o_orderkey % 3 / 2.0 AS feasibility, o_orderkey % 8 / 7.0 AS readiness"
+_D01_FACTORS = "o_custkey % 11 / 10.0 AS kpi_fit, o_custkey % 7 / 6.0 AS evidence, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 9 / 8.0 END AS novelty, least(o_totalprice / 300000, 1.5) AS value, o_orderkey % 3 / 2.0 AS risk, o_orderkey % 8 / 7.0 AS trl_fit"
 
 
 def _r3(x: str) -> str:
     return f"floor(({x}) * 1000 + 0.5) / 1000"
 
 
-@_register(
-    "WITH f AS (SELECT o_orderkey, o_orderstatus, " + _D01_FACTORS + " FROM orders), s AS (SELECT o_orderkey, o_orderstatus, 0.0 + "
-    + " + ".join(_r3(f"CAST({w} AS DOUBLE) * CASE WHEN {k} IS NULL THEN 0.5 ELSE least(greatest(CAST({k} AS DOUBLE), 0.0), 1.0) END") for k, w in scoring.RANK_WEIGHTS.items())
-    + " AS t FROM f) SELECT o_orderkey, " + _r3("least(greatest(t * CAST(CASE o_orderstatus WHEN 'F' THEN 1.15 WHEN 'P' THEN 0.4 ELSE 1.0 END AS DOUBLE), 0.0), 1.0)") + " AS score FROM s"
-)
-def d01_ranking(spark: SparkSession, d: str) -> DataFrame:
+def _d01_sql(weights: dict[str, float]) -> str:
+    unit = "CASE WHEN {0} IS NULL THEN 0.5 ELSE least(greatest(CAST({0} AS DOUBLE), 0.0), 1.0) END"
+    parts = [_r3(f"CAST({w!r} AS DOUBLE) * ({'1 - ' if k == 'risk' else ''}{unit.format(k)})") for k, w in weights.items()]
+    return (
+        "WITH f AS (SELECT o_orderkey, o_orderstatus, " + _D01_FACTORS + " FROM orders), s AS (SELECT o_orderkey, o_orderstatus, 0.0 + " + " + ".join(parts) + " AS t FROM f) SELECT o_orderkey, "
+        + _r3("least(greatest(t * CAST(CASE o_orderstatus WHEN 'F' THEN 1.15 WHEN 'P' THEN 0.4 ELSE 1.0 END AS DOUBLE), 0.0), 1.0)") + " AS score FROM s"
+    )
+
+
+#: A user's weights, which don't add up to one.
+_OWN_WEIGHTS = {"kpi_fit": 0.5, "evidence": 0.25, "novelty": 0.0, "value": 1.0, "risk": 0.25, "trl_fit": 0.5}
+
+
+def _ranked_orders(spark: SparkSession, d: str, weights: dict[str, float]) -> DataFrame:
     """Composite ranking with rounded contributions and status factors."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    factors = {"kpi_fit": c % 11 / 10.0, "evidence": c % 7 / 6.0, "novelty": F.when(k % 5 != 0, k % 9 / 8.0), "value": F.least(F.col("o_totalprice") / 300000, F.lit(1.5)), "feasibility": k % 3 / 2.0, "readiness": k % 8 / 7.0}
+    factors = {"kpi_fit": c % 11 / 10.0, "evidence": c % 7 / 6.0, "novelty": F.when(k % 5 != 0, k % 9 / 8.0), "value": F.least(F.col("o_totalprice") / 300000, F.lit(1.5)), "risk": k % 3 / 2.0, "trl_fit": k % 8 / 7.0}
     status = F.when(F.col("o_orderstatus") == "F", "approved").when(F.col("o_orderstatus") == "P", "rejected").otherwise("open")
-    return _t(spark, d, "orders").select("o_orderkey", scoring.composite(factors, status).alias("score"))
+    return _t(spark, d, "orders").select("o_orderkey", scoring.composite(factors, status, weights).alias("score"))
+
+
+@_register(_d01_sql(scoring.RANK_WEIGHTS))
+def d01_ranking(spark: SparkSession, d: str) -> DataFrame:
+    """Composite ranking with rounded contributions and status factors."""
+    return _ranked_orders(spark, d, scoring.RANK_WEIGHTS)
+
+
+@_register(_d01_sql(scoring.normalised(_OWN_WEIGHTS)))
+def m11_own_weights(spark: SparkSession, d: str) -> DataFrame:
+    """The same ranking with a user's weights."""
+    return _ranked_orders(spark, d, scoring.normalised(_OWN_WEIGHTS))
 
 
 @_register(
