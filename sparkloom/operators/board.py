@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import phrase_tokens
 from ..tables import Saved
-from .matching import with_mid_rank
+from .matching import running_within, with_mid_rank
 
 # ---- filters
 
@@ -168,11 +168,11 @@ def metric_gate(df: DataFrame, floors: Mapping[str, float]) -> DataFrame:
 
 def latency_points(df: DataFrame, key: str, value: str) -> DataFrame:
     """(key, p50, p95, mean): the values at places n // 2 and int(0.95 n) of the
-    order from 0 (A24). Places are found by ranks among distinct values, so no
-    list of all values is built."""
+    order from 0 (A24), for keys that aren't null. Places are found by running
+    sums of the counts of distinct values over ranges, so no task holds a key's
+    values."""
     counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("c"))
-    along = Window.partitionBy(key).orderBy(value)
-    run = counts.withColumn("_cum", F.sum("c").over(along))
+    run = running_within(counts.where(F.col(key).isNotNull()), [key], [F.col(value)], F.col("c"), "_cum", "points")
     sizes = counts.groupBy(key).agg(F.sum("c").alias("_n"), (F.sum(F.col(value) * F.col("c")) / F.sum("c")).alias("mean"))
     at = run.join(sizes, key)
     point = lambda p: F.min(F.when(F.col("_cum") > p, F.col(value)))

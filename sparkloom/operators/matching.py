@@ -28,17 +28,35 @@ def running(df: DataFrame, order: Sequence[Column], value: Column, out: str, nam
     return summed.withColumn(out, (F.col("_own") + F.col("_start")).cast("long")).drop("_range", "_r", "_value", "_own", "_start")
 
 
-def with_mid_rank(df: DataFrame, value: str, out: str) -> DataFrame:
-    """``df`` with the mid-rank percentile of ``value`` among all rows (W04):
-    values below and half of the ties, by the number of values; 0.5 for null or
-    where there is one value at most. From counts of distinct values, summed
-    over ranges."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    summed = running(counts, [F.col("_v")], F.col("_c"), "_upto", "ranks")
-    whole = counts.agg(F.sum("_c").alias("_all"))
+def running_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, out: str, name: str) -> DataFrame:
+    """``running`` within each key: the sum over all rows in the order of (keys,
+    order), less what it was before the key's first row. So a key's rows may
+    span several tasks. Keys must not be null."""
+    summed = running(df.withColumn("_w", value), [*[F.col(k).asc() for k in keys], *order], F.col("_w"), out, name)
+    if not keys:
+        return summed.drop("_w")
+    summed = Saved(summed, name).df
+    starts = summed.groupBy(*[F.col(k).alias(f"_s{i}") for i, k in enumerate(keys)]).agg(F.min(F.col(out) - F.col("_w")).alias("_before"))
+    on = [F.col(k) == F.col(f"_s{i}") for i, k in enumerate(keys)]
+    joined = summed.join(starts, on)
+    return joined.withColumn(out, (F.col(out) - F.col("_before")).cast("long")).drop("_w", "_before", *[f"_s{i}" for i in range(len(keys))])
+
+
+def with_mid_rank(df: DataFrame, value: str, out: str, keys: Sequence[str] = ()) -> DataFrame:
+    """``df`` with the mid-rank percentile of ``value`` among the rows of its
+    keys (W04): values below and half of the ties, by the number of values; 0.5
+    for null or where there is one value at most. From counts of distinct
+    values, summed over ranges, so no task holds a key's values."""
+    names = [f"_k{i}" for i in range(len(keys))]
+    known = df.where(F.col(value).isNotNull()).select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(value).alias("_v"))
+    counts = known.groupBy(*names, "_v").agg(F.count("*").alias("_c"))
+    summed = running_within(counts, names, [F.col("_v")], F.col("_c"), "_upto", "ranks")
+    whole = counts.groupBy(*[F.col(n).alias(f"{n}w") for n in names]).agg(F.sum("_c").alias("_all"))
     place = (F.col("_upto") - 0.5 * F.col("_c")) / F.col("_all")
-    ranks = summed.join(F.broadcast(whole)).select("_v", F.when(F.col("_all") > 1, place).otherwise(0.5).alias(out))
-    return df.join(ranks, F.col(value) == F.col("_v"), "left").drop("_v").withColumn(out, F.coalesce(out, F.lit(0.5)))
+    ranks = summed.join(F.broadcast(whole) if not keys else whole, [F.col(n) == F.col(f"{n}w") for n in names] or F.lit(True))
+    ranks = ranks.select(*names, "_v", F.when(F.col("_all") > 1, place).otherwise(0.5).alias(out))
+    on = [F.col(value) == F.col("_v"), *[F.col(k) == F.col(n) for k, n in zip(keys, names)]]
+    return df.join(ranks, on, "left").drop("_v", *names).withColumn(out, F.coalesce(out, F.lit(0.5)))
 
 
 def unique_matches(rows: DataFrame, partners: DataFrame, row_id: str, partner_id: str, row_order: Sequence[str], partner_order: Sequence[str], keys: Sequence[str], most: int | None = None) -> DataFrame:

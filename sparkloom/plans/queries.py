@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import maths, scoring, text
-from ..operators import catalog, graph, retrieval, vectors
+from ..operators import catalog, graph, matching, retrieval, vectors
 from ..tables import scope
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -327,17 +327,9 @@ SELECT event_id, CASE WHEN v IS NULL OR count(v) OVER (PARTITION BY event_type)
 round((rank() OVER (PARTITION BY event_type ORDER BY v NULLS FIRST) - 1 - count(*) FILTER (v IS NULL) OVER (PARTITION BY event_type) + 0.5 * count(v) OVER (PARTITION BY event_type, v)) / count(v) OVER (PARTITION BY event_type), 6) END AS pct FROM v"""
 )
 def w04_mid_rank(spark: SparkSession, d: str) -> DataFrame:
-    """Mid-rank percentiles of values within each event type.
-
-    Ranks come from the counts of distinct values, so that the window runs over
-    values and not over rows."""
+    """Mid-rank percentiles of values within each event type."""
     ev = _t(spark, d, "events").select("event_id", "event_type", F.when(F.col("event_id") % 13 != 0, F.round("value")).alias("v"))
-    values = ev.where("v IS NOT NULL").groupBy("event_type", "v").agg(F.count("*").alias("c"))
-    before = Window.partitionBy("event_type").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy("event_type")
-    ranks = values.select("event_type", "v", ((F.coalesce(F.sum("c").over(before), F.lit(0)) + 0.5 * F.col("c")) / F.sum("c").over(every)).alias("p"), F.sum("c").over(every).alias("n"))
-    got = ev.join(ranks, ["event_type", "v"], "left")
-    return got.select("event_id", F.when(F.col("p").isNull() | (F.col("n") <= 1), 0.5).otherwise(F.round("p", 6)).alias("pct"))
+    return matching.with_mid_rank(ev, "v", "pct", ["event_type"]).select("event_id", F.round("pct", 6).alias("pct"))
 
 
 @_register(

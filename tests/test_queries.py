@@ -1,6 +1,7 @@
 """Every query of the library's own operators against its SQL in DuckDB."""
 
 import math
+import os
 from decimal import Decimal
 from pathlib import Path
 
@@ -9,6 +10,7 @@ import pytest
 
 import __spark_entry__ as entry
 from sparkloom.plans import queries as plans
+from sparkloom.tables import shared_dir
 
 
 @pytest.fixture(scope="session")
@@ -37,8 +39,11 @@ def rows(columns, found):
 
 @pytest.mark.parametrize("name", sorted(plans.QUERIES))
 def test_query(spark, sf, duck, name):
+    home = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(home))
     df = plans.QUERIES[name](spark, sf)
     got = rows(df.columns, [tuple(r) for r in df.collect()])
+    assert len(set(os.listdir(home)) - before) <= 1  # nothing but the result is left behind
     if name in plans.ORACLE:
         cursor = duck.execute(plans.ORACLE[name])
         assert got == rows([c[0] for c in cursor.description], cursor.fetchall())
