@@ -199,17 +199,24 @@ def located(chunks: DataFrame, id_col: str, source: str, chunk: str, index: str)
     whose white space is collapsed; (0, 0) for what isn't there. Each chunk is
     sought from behind the place of the one before it (T04)."""
     flat = lambda c: F.trim(F.regexp_replace(c, "\\s+", " "))
-    per = chunks.groupBy(id_col).agg(F.first(flat(F.col(source))).alias("_s"), F.array_sort(F.collect_list(F.struct(index, flat(F.col(chunk)).alias("c")))).alias("_c"))
-    none = F.array().cast("array<struct<i:int,a:int,b:int>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        found = F.when(F.length(x["c"]) > 0, F.call_function("locate", x["c"], F.col("_s"), s["at"] + 1))
-        hit = F.coalesce(found, F.lit(0)) > 0
-        place = F.struct(x[index].cast("int").alias("i"), F.when(hit, found - 1).otherwise(0).alias("a"), F.when(hit, found - 1 + F.length(x["c"])).otherwise(0).alias("b"))
-        return F.struct(F.when(hit, found).otherwise(s["at"]).alias("at"), F.concat(s["out"], F.array(place)).alias("out"))
-
-    return per.select(id_col, F.explode(F.aggregate("_c", start, step)["out"]).alias("p")).select(id_col, F.col("p.i").alias(index), F.col("p.a").alias("start"), F.col("p.b").alias("end"))
+    per = chunks.groupBy(id_col).agg(F.first(flat(F.col(source))).alias("s"), F.array_sort(F.collect_list(F.struct(F.col(index).cast("int").alias("i"), flat(F.col(chunk)).alias("c")))).alias("c"))
+    kind = chunks.schema[id_col].dataType.simpleString()
+    found = per.select(F.col(id_col).alias("id"), "s", "c").mapInArrow(_places, f"id {kind}, i int, a int, b int")
+    return found.select(F.col("id").alias(id_col), F.col("i").alias(index), F.col("a").alias("start"), F.col("b").alias("end"))
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's chunks in order, one pass over its text."""
+    for batch in batches:
+        found = []
+        for row, (text, parts) in enumerate(zip(batch.column("s"), batch.column("c"))):
+            text, at = text.as_py() or "", 0
+            for part in parts.as_py():
+                hit = text.find(part["c"], at) if part["c"] else -1
+                found.append((row, part["i"], hit, hit + len(part["c"])) if hit >= 0 else (row, part["i"], 0, 0))
+                at = hit + 1 if hit >= 0 else at
+        row, *places = zip(*found) if found else ((),) * 4
+        yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row, pa.int64())), *(pa.array(x, pa.int32()) for x in places)], ["id", "i", "a", "b"])
 
 
 def edges_of(df: DataFrame, key: str, index: str, most: int = 16) -> DataFrame:

@@ -584,7 +584,7 @@ def t14_generic_labels(spark: SparkSession, d: str) -> DataFrame:
 @_register(
     """WITH f AS (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'application/octet-stream' WHEN 1 THEN 'Application/PDF' WHEN 2 THEN 'text/plain' WHEN 3 THEN 'image/' || lang WHEN 4 THEN '' WHEN 5 THEN 'application/zip' WHEN 6 THEN 'application/vnd.sqlite3' WHEN 7 THEN 'text/csv' END AS mime,
     source || CASE doc_id % 7 WHEN 0 THEN '.ZIP' WHEN 1 THEN '.msg' WHEN 2 THEN '.db' WHEN 3 THEN '.csv' WHEN 4 THEN '.tgz' WHEN 5 THEN '.docx' ELSE '' END AS name FROM documents),
-    k AS (SELECT doc_id, lower(coalesce(mime, '')) AS m, lower(regexp_extract(name, '\.([^.]+)$', 1)) AS e FROM f)
+    k AS (SELECT doc_id, lower(coalesce(mime, '')) AS m, lower(regexp_extract(name, '[.]([^.]+)$', 1)) AS e FROM f)
     SELECT doc_id, CASE WHEN m = 'application/zip' OR (m IN ('', 'application/octet-stream') AND e IN ('zip', 'tgz')) THEN 'archive' WHEN contains(m, 'pdf') THEN 'pdf' WHEN e = 'msg' THEN 'email' WHEN starts_with(m, 'image/') THEN 'vlm'
     WHEN contains(m, 'sqlite') OR (m IN ('', 'application/octet-stream') AND e = 'db') THEN 'sqlite' ELSE 'office' END AS route FROM k"""
 )
