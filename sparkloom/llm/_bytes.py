@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,15 @@ def give_back() -> None:
         trim(0)
 
 
+def one_thread() -> None:
+    """Matrix products of this process from now on in one thread each, where
+    numpy's own library is the usual one: a task has one core, and threads that
+    wait for small products use more of it than the products."""
+    for path in (Path(np.__file__).parents[1] / "numpy.libs").glob("*openblas*"):
+        if limit := getattr(ctypes.CDLL(str(path)), "scipy_openblas_set_num_threads64_", None):
+            limit(1)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finishing rounds of splitmix64."""
     x = np.asarray(x, dtype=np.uint64)

@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import text_bytes, word_hashes, words
+from ._bytes import one_thread, text_bytes, word_hashes, words
 from ._spark import Saved, scope, small_batches
 from ._tokens import by_bytes, byte_letters, encoder
 from .attention import CLASSES, END, INPUTS, Followers, Net, Params, Trainer, blocks, flat, start_params, unflat
@@ -141,6 +141,7 @@ def _local(start: Params, table: np.ndarray, followers: Broadcast):
     """A task's parameters times its tokens, and its tokens, after all its texts."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         trainer = Trainer(start, followers.value)
         for batch in by_bytes(batches, "ids", 1 << 18):
             trainer.fit(_classes(batch.column("ids"), table))
@@ -222,6 +223,7 @@ def _score(params: Params, followers: Broadcast, table: np.ndarray, within: np.n
     whose counts are yet to be looked up."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         net, vocabulary = Net(params, followers.value), vocabulary_of(path)
         logs = np.log10(known.counts + 0.5) - known.room
         end_log = math.log10(known.ends + 0.5) - known.room
