@@ -129,22 +129,44 @@ def pagerank(edges: DataFrame, seeds: DataFrame, nodes: DataFrame | None = None,
 def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, hops: int = 4, top: int = 10) -> DataFrame:
     """(path, hops, score): all shortest paths of at most ``hops`` edges between
     a source and a target; score is the mean weight times 0.8 for each further
-    hop; the ``top`` best (G08). Walks grow hop by hop; a node is entered only
-    in the round that first reaches it from that source."""
+    hop, to six places; the ``top`` best, ties by path; of a path and its reverse
+    the smaller (G08).
+
+    Forwards only the best sum of weights to each node is kept, layer by layer
+    from every source. The best path of a pair follows, and with it a floor that
+    the ``top`` best reach. Backwards from the targets paths grow only while the
+    best that can become of them reaches the floor, so that on dense graphs the
+    other paths are never formed."""
     with scope() as tables:
-        both = saved(both_ways(edges), "walks")
-        front = sources.select(F.col("node").alias("s")).distinct().select("s", F.col("s").alias("at"), F.array("s").alias("path"), F.lit(0.0).alias("w"))
-        seen = saved(front.select("s", "at"), "seen")
+        both = saved(both_ways(edges).groupBy("src", "dst").agg(F.max("weight").alias("weight")), "walks")
+        layers = [saved(sources.select(F.col("node").alias("s")).distinct().select("s", F.col("s").alias("v"), F.lit(0.0).alias("best")), "front")]
+        ends = saved(targets.select(F.col("node").alias("v")).distinct(), "ends")
+        pairs = []
+        worth = lambda total, d: F.round(total / d * 0.8 ** (d - 1), 6)
+        for d in range(1, hops + 1):
+            nxt = layers[-1].join(both, F.col("v") == F.col("src")).groupBy("s", F.col("dst").alias("v")).agg(F.max(F.col("best") + F.col("weight")).alias("best"))
+            for old in layers[-2:]:
+                nxt = nxt.join(old.select("s", "v"), ["s", "v"], "left_anti")
+            layers.append(saved(nxt, "front"))
+            pairs.append(saved(layers[-1].join(ends, "v", "left_semi").select("s", "v", worth(F.col("best"), d).alias("score")), "pairs"))
+        every = pairs[0]
+        for x in pairs[1:]:
+            every = every.unionByName(x)
+        firsts = every.groupBy(F.least("s", "v").alias("a"), F.greatest("s", "v").alias("b")).agg(F.max("score").alias("score"))
+        scores = [r["score"] for r in firsts.orderBy(F.desc("score")).limit(top).select("score").collect()]
+        floor = scores[-1] if len(scores) == top else float("-inf")
         found = None
-        ends = targets.select(F.col("node").alias("at")).distinct()
-        for k in range(1, hops + 1):
-            nxt = front.join(both, F.col("at") == F.col("src")).select("s", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"), (F.col("w") + F.col("weight")).alias("w"))
-            front = saved(nxt.join(seen, ["s", "at"], "left_anti"), "front")
-            seen = saved(seen.unionByName(front.select("s", "at").distinct()), "seen")
-            hit = front.join(ends, "at", "left_semi").select("path", F.lit(k).alias("hops"), (F.col("w") / k * 0.8 ** (k - 1)).alias("score"))
+        for d in range(1, hops + 1):
+            at = pairs[d - 1].where(F.col("score") >= floor).select("s", F.col("v").alias("at"), F.array("v").alias("path"), F.lit(0.0).alias("w"))
+            for k in range(d - 1, -1, -1):
+                before = layers[k].select(F.col("s").alias("_s"), F.col("v").alias("_v"), "best")
+                step = at.join(both, F.col("at") == F.col("src")).join(before, (F.col("s") == F.col("_s")) & (F.col("dst") == F.col("_v")))
+                step = step.withColumn("w", F.col("w") + F.col("weight")).where(worth(F.col("best") + F.col("w"), d) >= floor)
+                at = saved(step.select("s", F.col("dst").alias("at"), F.concat(F.array("dst"), F.col("path")).alias("path"), "w"), "paths")
+            hit = at.select("path", F.lit(d).alias("hops"), worth(F.col("w"), d).alias("score"))
             found = hit if found is None else found.unionByName(hit)
         once = found.withColumn("key", F.least("path", F.reverse("path"))).groupBy("key").agg(F.first("hops").alias("hops"), F.max("score").alias("score"))
-        best = once.select(F.col("key").alias("path"), "hops", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "path").limit(top)
+        best = once.select(F.col("key").alias("path"), "hops", "score").orderBy(F.desc("score"), "path").limit(top)
         return tables.keep(Saved(best, "paths"))
 
 

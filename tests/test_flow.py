@@ -165,3 +165,36 @@ def test_years_and_momentum(spark):
     assert {r.sm for r in one.collect()} == {0.5}
     score = spark.range(1).select(scoring.transfer_score(F.lit(0.8), F.lit(0.5), F.lit(2)).alias("a"), scoring.transfer_score(F.lit(2.0), F.lit(None).cast("double"), F.lit(0)).alias("b"), scoring.transfer_score(F.lit(1.5), F.lit(9.0), F.lit(7)).alias("c")).first()
     assert tuple(score) == (0.24, 0.0, 0.0)
+
+
+def test_best_paths_against_all_paths(spark):
+    from sparkloom.operators import graph
+
+    r = random.Random(17)
+    for n, m, top in ((14, 40, 10), (20, 28, 200)):
+        edges = {(min(a, b), max(a, b)): round(r.random(), 2) for a, b in ((r.randrange(n), r.randrange(n)) for _ in range(m)) if a != b}
+        near = {}
+        for (a, b), w in edges.items():
+            near.setdefault(a, {})[b] = near.setdefault(b, {}).setdefault(a, w)
+        starts, ends = set(range(0, n, 2)), set(range(0, n, 3))
+        want = {}
+        for s in starts:
+            layer, seen = {s: [((s,), 0.0)]}, {s}
+            for d in range(1, 5):
+                nxt = {}
+                for v, walks in layer.items():
+                    for u, w in near.get(v, {}).items():
+                        if u not in seen:
+                            nxt.setdefault(u, []).extend((p + (u,), t + w) for p, t in walks)
+                seen |= set(nxt)
+                layer = nxt
+                for t in ends & set(layer):
+                    for p, total in layer[t]:
+                        want[min(p, p[::-1])] = (d, round(total / d * 0.8 ** (d - 1), 6))
+        frame = spark.createDataFrame([(*e, w) for e, w in edges.items()], "src long, dst long, weight double")
+        node = lambda x: spark.createDataFrame([(i,) for i in sorted(x)], "node long")
+        got = [(tuple(x.path), x.hops, x.score) for x in graph.shortest_paths(frame, node(starts), node(ends), top=top).collect()]
+        best = sorted(((p, d, s) for p, (d, s) in want.items()), key=lambda x: (-x[2], x[0]))[:top]
+        assert [x[2] for x in got] == [x[2] for x in best] and all(want[p] == (d, s) for p, d, s in got)
+        cut = best[-1][2] if best else 0
+        assert {x for x in got if x[2] > cut} == {x for x in best if x[2] > cut}
