@@ -187,17 +187,45 @@ def is_delimited(mime: Column, filename: Column) -> Column:
     return name.endswith(".csv") | name.endswith(".tsv") | F.lower(F.coalesce(mime, F.lit(""))).isin("text/csv", "text/tab-separated-values")
 
 
+#: What files begin with, in hexadecimal digits, as patterns. Fixed values.
+MAGIC = (
+    ("pdf", "application/pdf", "25504446"), ("zip", "application/zip", "504B0304"), ("gzip", "application/gzip", "1F8B08(00|08)"),
+    ("bzip2", "application/x-bzip2", "425A68(39|30)"), ("zstd", "application/zstd", "28B52FFD"), ("7z", "application/x-7z-compressed", "377ABCAF271C"),
+    ("rar", "application/vnd.rar", "526172211A07.."), ("png", "image/png", "89504E470D0A1A0A"), ("jpeg", "image/jpeg", "FFD8FF(E0|E1|E2|E3|E8|DB|C0|C4)"),
+    ("gif", "image/gif", "47494638(37|39)61"), ("wav", "audio/wav", "52494646.{8}57415645"), ("webp", "image/webp", "52494646.{8}57454250"),
+    ("ogg", "application/ogg", "4F676753"), ("flac", "audio/flac", "664C6143"), ("elf", "application/x-elf", "7F454C46"),
+    ("pebin", "application/vnd.microsoft.portable-executable", "4D5A(90|00)00"), ("xz", "application/x-xz", "FD377A58585A"), ("mp3", "audio/mpeg", "494433.."),
+    ("mp4", "video/mp4", ".{8}66747970.{8}"), ("sqlite", "application/vnd.sqlite3", "53514C69746520666F726D6174203300"),
+)
+#: Kinds by whole names and by extensions, with how sure they are. Fixed values.
+NAMED = (
+    ("dockerfile", "text/x-dockerfile", 0.95, "dockerfile", ""), ("yaml", "application/yaml", 0.95, ".gitlab-ci.yml .gitlab-ci.yaml", ""), ("txt", "text/plain", 0.8, ".dockerignore .gitignore .python-version", ""),
+    ("python", "text/x-python", 0.95, "", "py"), ("html", "text/html", 0.9, "", "html htm"), ("yaml", "application/yaml", 0.9, "", "yml yaml"), ("shell", "text/x-shellscript", 0.9, "", "sh bash zsh"),
+    ("markdown", "text/markdown", 0.9, "", "md markdown"), ("toml", "application/toml", 0.9, "", "toml"), ("txt", "text/plain", 0.7, "", "txt"), ("asm", "text/x-asm", 0.85, "", "asm s"), ("onnx", "application/octet-stream", 0.85, "", "onnx"),
+)
+
+
 def magic_label(content: Column) -> Column:
-    """The kind of a file by its first bytes."""
-    head = F.hex(F.substring(content, 1, 12))
-    table = (
-        ("25504446", "pdf"), ("504B0304", "zip"), ("1F8B", "gzip"), ("425A68", "bzip2"), ("28B52FFD", "zstd"), ("377ABCAF271C", "7z"),
-        ("526172211A07", "rar"), ("89504E470D0A1A0A", "png"), ("FFD8FF", "jpeg"), ("47494638", "gif"), ("53514C697465", "sqlite"), ("D0CF11E0A1B11AE1", "ole"),
-    )
-    out = F.when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), "webp").when(head.startswith("52494646"), "riff")
-    for prefix, label in table:
-        out = out.when(head.startswith(prefix), label)
-    return out.otherwise("unknown")
+    """The kind of a file by its first bytes, "unknown" for others."""
+    return detected(F.lit(""), content, False)["label"]
+
+
+def detected(name: Column, content: Column, by_name: bool = True) -> Column:
+    """A file's (label, mime, source, confidence): by its first bytes, else by
+    its name or extension, else as text if its first 64 bytes are all printable
+    ASCII (S23)."""
+    head = F.coalesce(F.hex(F.substring(content, 1, 64)), F.lit(""))
+    kind = lambda label, mime, source, sure: F.struct(F.lit(label).alias("label"), F.lit(mime).alias("mime"), F.lit(source).alias("source"), F.lit(sure).alias("confidence"))
+    out = kind("unknown", "", "unknown", 0.0)
+    if by_name:
+        out = F.when(head.rlike("^(2[0-9A-F]|[3-6][0-9A-F]|7[0-9A-E]|08|09|0A|0C|0D)+$"), kind("txt", "text/plain", "heuristic", 0.55)).otherwise(out)
+        low = F.lower(F.regexp_extract(F.coalesce(name, F.lit("")), "([^/]*)$", 1))
+        extension = F.regexp_extract(low, "[^.][.]([^.]+)$", 1)
+        for label, mime, sure, names, ends in reversed(NAMED):
+            out = F.when(low.isin(names.split()) if names else extension.isin(ends.split()), kind(label, mime, "heuristic", sure)).otherwise(out)
+    for label, mime, pattern in MAGIC:
+        out = F.when(head.rlike(f"^{pattern}"), kind(label, mime, "magic", 1.0)).otherwise(out)
+    return out
 
 
 def breadcrumb(title: Column, section: Column, chunk: Column) -> Column:

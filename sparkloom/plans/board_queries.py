@@ -612,7 +612,20 @@ def s02_delimited(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", text.is_delimited(mime, name).alias("delimited"))
 
 
-@_register("SELECT n_nationkey, ['pdf', 'zip', 'gzip', 'png', 'unknown'][CAST(n_nationkey % 5 AS INTEGER) + 1] AS label FROM nation")
+_HEADS = ("255044462D", "504B0304", "1F8B0808", "89504E470D0A1A0A", "474946383961", "524946460000000057415645", "FFD8FFEE", "4D5A9000", "0000001866747970", "")
+
+
+@_register(
+    """WITH f AS (SELECT doc_id, doc_id % 10 AS k, source || CASE doc_id % 6 WHEN 0 THEN '.PY' WHEN 1 THEN '.htm' WHEN 2 THEN '.md' WHEN 3 THEN '.bin' ELSE '' END AS name, doc_id % 6 AS e, substr(coalesce(text, ''), 1, 64) AS t FROM documents),
+    h AS (SELECT *, k = 9 AND t <> '' AND regexp_matches(substr(t, 1, 64), '^[ -~\t\n\f\r]+$') AS plain FROM f)
+    SELECT doc_id, CASE k WHEN 0 THEN 'pdf' WHEN 1 THEN 'zip' WHEN 2 THEN 'gzip' WHEN 3 THEN 'png' WHEN 4 THEN 'gif' WHEN 5 THEN 'wav' WHEN 7 THEN 'pebin' WHEN 8 THEN 'mp4' ELSE
+      CASE e WHEN 0 THEN 'python' WHEN 1 THEN 'html' WHEN 2 THEN 'markdown' ELSE CASE WHEN plain THEN 'txt' ELSE 'unknown' END END END AS label,
+      CASE WHEN k NOT IN (6, 9) THEN 'magic' WHEN e < 3 OR plain THEN 'heuristic' ELSE 'unknown' END AS source FROM h"""
+)
 def s23_magic_label(spark: SparkSession, d: str) -> DataFrame:
-    heads = F.array(*[F.lit(x) for x in ("255044462D312E37", "504B030414000000", "1F8B0800000000", "89504E470D0A1A0A0000", "00112233")])
-    return _t(spark, d, "nation").select("n_nationkey", text.magic_label(F.unhex(F.element_at(heads, (F.col("n_nationkey") % 5 + 1).cast("int")))).alias("label"))
+    """The kinds of documents' texts behind the first bytes of files, by these or by the names they would have."""
+    i = F.col("doc_id")
+    head = F.unhex(F.element_at(F.array(*[F.lit(x) for x in _HEADS]), (i % 10 + 1).cast("int")))
+    ends = F.element_at(F.array(*[F.lit(x) for x in (".PY", ".htm", ".md", ".bin", "", "")]), (i % 6 + 1).cast("int"))
+    found = text.detected(F.concat("source", ends), F.concat(head, F.encode(F.substring(F.coalesce("text", F.lit("")), 1, 64), "UTF-8")))
+    return _t(spark, d, "documents").select("doc_id", found.alias("f")).select("doc_id", "f.label", "f.source")
