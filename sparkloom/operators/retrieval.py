@@ -20,13 +20,17 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75)
     ``docs``: (doc, tokens), all tokens of a document in one or several arrays;
     ``queries``: (query, token), distinct. A document's length is the size of
     its arrays; of its tokens only those that some query asks for leave the task
-    (up to 100000 asked ones are broadcast), so what is shuffled are hits."""
+    (up to 100000 asked ones are broadcast), and one empty token more that
+    carries the size, so texts are split once and what is shuffled are hits."""
     with scope() as tables:
-        asked = Saved(queries.select("token").distinct(), "bm25-asked").df
+        some = queries.select("token").where("token <> ''").distinct()
+        asked = Saved(some.unionByName(some.sparkSession.range(1).select(F.lit("").alias("token"))), "bm25-asked").df
         few = asked.count() <= ASKED
-        hits = docs.select("doc", F.explode("tokens").alias("token")).join(F.broadcast(asked) if few else asked, "token", "left_semi")
-        tf = Saved(hits.groupBy("doc", "token").agg(F.count("*").alias("tf")), "bm25").df
-        sizes = Saved(docs.groupBy("doc").agg(F.sum(F.size("tokens")).alias("size")).where("size > 0"), "bm25-sizes").df
+        whole = F.filter("tokens", lambda t: t != "")
+        each = docs.select("doc", F.size("tokens").alias("n"), F.explode(F.concat(whole, F.array(F.lit("")))).alias("token"))
+        hits = each.join(F.broadcast(asked) if few else asked, "token", "left_semi")
+        found = Saved(hits.groupBy("doc", "token").agg(F.count("*").alias("tf"), F.sum("n").alias("size")), "bm25").df
+        tf, sizes = found.where("token <> ''").select("doc", "token", "tf"), found.where("token = '' AND size > 0").select("doc", "size")
         return tables.keep(Saved(bm25_scores(tf, sizes, queries, k1, b), "bm25-scores"))
 
 
