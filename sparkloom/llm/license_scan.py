@@ -80,6 +80,10 @@ class Template:
         return sorted(set(self.words) & set(NAMES))
 
 
+#: Most texts with inexact spans whose keys (two numbers each) are broadcast.
+ASKED = 1 << 20
+
+
 def all_templates() -> list[Template]:
     """Base phrases first, then passages and identifiers."""
     spdx = tuple((f"spdx license identifier {name}", label) for name, label in IDENTIFIERS)
@@ -190,7 +194,8 @@ def _edits(texts: DataFrame, spans: DataFrame) -> DataFrame:
     coded = F.array(*[F.lit("".join(letters[w] for w in x.words)) for x in known])
     numbers = F.array(*[F.array(*[F.lit(w) for w in x.numbers]).cast("array<string>") for x in known])
     names = F.array(*[F.array(*[F.lit(w) for w in x.names]).cast("array<string>") for x in known])
-    asked = spans.select("id", "th_text").distinct()
+    asked = Saved(spans.select("id", "th_text").distinct(), "licence-asked").df
+    asked = F.broadcast(asked) if asked.count() <= ASKED else asked  # else texts are shuffled to meet them
     same = F.col("d_id").eqNullSafe(F.col("id")) & (F.col("d_th") == F.col("th_text"))
     words = texts.join(asked, same, "left_semi").groupBy("d_id", "d_th").agg(F.first("d_text").alias("d_text"))
     rows = words.select("d_id", "d_th", word_list(F.col("d_text")).alias("w")).join(spans, same)
