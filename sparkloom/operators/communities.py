@@ -74,7 +74,8 @@ def _moved(edges: DataFrame, labels: DataFrame, twice: float, resolution: float,
     two thirds of the nodes go where they gain most. If that lowers modularity
     (their gains don't add up where communities meet), the round is taken back
     and only moves in communities of their own are made, which can't lower it.
-    It ends when no node gains, or two rounds in a row gain under ``tolerance``."""
+    So it is after a round that gains under ``tolerance``, and it ends when no
+    node gains, or such a round gains under ``tolerance`` again."""
     before, last, turn, any_, bold, small = None, 0.0, 0, False, True, 0
     while True:
         moves = Saved(_best(_around(edges, labels), twice, resolution), "moves").df
@@ -86,7 +87,10 @@ def _moved(edges: DataFrame, labels: DataFrame, twice: float, resolution: float,
         small = small + 1 if before is not None and s["q"] - last < tolerance else 0
         if not s["n"] or small == 2:
             return moves.select("v", "k", "loop", F.col("own").alias("c")), s["q"], any_
-        before, last, bold, any_, turn = moves, s["q"], True, True, turn + 1
+        before, last, bold, any_, turn = moves, s["q"], not small, True, turn + 1
+        if small:  # what is left to gain is gained by moves that can't get in each other's way
+            labels = _apart(moves)
+            continue
         labels = moves.select("v", "k", "loop", F.when((F.col("gain") > 0) & _some(F.col("v"), turn), F.col("best")).otherwise(F.col("own")).alias("c"))
 
 
