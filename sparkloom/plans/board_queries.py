@@ -612,7 +612,7 @@ def s02_delimited(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", text.is_delimited(mime, name).alias("delimited"))
 
 
-_HEADS = ("255044462D", "504B0304", "1F8B0808", "89504E470D0A1A0A", "474946383961", "524946460000000057415645", "FFD8FFEE", "4D5A9000", "0000001866747970", "")
+_HEADS = ("255044462D", "504B0304", "1F8B0808", "89504E470D0A1A0A", "474946383961", "524946460000000057415645", "FFD8FFEE", "4D5A9000", "000000186674797069736F6D", "")
 
 
 @_register(
