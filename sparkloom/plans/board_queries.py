@@ -520,14 +520,17 @@ _CITED = "coalesce(text, '') || ' [S' || (turn + 1) || '] so [S ' || (conv_id %
 
 @_register(
     f"""WITH c AS (SELECT conv_id, turn, {_CITED} AS a, conv_id % 3 AS n FROM conversations),
-    r AS (SELECT *, list_distinct(list_filter(list_transform(regexp_extract_all(a, '\\[S\\s*(\\d{{1,4}})\\]', 1), lambda x: CAST(x AS INTEGER)), lambda x: x >= 1 AND x <= n)) AS refs FROM c)
-    SELECT conv_id, turn, list_sort(refs) AS refs, CAST(len(regexp_extract_all(a, '\\[S\\s*\\d{{1,4}}\\]')) AS INTEGER) AS cited FROM r"""
+    x AS (SELECT *, regexp_extract_all(a, '\\[S\\s*(\\d{{1,4}})\\]', 1) AS xs FROM c),
+    r AS (SELECT *, list_filter(list_transform(xs, lambda x: CAST(x AS INTEGER)), lambda x: x >= 1 AND x <= n) AS refs, list_filter(xs, lambda x: CAST(x AS INTEGER) < 1 OR CAST(x AS INTEGER) > n) AS bad FROM x),
+    s AS (SELECT *, list_reduce(list_prepend(a, bad), lambda x, y: regexp_replace(x, '[ \t\n\v\f\r]?\\[S[ \t\n\v\f\r]*' || y || '\\]', '', 'g')) AS s FROM r)
+    SELECT conv_id, turn, trim(regexp_replace(s, '[ \t\n\v\f\r]+', ' ', 'g')) AS clean, list_filter(refs, lambda x, i: list_position(refs, x) = i) AS refs, CAST(len(xs) AS INTEGER) AS cited FROM s"""
 )
 def t15_citations(spark: SparkSession, d: str) -> DataFrame:
-    """The sources that turns cite, of up to two there are."""
+    """Turns without the citations of sources beyond the up to two there are, and the sources they cite, in order."""
     t = F.expr(_CITED)
     rows = _t(spark, d, "conversations").select("conv_id", "turn", t.alias("a"), (F.col("conv_id") % 3).alias("n"))
-    return rows.select("conv_id", "turn", F.array_sort(text.citation_refs(F.col("a"), F.col("n"))).alias("refs"), F.regexp_count("a", F.lit("\\[S\\s*\\d{1,4}\\]")).alias("cited"))
+    a, n = F.col("a"), F.col("n")
+    return rows.select("conv_id", "turn", text.sanitise_citations(a, n).alias("clean"), text.citation_refs(a, n).alias("refs"), F.regexp_count("a", F.lit("\\[S\\s*\\d{1,4}\\]")).alias("cited"))
 
 
 @_register(

@@ -24,3 +24,10 @@ def test_labels_of_short_texts(spark, tmp_path):
     got, expected = _both(spark, tmp_path, "s23_magic_label", documents=("doc_id long, text string, source string", rows))
     assert got == [(int(a), b, c) for a, b, c in expected]
     assert all(r[1] == "mp4" for r in got if r[0] % 10 == 8)
+
+
+def test_citations_are_taken_out(spark, tmp_path):
+    rows = [(c, t, x) for c in range(12) for t in range(3) for x in (None, "", "see [S2] and [S 1],  [S 02] [S0] or [S12345]", "[S 7][S 2] a\n[S1]")]
+    got, expected = _both(spark, tmp_path, "t15_citations", conversations=("conv_id long, turn int, text string", rows))
+    assert sorted((c, t, a, tuple(r), n) for c, t, a, r, n in got) == sorted((c, t, a, tuple(r), n) for c, t, a, r, n in expected)
+    assert any("[S" not in a and "so" in a for _, _, a, _, _ in got) and any(list(r) == [2, 1] for *_, r, _ in got)
