@@ -17,10 +17,12 @@ from .board import expand_summaries
 from .graph import pagerank
 from .inverted import unit_vectors
 from .retrieval import bm25, cap_per_document, depth, fuse, ranked
-from .vectors import BLOCK, _block_top
+from .vectors import _block_top
 
 #: Chunks of a document that the graph brings in, and documents it names. Fixed values.
 GRAPH_CHUNKS, GRAPH_DOCS = 3, 5
+#: Vectors in a block of the search for questions.
+BLOCK = 4096
 
 
 def token_overlap(question: Column, chunk: Column) -> Column:
@@ -41,7 +43,7 @@ def dense_hits(questions: DataFrame, chunks: DataFrame, most: int) -> DataFrame:
     each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     a = left.select(bucket(n).alias("x"), each(m).alias("y"), "id", "v").groupBy("x", "y")
     b = right.select(each(n).alias("x"), bucket(m).alias("y"), "id", "v").groupBy("x", "y")
-    found = a.cogroup(b).applyInPandas(_block_top(most, -2.0), "src long, dst long, cos double")
+    found = a.cogroup(b).applyInPandas(_block_top(most, -2.0, False), "src long, dst long, cos double")
     order = Window.partitionBy("src").orderBy(F.desc("cos"), "dst")
     best = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)
     return best.select((-F.col("src") - 1).alias("query"), F.col("dst").alias("chunk"), "cos")
