@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from sparkloom.operators import vectors
+from sparkloom.operators import inverted, vectors
 
 
 def _nearest(ids, v, k, floor):
@@ -38,3 +38,15 @@ def test_a_pair_of_blocks_serves_both():
     found = vectors._block_top(3, -2.0)((0, 1), block(0, 90), block(90, 200))
     assert found.groupby("src").size().to_dict() == dict.fromkeys(range(200), 3)
     assert (found["src"] < 90).eq(found["dst"] >= 90).all()
+
+
+def test_similar_pairs_are_not_shuffled(spark):
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((300, 8)).tolist()
+    plans = []
+    for ids in (range(300), [i % 299 for i in range(300)]):
+        df = spark.createDataFrame(list(zip(ids, v)), "id long, v array<double>")
+        got = inverted.similar_pairs(df, "id", "v", 0.3, lambda pairs: plans.append(pairs._jdf.queryExecution().optimizedPlan().toString()) or pairs).collect()
+        assert len({(r.a, r.b, r.cos) for r in got}) == len(got)
+    top = [p.split("FlatMapCoGroupsInPandas")[0] for p in plans]
+    assert "Aggregate" not in top[0] and "Aggregate" in top[1]  # only repeated ids can give a pair twice
