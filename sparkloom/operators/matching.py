@@ -137,12 +137,16 @@ def transfer_pairs(goals: DataFrame, id_col: str, vector_col: str, counts: DataF
     ``covered`` or more, is none. The ``most`` nearest pairs (0: all), ties by
     ids. ``coverage`` is the recipient's count as a share of ``covered``."""
     with scope() as tables:
-        near = similar_pairs(goals, id_col, vector_col, least)
+        counts = Saved(counts, "transfer-counts").df
         n = lambda side: counts.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"))
-        both = near.join(n("a"), "a", "left").join(n("b"), "b", "left").na.fill(0, ["n_a", "n_b"])
         more = F.col("n_a") > F.col("n_b")
         side = lambda x, y: F.when(more, F.col(x)).otherwise(F.col(y))
-        both = both.select(side("a", "b").alias("donor"), side("b", "a").alias("recipient"), F.col("cos").alias("similarity"), F.greatest("n_a", "n_b").alias("gives"), F.least("n_a", "n_b").alias("has"))
-        gaps = both.where((F.col("has") < covered) & (F.col("gives") - F.col("has") >= least_gap) & (F.col("gives") > F.col("has")))
+
+        def gap(near: DataFrame) -> DataFrame:
+            both = near.join(n("a"), "a", "left").join(n("b"), "b", "left").na.fill(0, ["n_a", "n_b"])
+            both = both.select(side("a", "b").alias("donor"), side("b", "a").alias("recipient"), F.col("cos").alias("similarity"), F.greatest("n_a", "n_b").alias("gives"), F.least("n_a", "n_b").alias("has"))
+            return both.where((F.col("has") < covered) & (F.col("gives") - F.col("has") >= least_gap) & (F.col("gives") > F.col("has")))
+
+        gaps = similar_pairs(goals, id_col, vector_col, least, gap)
         gaps = gaps.orderBy(F.desc("similarity"), "donor", "recipient").limit(most) if most else gaps
         return tables.keep(Saved(gaps.select("donor", "recipient", "similarity", (F.col("has") / covered).alias("coverage")), "transfers"))
