@@ -194,6 +194,30 @@ def test_betweenness(spark, rows):
     assert bridges.betweenness(spark.createDataFrame([], EDGES)).count() == 0
 
 
+def test_betweenness_in_groups_of_sources(spark, monkeypatch):
+    """Tables don't grow in number with the layers, and both ways give the same; ids may be texts."""
+    made = []
+
+    def counted(df, name, keep=bridges.Saved):
+        made.append(name)
+        return keep(df, name)
+
+    monkeypatch.setattr(bridges, "Saved", counted)
+    monkeypatch.setattr(bridges, "STEPS", 500)
+    monkeypatch.setattr(bridges, "STATES", 300)
+    edges = [(i, i + 1, 1.0) for i in range(30)] + [(0, 7, 1.0), (4, 12, 1.0), (40, 41, 1.0), (41, 42, 1.0)]
+    nodes = sorted({x for a, b, _ in edges for x in (a, b)} | {70})
+    want = _betweenness(edges, nodes)
+    table, points = spark.createDataFrame(edges, EDGES), spark.createDataFrame([(x,) for x in nodes], "node long")
+    got = {x.node: x.betweenness for x in bridges.betweenness(table, points, False).collect()}
+    assert len(made) < 10
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x] / 2) < 1e-9 for x in want)
+    joined = {x.node: x.betweenness for x in bridges.betweenness(table, points, False, along=0).collect()}
+    assert all(abs(got[x] - joined[x]) < 1e-9 for x in want)
+    named = table.selectExpr("CAST(src AS STRING) AS src", "CAST(dst AS STRING) AS dst", "weight")
+    assert all(abs(x.betweenness - want[int(x.node)] / 2) < 1e-9 for x in bridges.betweenness(named, None, False).collect())
+
+
 def test_nodes_between(spark):
     edges = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (1, 4, 1.0), (4, 3, 1.0), (3, 5, 1.0), (6, 7, 1.0)], EDGES)
     pairs = spark.createDataFrame([(1, 5), (1, 6), (1, 2)], "a long, b long")
