@@ -7,6 +7,8 @@ algorithms), applied as expressions to the distinct words of a corpus.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,23 +30,38 @@ a an and are as at be but by for if in into is it no not of on or such that the
 _CJK = "\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsHangul}"
 #: A run of such letters, or a word of others: letters, marks and digits, with an
 #: apostrophe, point or colon between letters, a point or comma between digits.
-_PART = f"[\\p{{L}}\\p{{M}}\\p{{Nd}}_&&[^{_CJK}]]+"
-_TOKEN = f"([{_CJK}]+|{_PART}(?:(?:(?<=\\p{{L}})['’.:](?=\\p{{L}})|(?<=\\p{{Nd}})[.,;'](?=\\p{{Nd}})){_PART})*)"
+#: What is often met is looked for first, scripts only beyond the first 128 signs.
+_OFTEN, _FAR = "A-Za-z0-9_\\u00aa\\u00b5\\u00ba\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u00ff\\u0400-\\u0481", "\\u0080-\\x{10FFFF}"
+_PART = f"[{_OFTEN}[{_FAR}&&[\\p{{L}}\\p{{M}}\\p{{Nd}}]&&[^{_CJK}]]]+"
+_TOKEN = f"({_PART}(?:(?:(?<=\\p{{L}})['’.:](?=\\p{{L}})|(?<=\\p{{Nd}})[.,;'](?=\\p{{Nd}})){_PART})*|[{_FAR}&&[{_CJK}]]+)"
 #: Full-width signs and their plain forms.
 _WIDE, _PLAIN = "".join(chr(0xFF01 + i) for i in range(94)), "".join(chr(0x21 + i) for i in range(94))
 
-#: Asked terms that travel to all tasks at most.
-ASKED = 100_000
+#: Asked terms that travel to all tasks at most; tokens that are packed by word at once, about.
+ASKED, PACKED = 100_000, 1 << 20
+
+
+def _plain(text: Column) -> Column:
+    whole = F.coalesce(text, F.lit(""))
+    return F.lower(F.when(whole.rlike(f"[{_WIDE[0]}-{_WIDE[-1]}]"), F.translate(whole, _WIDE, _PLAIN)).otherwise(whole))
+
+
+def _words(plain: Column) -> Column:
+    return F.regexp_extract_all(plain, F.lit(_TOKEN), F.lit(1))
+
+
+def _pairs(plain: Column, found: Column) -> Column:
+    """``found`` with runs of Chinese, Japanese and Korean letters as pairs; texts without such letters stay as they are."""
+    pairs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: F.substring(w, i, 2))
+    each = F.flatten(F.transform(found, lambda w: F.when(w.rlike(f"^[{_CJK}]"), pairs(w)).otherwise(F.array(w))))
+    return F.when(plain.rlike(f"[{_FAR}&&[{_CJK}]]"), each).otherwise(found)
 
 
 def tokens(text: Column) -> Column:
     """Lower-cased words; runs of Chinese, Japanese and Korean letters as pairs
     of neighbours (one alone stays alone); without words that mean nothing (T25)."""
-    plain = F.lower(F.translate(F.coalesce(text, F.lit("")), _WIDE, _PLAIN))
-    found = F.regexp_extract_all(plain, F.lit(_TOKEN), F.lit(1))
-    pairs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: F.substring(w, i, 2))
-    each = F.flatten(F.transform(found, lambda w: F.when(w.rlike(f"^[{_CJK}]"), pairs(w)).otherwise(F.array(w))))
-    return F.filter(each, lambda w: ~w.isin(*STOP))
+    plain = _plain(text)
+    return F.filter(_pairs(plain, _words(plain)), lambda w: ~w.isin(*STOP))
 
 
 def exact_tokens(text: Column) -> Column:
@@ -180,13 +197,44 @@ def stemmed(words: DataFrame, word: str) -> DataFrame:
 # ---- the index
 
 
+def _packed(batches):
+    """(word, docs, ns): of some texts at a time each word, the documents that have it and how often."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch.column("tokens").flatten())
+        if size >= PACKED:
+            yield _by_word(held)
+            held, size = [], 0
+    if size:
+        yield _by_word(held)
+
+
+def _by_word(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    table = pa.Table.from_batches(batches).combine_chunks()
+    tokens, docs = table.column("tokens").combine_chunks(), table.column("doc").combine_chunks()
+    words = tokens.flatten().dictionary_encode()
+    row = np.repeat(np.arange(len(tokens)), tokens.value_lengths().to_numpy(zero_copy_only=False))
+    pair, n = np.unique(words.indices.to_numpy() * np.int64(len(tokens)) + row, return_counts=True)
+    word, row = np.divmod(pair, len(tokens))
+    ends = pa.array(np.r_[0, np.cumsum(np.bincount(word, minlength=len(words.dictionary)))].astype(np.int32))
+    return pa.RecordBatch.from_arrays([words.dictionary, pa.ListArray.from_arrays(ends, docs.take(pa.array(row))), pa.ListArray.from_arrays(ends, pa.array(n.astype(np.int64)))], ["word", "docs", "ns"])
+
+
 def frequencies(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     """(doc, term, tf): stems of all texts and how often they stand there. Words
-    are counted in their task first; only distinct ones are stemmed."""
-    found = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.explode(tokens(text)).alias("word")).groupBy("doc", "word").agg(F.count("*").alias("n"))
-    found = Saved(found, "lexical-words").df
+    are counted in their task first, and leave it as one row each for about
+    a million tokens; only distinct ones are stemmed. So only stems are shuffled
+    row by row."""
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), _plain(text).alias("plain"))
+    rows = rows.select("doc", "plain", _words(F.col("plain")).alias("found")).select("doc", _pairs(F.col("plain"), F.col("found")).alias("tokens"))
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1m")
+    kind = rows.schema["doc"].dataType.simpleString()
+    packed = rows.mapInArrow(_packed, f"word string, docs array<{kind}>, ns array<bigint>")
+    found = Saved(packed.where(~F.col("word").isin(*STOP)), "lexical-words").df
     stems = Saved(stemmed(found.select("word").distinct(), "word").withColumnRenamed("word", "w"), "lexical-stems").df
-    return found.join(stems, F.col("word") == F.col("w")).groupBy("doc", F.col("stem").alias("term")).agg(F.sum("n").alias("tf"))
+    each = found.join(stems, F.col("word") == F.col("w")).select(F.col("stem").alias("term"), F.inline(F.arrays_zip("docs", "ns")).alias("doc", "n"))
+    return each.groupBy("doc", "term").agg(F.sum("n").alias("tf"))
 
 
 def build_index(docs: DataFrame, id_col: str, text: Column, folder: str, buckets: int = 256, rows: int = 1 << 20) -> None:

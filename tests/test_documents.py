@@ -201,3 +201,19 @@ def test_upserts(spark, tmp_path):
         got = [tuple(x) for x in upserts.read_table(spark, table, schema).collect()]
         assert sorted(got, key=str) == sorted(((*k, *v) for k, v in want.items()), key=str)
     assert len([x for x in os.listdir(table) if x != "lists"]) <= 6  # versions that hold something
+
+
+def test_words_leave_a_task_once_for_many_texts(spark, monkeypatch):
+    sizes = {}
+
+    def counted(df, name, keep=lexical.Saved):
+        table = keep(df, name)
+        sizes[name] = table.df.count()
+        return table
+
+    monkeypatch.setattr(lexical, "Saved", counted)
+    texts = [(i % 40, "The cats, cats and 猫猫猫 Ｃａｔｓ größe3") for i in range(80)] + [(41, None), (None, "cats"), (42, "")]
+    rows = spark.createDataFrame(texts, "id long, text string").coalesce(1)
+    got = {(x.doc, x.term): x.tf for x in lexical.frequencies(rows, "id", rows["text"]).collect()}
+    assert got == {(i, term): n for i in range(40) for term, n in (("cat", 6), ("猫猫", 4), ("größe3", 2))}
+    assert sizes["lexical-words"] == 3
