@@ -287,6 +287,28 @@ def test_nearest_within(spark, monkeypatch):
     assert inverted.nearest_within(asked, chunks.limit(0), "id", "v", "owner").where("nearest IS NULL").count() == len(probes)
 
 
+def test_probes_meet_blocks_and_not_lists(spark, monkeypatch):
+    """No table on the way has more rows than probes and vectors; blocks of 50 give what one block does."""
+    sizes = []
+
+    def counted(df, name, keep=inverted.Saved):
+        table = keep(df, name)
+        sizes.append(table.df.count())
+        return table
+
+    monkeypatch.setattr(inverted, "Saved", counted)
+    x = _clouds(9, 400)
+    chunks = spark.createDataFrame([(i, f"o{i % 2}", v.tolist()) for i, v in enumerate(x)] + [(400, "o0", x[8].tolist())], "id long, owner string, v array<double>")
+    asked = spark.createDataFrame([(i, f"o{(i + 1) % 2}", v.tolist()) for i, v in enumerate(x)] + [(408, "o0", x[8].tolist())], "probe long, owner string, vector array<double>")
+    found = []
+    for rows in (2048, 50):
+        monkeypatch.setattr(inverted, "PART", rows)
+        monkeypatch.setattr(inverted, "BLOCKS", 16)
+        found.append({r.probe: (r.top_sim, r.nearest) for r in inverted.nearest_within(asked, chunks, "id", "v", "owner").collect()})
+    assert max(sizes) <= 401
+    assert found[0] == found[1] and len(found[0]) == 401 and found[0][408] == (1.0, 8)
+
+
 def test_cluster_novelty(spark):
     df = spark.createDataFrame([(1, 10, ["A b", "a-b", "x"]), (2, 5, ["a B", ""]), (3, None, []), (4, 1, None)], "c long, n long, k array<string>")
     got = {r.c: r.novelty for r in novelty.cluster_novelty(df, "c", "n", "k").collect()}
