@@ -218,6 +218,22 @@ def test_betweenness_in_groups_of_sources(spark, monkeypatch):
     assert all(abs(x.betweenness - want[int(x.node)] / 2) < 1e-9 for x in bridges.betweenness(named, None, False).collect())
 
 
+def test_bridges_make_no_table_a_layer_of_all_sources(spark, monkeypatch):
+    made = []
+
+    def counted(df, name, keep=bridges.Saved):
+        made.append(name)
+        return keep(df, name)
+
+    monkeypatch.setattr(bridges, "Saved", counted)
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(13)], EDGES)
+    members = spark.createDataFrame([(i, 0 if i < 5 else 1 if i < 9 else 2) for i in range(14)], "node long, community int")
+    points = spark.createDataFrame([(i, [1.0, 0.1 * i]) for i in range(14)], "node long, vector array<double>")
+    (got,) = bridges.bridges(edges, members, points).collect()
+    assert (got.a, got.b, got.endpoint_a, got.endpoint_b, got.convergence, got.mediators) == (0, 2, 4, 9, 4, [6, 7, 5])
+    assert made.count("shares") == 1
+
+
 def test_nodes_between(spark):
     edges = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (1, 4, 1.0), (4, 3, 1.0), (3, 5, 1.0), (6, 7, 1.0)], EDGES)
     pairs = spark.createDataFrame([(1, 5), (1, 6), (1, 2)], "a long, b long")
