@@ -2,11 +2,14 @@
 
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from sparkloom.functions.maths import l2_normalise
 from sparkloom.operators import bridges, communities, graph, hierarchy, inverted, matching, novelty
 
 EDGES = "src long, dst long, weight double"
@@ -241,6 +244,55 @@ def test_nodes_between(spark):
     assert sorted(map(tuple, got)) == [(1, 5, 2), (1, 5, 3), (1, 5, 4)]
 
 
+def test_nodes_between_in_groups_of_pairs(spark, monkeypatch):
+    """Tables don't grow in number with the layers, and both ways give the same as a plain loop; ids may be texts."""
+    made = []
+
+    def counted(df, name, keep=bridges.Saved):
+        made.append(name)
+        return keep(df, name)
+
+    monkeypatch.setattr(bridges, "Saved", counted)
+    monkeypatch.setattr(bridges, "STEPS", 100)
+    r = random.Random(5)
+    edges = [(i, i + 1, 1.0) for i in range(30)] + [(r.randrange(31), r.randrange(31), 1.0) for _ in range(5)] + [(40, 41, 1.0), (41, 42, 1.0)]
+    near = defaultdict(set)
+    for a, b, _ in edges:
+        if a != b:
+            near[a].add(b), near[b].add(a)
+
+    def far(s):
+        out, front = {s: 0}, [s]
+        for v in front:
+            for w in near[v] - out.keys():
+                out[w] = out[v] + 1
+                front.append(w)
+        return out
+
+    d = {v: far(v) for v in near}
+    asked = [(0, 30), (0, 17), (3, 3), (5, 6), (8, 25), (29, 2), (40, 42), (42, 1), (77, 1), (2, 78)]
+    want = {(a, b, v) for a, b in asked if b in d.get(a, {}) for v in d[a].keys() - {a, b} if d[a][v] + d[b][v] == d[a][b]}
+    table, pairs = spark.createDataFrame(edges, EDGES), spark.createDataFrame(asked, "a long, b long")
+    got = list(map(tuple, bridges.between(bridges._links(table), pairs).collect()))
+    assert "layer" not in made and len(made) < 5
+    assert set(got) == want and len(got) == len(want)
+    assert set(map(tuple, bridges.between(bridges._links(table), pairs, along=0).collect())) == want
+    named = bridges._links(table.selectExpr("CAST(src AS STRING) AS src", "CAST(dst AS STRING) AS dst"))
+    texts = bridges.between(named, pairs.selectExpr("CAST(a AS STRING) AS a", "CAST(b AS STRING) AS b")).collect()
+    assert {tuple(map(int, x)) for x in texts} == want
+    assert bridges.between(bridges._links(table), pairs.limit(0)).count() == 0
+
+
+def test_lengths_are_formed_once_a_vector(spark):
+    """Not once a component: then a vector of so many took minutes."""
+    v = [float(i % 7 - 3) for i in range(12_000)]
+    start = time.monotonic()
+    got = spark.createDataFrame([(v,), ([0.0, 0.0],), ([math.inf, 1.0],), ([3.0, None],), (None,)], "v array<double>").select(l2_normalise(F.col("v")).alias("u")).collect()
+    assert time.monotonic() - start < 60
+    assert np.allclose(got[0].u, np.array(v) / np.linalg.norm(v))
+    assert [x.u for x in got[1:]] == [[0.0, 0.0], [math.inf, 1.0], [3.0, None], None]
+
+
 def _clouds(r, n=400, d=24):
     rng = np.random.default_rng(r)
     centres = rng.standard_normal((9, d)) * 1.3
