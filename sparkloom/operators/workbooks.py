@@ -22,6 +22,11 @@ def column_label(col: Column) -> Column:
     return F.concat(F.when(col > 702, letter(c)).otherwise(""), F.when(col > 26, letter(b)).otherwise(""), letter(a))
 
 
+def column_number(label: Column) -> Column:
+    """The column of a label."""
+    return F.aggregate(F.split(label, ""), F.lit(0), lambda n, x: n * 26 + F.ascii(x) - 64)
+
+
 def address(row: Column, col: Column) -> Column:
     return F.concat(column_label(col), row.cast("string"))
 
@@ -64,25 +69,38 @@ def unit(header: Column) -> Column:
     out = F.lit("")
     for a, b in (("\\[", "\\]"), ("\\(", "\\)")):
         held = f"{a}([^{a}]*){b}[^{a}{b}]*$"
-        out = F.when(header.rlike(held), F.trim(F.regexp_extract(header, held, 1))).otherwise(out)
+        out = F.when(header.contains(b[1]) & header.rlike(held), F.trim(F.regexp_extract(header, held, 1))).otherwise(out)
     return F.when(header.contains("%"), "%").otherwise(out)
 
 
 def _blocks(cells: DataFrame) -> DataFrame:
-    """Cells that hold something, with their block (from 1 within a sheet), its
-    first row, number of rows and columns, and the row's number within it from 0.
+    """Cells that hold something, with their ``island``, which is the block's,
+    the block's number (from 1 within a sheet), first row ``top``, number of rows,
+    first column ``a``, and the row's number within it from 0; with the first cell
+    of the column in the block, blanks in its value collapsed (``flat``), and
+    whether any such value in the block begins like the name of a column
+    without a header.
 
     Rows without a gap between them are a block: a row's number less its place
-    among the sheet's rows is the same for all of it."""
+    among the sheet's rows is the same for all of it. A sheet's cells meet in one
+    window; nothing is joined, so cells that come partitioned by sheet aren't
+    shuffled. What a query doesn't use of this isn't computed."""
     some = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
     full = cells.where("file IS NOT NULL AND sheet IS NOT NULL AND row IS NOT NULL AND col IS NOT NULL").where(some("value") | some("formula"))
-    sheet = ["file", "sheet"]
-    rows = full.select(*sheet, "row").distinct()
-    placed = rows.withColumn("island", F.col("row") - F.row_number().over(Window.partitionBy(*sheet).orderBy("row")))
-    bounds = placed.groupBy(*sheet, "island").agg(F.min("row").alias("top"), F.count("*").alias("n_rows"))
-    numbered = bounds.withColumn("block", F.row_number().over(Window.partitionBy(*sheet).orderBy("top")))
-    at = placed.join(numbered, [*sheet, "island"]).select(*sheet, "row", "block", "top", "n_rows", (F.col("row") - F.col("top")).alias("place"))
-    return full.join(at, [*sheet, "row"])
+    sheet, key = ["file", "sheet"], ["file", "sheet", "island"]
+    placed = full.withColumn("island", F.col("row") - F.dense_rank().over(Window.partitionBy(*sheet).orderBy("row")))
+    placed = placed.withColumn("first", F.first(F.struct("row", "value")).over(Window.partitionBy(*key, "col").orderBy("row")))  # in an order that serves the next windows too
+    flat = F.trim(F.regexp_replace(F.coalesce("first.value", F.lit("")), "\\s+", " "))
+    placed = placed.select(*cells.columns, "island", F.col("first.row").alias("first"), flat.alias("flat")).withColumn("like", F.col("flat").startswith("column_"))
+    block = Window.partitionBy(*key)
+    sums = {"top": F.min("row").over(block), "bottom": F.max("row").over(block), "a": F.min("col").over(block), "like": F.max("like").over(block)}
+    numbered = placed.withColumns(sums).withColumn("block", F.dense_rank().over(Window.partitionBy(*sheet).orderBy("island")))
+    return numbered.withColumn("n_rows", (F.col("bottom") - F.col("top") + 1).cast("long")).withColumn("place", F.col("row") - F.col("top"))
+
+
+def _name(n_rows: Column, flat: Column, col: Column) -> Column:
+    """A column's name before repeated ones are numbered, from the first row's value."""
+    return F.when((n_rows > 1) & (flat != ""), flat).otherwise(F.concat(F.lit("column_"), column_label(col)))
 
 
 def _headers(blocks: DataFrame) -> DataFrame:
@@ -92,9 +110,8 @@ def _headers(blocks: DataFrame) -> DataFrame:
     key = ["file", "sheet", "block"]
     span = blocks.groupBy(*key).agg(F.min("col").alias("a"), F.max("col").alias("b"), F.max("n_rows").alias("n"))
     each = span.select(*key, "n", F.explode(F.sequence("a", "b")).alias("col"))
-    first = blocks.where("place = 0").groupBy(*key, "col").agg(F.first("value").alias("value"))
-    flat = F.trim(F.regexp_replace(F.coalesce("value", F.lit("")), "\\s+", " "))
-    named = each.join(first, [*key, "col"], "left").withColumn("name", F.when((F.col("n") > 1) & (flat != ""), flat).otherwise(F.concat(F.lit("column_"), column_label(F.col("col")))))
+    first = blocks.where("place = 0").groupBy(*key, "col").agg(F.first("flat").alias("flat"))
+    named = each.join(first, [*key, "col"], "left").withColumn("name", _name(F.col("n"), F.coalesce("flat", F.lit("")), F.col("col")))
     nth = F.row_number().over(Window.partitionBy(*key, "name").orderBy("col"))
     return named.withColumn("nth", nth).select(*key, "col", F.when(F.col("nth") > 1, F.concat("name", F.lit("_"), F.col("nth").cast("string"))).otherwise(F.col("name")).alias("header"))
 
@@ -117,8 +134,19 @@ def windows(cells: DataFrame) -> DataFrame:
 
 def sidecar(cells: DataFrame) -> DataFrame:
     """(file, sheet, address, row, col, value, formula, header, unit): all cells
-    that hold something, with their column's header and unit (S09)."""
-    key = ["file", "sheet", "block", "col"]
-    blocks = _blocks(cells)
-    found = blocks.join(_headers(blocks), key)
+    that hold something, with their column's header and unit (S09).
+
+    Headers are ``_headers``', found in windows alone: repeated names are counted
+    over the columns that hold something. One that holds nothing is named by its
+    letters and counts where a header to its right is that name, so such blocks'
+    columns are collected."""
+    key = ["file", "sheet", "island"]
+    header = F.when(F.col("first") == F.col("top"), F.col("flat")).otherwise("")
+    found = _blocks(cells).withColumn("name", _name(F.col("n_rows"), header, F.col("col")))
+    found = found.withColumn("cols", F.collect_set(F.when(F.col("like"), F.col("col"))).over(Window.partitionBy(*key)))
+    same = F.dense_rank().over(Window.partitionBy(*key, "name").orderBy("col"))
+    x = F.when(F.col("like") & F.col("name").rlike("^column_[A-Z]{1,3}$"), column_number(F.substring("name", 8, 3)))
+    bare = x.between(F.col("a"), F.col("col") - 1) & ~F.array_contains("cols", x)
+    found = found.withColumn("nth", same + F.when(bare, 1).otherwise(0))
+    found = found.withColumn("header", F.when(F.col("nth") > 1, F.concat("name", F.lit("_"), F.col("nth").cast("string"))).otherwise(F.col("name")))
     return found.select("file", "sheet", address(F.col("row"), F.col("col")).alias("address"), "row", "col", "value", "formula", "header", unit(F.col("header")).alias("unit"))

@@ -16,11 +16,11 @@ from .queries import _edges, _register, _t
 
 def _cells(spark: SparkSession, d: str) -> DataFrame:
     """A workbook: a sheet for each supplier, a row for each of its lines, a gap after every 40 rows."""
-    rn = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"))
-    rows = _t(spark, d, "lineitem").withColumn("rn", rn).withColumn("row", (F.col("rn") + F.floor((F.col("rn") - 1) / 40)).cast("int"))
+    rn = F.row_number().over(Window.partitionBy("sheet").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"))  # by sheet, as its blocks are found
+    rows = _t(spark, d, "lineitem").withColumn("sheet", F.col("l_suppkey").cast("string")).withColumn("rn", rn).withColumn("row", (F.col("rn") + F.floor((F.col("rn") - 1) / 40)).cast("int"))
     part, line = F.concat(F.lit("p"), F.col("l_partkey").cast("string"), F.lit(" (kg)")), F.concat(F.lit("n"), F.col("l_linenumber").cast("string"))
     cells = F.array(*[F.struct(F.lit(c).alias("col"), v.alias("value")) for c, v in ((1, part), (2, line), (3, F.lit(" ")), (4, line))])
-    return rows.select(F.lit("book 1.xlsx").alias("file"), F.col("l_suppkey").cast("string").alias("sheet"), "row", F.explode(cells).alias("c"), F.lit(None).cast("string").alias("formula")).select("file", "sheet", "row", "c.*", "formula")
+    return rows.select(F.lit("book 1.xlsx").alias("file"), "sheet", "row", F.explode(cells).alias("c"), F.lit(None).cast("string").alias("formula")).select("file", "sheet", "row", "c.*", "formula")
 
 
 _ROWS = """WITH n AS (SELECT l_suppkey AS s, l_partkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS rn FROM lineitem),

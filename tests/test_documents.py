@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -110,6 +111,28 @@ def test_windows_and_cells(spark):
     assert workbooks.windows(df.limit(0)).count() == 0
 
 
+def test_cells_are_neither_joined_nor_shuffled_twice(spark):
+    """Headers of cells are those of windows, with names like those of columns that hold nothing."""
+    cells = [("f", "S", 1, 2, "column_C", None), ("f", "S", 1, 4, "column_C", ""), ("f", "S", 1, 5, "column_A", None), ("f", "S", 1, 6, "column_F", None), ("f", "S", 1, 7, " column_D ", None)]
+    cells += [("f", "S", 2, c, "x", None) for c in (2, 4, 5, 6, 7, 8)] + [("f", "S", 3, 8, "late", None)]
+    cells += [("f", "S", 9, c, v, None) for c, v in ((1, "column_B"), (3, "column_B"), (4, "column_B"), (5, "column_ABCD"), (6, "column_"))] + [("f", "S", 10, 1, "x", None)]
+    cells += [("f", "S", 20, 1, "column_C", None), ("f", "S", 20, 4, "column_C", None)]
+    cells += [("f", "T", 1, 1, "column_C", None), ("f", "T", 1, 4, "column_C", None), ("f", "T", 2, 3, "x", None), ("g", "S", 1, 3, "column_A", None), ("g", "S", 2, 1, "x", None)]
+    df = spark.createDataFrame(cells, CELLS).repartition(3)
+    wide = {}
+    for w in workbooks.windows(df).collect():
+        a = re.match("([A-Z])", w.range)[1]
+        first = w.row_start - (1 if w.row_start in (2, 10) else 0)
+        wide |= {(w.file, w.sheet, r, ord(a) - 64 + i): h for r in range(first, w.row_end + 1) for i, h in enumerate(w.headers)}
+    side = workbooks.sidecar(df)
+    got = {(x.file, x.sheet, x.row, x.col): x.header for x in side.collect()}
+    assert len(got) == len(cells) and all(wide[k] == h for k, h in got.items())
+    assert [got["f", "S", 2, c] for c in (2, 4, 5, 6, 7, 8)] == ["column_C", "column_C_3", "column_A", "column_F", "column_D", "column_H"]
+    assert [got["f", "S", 9, c] for c in (1, 3, 4)] == ["column_B", "column_B_3", "column_B_4"]
+    plan = side._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange") == 2 and "Join" not in plan  # this test's repartition is the other
+
+
 def test_archives(spark):
     entries = [(1, k, f"a/f{k}.txt", f"h{k % 3}" if k < 5 else None, None) for k in range(7)]
     entries += [(1, 7, "__MACOSX/x", "h9", None), (1, 8, "d/.hidden", "h9", None), (1, 9, "d/sub.zip", "z", 2), (1, 10, "again.zip", "z", 2), (1, 11, "big.zip", "y", 5), (1, 12, "d/", None, None)]
