@@ -283,6 +283,34 @@ def test_nodes_between_in_groups_of_pairs(spark, monkeypatch):
     assert bridges.between(bridges._links(table), pairs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [100, 7])
+def test_pagerank_in_few_rounds(spark, monkeypatch, most):
+    """A long chain needs over 80 plain rounds; no more than two tables a score of rounds."""
+    made = []
+
+    def counted(df, name, keep=graph.Saved):
+        made.append(name)
+        return keep(df, name)
+
+    monkeypatch.setattr(graph, "Saved", counted)
+    edges = [(i, i + 1, 1.0 + i % 3) for i in range(40)] + [(50, 51, 0.5)]
+    w = defaultdict(lambda: defaultdict(float))
+    for a, b, x in edges:
+        w[a][b] += x
+        w[b][a] += x
+    nodes = sorted(w) + ([60, 61] if most == 100 else [])
+    seeds = {0, 1, 50, 60} & set(nodes)
+    table, points = spark.createDataFrame(edges, EDGES), spark.createDataFrame([(x,) for x in nodes], "node long")
+    got = {x.node: x.score for x in graph.pagerank(table, spark.createDataFrame([(x,) for x in (0, 1, 50, 60)], "node long"), points, most=most).collect()}
+    r = {n: (n in seeds) / len(seeds) for n in nodes}
+    want = dict(r)
+    for _ in range(400 if most == 100 else most):
+        idle = sum(want[n] for n in nodes if n not in w)
+        want = {n: (0.15 + 0.85 * idle) * r[n] + 0.85 * sum(want[m] * w[m][n] / sum(w[m].values()) for m in w[n]) if n in w else (0.15 + 0.85 * idle) * r[n] for n in nodes}
+    assert got.keys() == want.keys() and all(abs(got[n] - want[n]) < 1e-8 for n in nodes)
+    assert made.count("graph-scores") <= 9
+
+
 def test_lengths_are_formed_once_a_vector(spark):
     """Not once a component: then a vector of so many took minutes."""
     v = [float(i % 7 - 3) for i in range(12_000)]
