@@ -366,6 +366,24 @@ def test_gradients_and_training():
     assert -trainer.net.logs(*attention.blocks(rule[100:])).mean() < 0.5 * before
 
 
+def test_gradients_in_parts_and_logits_far_apart():
+    """A step works on a few tokens at a time: its gradients are those of the
+    whole. Logits whose exponentials no number holds give finite scores."""
+    rng = np.random.default_rng(3)
+    texts = [np.append(rng.integers(0, 50, size=n), attention.END) for n in (0, 16, 90, 300)]
+    _, followers = _followers([t[:-1] for t in texts])
+    net, parts = _random_net(followers), attention.blocks(texts)
+    loss, grad = net.gradients(*parts, 1 << 20)
+    for tokens in (16, 48):
+        part_loss, part_grad = net.gradients(*parts, tokens)
+        assert math.isclose(loss, part_loss, rel_tol=1e-9)
+        assert set(grad) == set(attention.SHAPES) and all(np.allclose(grad[k], part_grad[k], rtol=1e-7, atol=1e-12) for k in grad)
+    net.p["o"], net.p["m"], net.p["t"] = net.p["o"] * 300, net.p["m"] * 300, net.p["t"] * 20
+    far = net.logs(*parts)
+    short = attention.Net({k: x.astype(np.float32) for k, x in net.p.items()}, followers).logs(*parts)
+    assert far.min() < -1000 and np.isfinite(far).all() and np.allclose(short, far, rtol=1e-3, atol=0.1)
+
+
 def test_training_reaches_every_text_once(spark, monkeypatch):
     rows = [(i, np.full(i % 7 + 1, i % 500, dtype="<u2").tobytes()) for i in range(300)] + [(None, b""), (900, np.arange(9000, dtype="<u2").tobytes())]
     df = spark.createDataFrame(rows, "id long, ids binary").repartition(3)
