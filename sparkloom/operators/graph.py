@@ -156,30 +156,42 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, hop
 
     Forwards only the best sum of weights to each node is kept, layer by layer
     from every source. The best path of a pair follows, and with it a floor that
-    the ``top`` best reach. Backwards from the targets paths grow only while the
-    best that can become of them reaches the floor, so that on dense graphs the
-    other paths are never formed."""
+    the ``top`` best reach. A source goes on only while a path from it can reach
+    the floor if all its further edges are the heaviest; with all of its nodes,
+    since these tell what is shortest. Backwards from the targets paths grow only
+    while the best that can become of them reaches the floor, so that on dense
+    graphs the other paths are never formed."""
     with scope() as tables:
         both = saved(both_ways(edges).groupBy("src", "dst").agg(F.max("weight").alias("weight")), "walks")
         layers = [saved(sources.select(F.col("node").alias("s")).distinct().select("s", F.col("s").alias("v"), F.lit(0.0).alias("best")), "front")]
         ends = saved(targets.select(F.col("node").alias("v")).distinct(), "ends")
-        pairs = []
+        heaviest = both.agg(F.max("weight").alias("w")).first()["w"] or 0.0
+        pairs, floor = [], float("-inf")
         worth = lambda total, d: F.round(total / d * 0.8 ** (d - 1), 6)
+        ceiling = lambda best, k: [(best + (d - k) * heaviest) / d * 0.8 ** (d - 1) for d in range(k + 1, hops + 1)]
         for d in range(1, hops + 1):
-            nxt = layers[-1].join(both, F.col("v") == F.col("src")).groupBy("s", F.col("dst").alias("v")).agg(F.max(F.col("best") + F.col("weight")).alias("best"))
+            if max(ceiling(heaviest * (d - 1), d - 1)) < floor - 1e-6:
+                break
+            front = layers[-1]
+            if floor > float("-inf"):
+                hope = front.groupBy("s").agg(F.max("best").alias("b")).where(F.array_max(F.array(*ceiling(F.col("b"), d - 1))) >= floor - 1e-6)
+                front = front.join(hope, "s", "left_semi")
+            nxt = front.join(both, F.col("v") == F.col("src")).groupBy("s", F.col("dst").alias("v")).agg(F.max(F.col("best") + F.col("weight")).alias("best"))
             for old in layers[-2:]:
                 nxt = nxt.join(old.select("s", "v"), ["s", "v"], "left_anti")
             layers.append(saved(nxt, "front"))
-            pairs.append(saved(layers[-1].join(ends, "v", "left_semi").select("s", "v", worth(F.col("best"), d).alias("score")), "pairs"))
-        every = pairs[0]
-        for x in pairs[1:]:
-            every = every.unionByName(x)
-        firsts = every.groupBy(F.least("s", "v").alias("a"), F.greatest("s", "v").alias("b")).agg(F.max("score").alias("score"))
-        scores = [r["score"] for r in firsts.orderBy(F.desc("score")).limit(top).select("score").collect()]
-        floor = scores[-1] if len(scores) == top else float("-inf")
+            pairs.append(saved(layers[-1].join(ends, "v", "left_semi").select("s", "v", worth(F.col("best"), d).alias("score")).where(F.col("score") >= floor), "pairs"))
+            every = pairs[0]
+            for x in pairs[1:]:
+                every = every.unionByName(x)
+            firsts = every.where(F.col("score") >= floor).groupBy(F.least("s", "v").alias("a"), F.greatest("s", "v").alias("b")).agg(F.max("score").alias("score"))
+            scores = [r["score"] for r in firsts.orderBy(F.desc("score")).limit(top).select("score").collect()]
+            floor = scores[-1] if len(scores) == top else floor
         found = None
-        for d in range(1, hops + 1):
+        for d in range(1, len(pairs) + 1):
             at = pairs[d - 1].where(F.col("score") >= floor).select("s", F.col("v").alias("at"), F.array("v").alias("path"), F.lit(0.0).alias("w"))
+            if found is not None and not at.head(1):
+                continue
             for k in range(d - 1, -1, -1):
                 before = layers[k].select(F.col("s").alias("_s"), F.col("v").alias("_v"), "best")
                 step = at.join(both, F.col("at") == F.col("src")).join(before, (F.col("s") == F.col("_s")) & (F.col("dst") == F.col("_v")))

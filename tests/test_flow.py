@@ -198,3 +198,22 @@ def test_best_paths_against_all_paths(spark):
         assert [x[2] for x in got] == [x[2] for x in best] and all(want[p] == (d, s) for p, d, s in got)
         cut = best[-1][2] if best else 0
         assert {x for x in got if x[2] > cut} == {x for x in best if x[2] > cut}
+
+
+def test_best_paths_end_where_longer_ones_cannot_reach_them(spark, monkeypatch):
+    """Direct edges fill the best; only what could still reach them is searched
+    further, and what is found stays exact: a shorter path of little weight hides
+    a longer one of much."""
+    from sparkloom.operators import graph
+
+    near = [(i, 100 + i, 0.79) for i in range(10)]
+    heavy = [(20, 21, 0.99), (21, 120, 1.0), (30, 31, 0.99), (31, 32, 1.0), (32, 130, 1.0), (40, 41, 1.0), (41, 140, 1.0), (40, 140, 0.1)]
+    light = [(50, 60 + i, 0.5) for i in range(8)] + [(60 + i, 160 + i, 0.5) for i in range(8)]
+    frame = spark.createDataFrame(near + heavy + light, "src long, dst long, weight double")
+    node = lambda x: spark.createDataFrame([(i,) for i in x], "node long")
+    rows, write = [], graph.saved
+    monkeypatch.setattr(graph, "saved", lambda df, name: (found := write(df, name), rows.append(found.count()) if name == "front" else None)[0])
+    starts, ends = [*range(10), 20, 30, 40, 50], [*range(100, 110), 120, 130, 140, *range(160, 168)]
+    got = [(tuple(x.path), x.hops, x.score) for x in graph.shortest_paths(frame, node(starts), node(ends)).collect()]
+    assert got == [((20, 21, 120), 2, 0.796)] + [((i, 100 + i), 1, 0.79) for i in range(9)]
+    assert rows == [14, 22, 2]  # from 20 and 30 only (from 40 the way is longer than the edge), and nowhere on from there
