@@ -221,6 +221,44 @@ def test_betweenness_in_groups_of_sources(spark, monkeypatch):
     assert all(abs(x.betweenness - want[int(x.node)] / 2) < 1e-9 for x in bridges.betweenness(named, None, False).collect())
 
 
+def test_links_sent_along_with_groups_are_bounded(spark, monkeypatch):
+    """However many the sources or pairs, the links sent to their groups don't exceed a number in all, and no source is left out."""
+    sent = []
+
+    def counted(links, count, groups, along=bridges._along):
+        sent.append(count * groups)
+        return along(links, count, groups)
+
+    monkeypatch.setattr(bridges, "_along", counted)
+    monkeypatch.setattr(bridges, "STEPS", 10)
+    monkeypatch.setattr(bridges, "COPIES", 400, raising=False)
+    r = random.Random(8)
+    edges = [(r.randrange(60), r.randrange(60), 1.0) for _ in range(40)] + [(100, 101 + i, 1.0) for i in range(12)]
+    edges = [e for e in edges if e[0] != e[1]]
+    nodes = sorted({x for a, b, _ in edges for x in (a, b)})
+    want = _betweenness(edges, nodes)
+    table = spark.createDataFrame(edges, EDGES)
+    got = {x.node: x.betweenness for x in bridges.betweenness(table, None, False).collect()}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x] / 2) < 1e-9 for x in want)
+    pairs = spark.createDataFrame([(101 + i, 112 - i) for i in range(12)], "a long, b long")
+    assert {tuple(x) for x in bridges.between(bridges._links(table), pairs).collect()} == {(101 + i, 112 - i, 100) for i in range(12)}
+    assert len(sent) == 2 and max(sent) <= 400
+
+
+def test_shares_of_sources_in_pieces(monkeypatch):
+    """Layers are found from either side, sources of several components go together, links are looked at a few at a time."""
+    monkeypatch.setattr(bridges, "PIECE", 7)
+    r = random.Random(9)
+    edges = {(min(a, b), max(a, b)) for a, b in ((r.randrange(80), r.randrange(80)) for _ in range(150)) if a != b}
+    edges |= {(90 + i, 91 + i) for i in range(9)} | {(110, 111 + i) for i in range(20)} | {(140 + 3 * i, 141 + 3 * i) for i in range(6)}
+    ids, src, dst = bridges._unpacked([np.array([a for a, _ in edges])], [np.array([b for _, b in edges])])
+    want = _betweenness(edges, ids.tolist())
+    for states in (1, 1 << 12):
+        monkeypatch.setattr(bridges, "STATES", states)
+        got = sum(bridges._shares(src, dst, len(ids), np.arange(g, len(ids), 3)) for g in range(3))
+        assert all(abs(got[i] - want[v]) < 1e-9 for i, v in enumerate(ids.tolist()))
+
+
 def test_bridges_make_no_table_a_layer_of_all_sources(spark, monkeypatch):
     made = []
 
